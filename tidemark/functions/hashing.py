@@ -15,22 +15,12 @@ from pyspark.sql import functions as F
 def double_text(c: Column) -> Column:
     """``150.0``, ``12345678.9``, ``1e+16``, ``1.5e-07``."""
     text = c.cast("double").cast("string")
-    size = F.abs(c)
-    digits = F.regexp_extract(text, r"^(-?[0-9.]+)E", 1)
-    power = F.regexp_extract(text, r"E(-?\d+)$", 1)
-    sign = F.when(power.startswith("-"), F.lit("e-")).otherwise(F.lit("e+"))
-    places = F.regexp_replace(power, "^-", "")
-    exponent = F.concat(sign, F.when(F.length(places) < 2, F.lpad(places, 2, "0")).otherwise(places))
-    scientific = F.concat(F.regexp_replace(digits, r"\.0$", ""), exponent)
     wide = F.regexp_replace(text.try_cast("decimal(38,20)").cast("string"), r"0+$", "")
-    wide = F.when(wide.endswith("."), F.concat(wide, F.lit("0"))).otherwise(wide)
-    return (
-        F.when(F.isnan(c), F.lit("NaN"))
-        .when(size == float("inf"), F.when(c > 0, F.lit("Infinity")).otherwise(F.lit("-Infinity")))
-        .when(~text.contains("E"), text)
-        .when((size >= 1e-4) & (size < 1e16), wide)
-        .otherwise(scientific)
-    )
+    wide = F.regexp_replace(wide, r"\.$", ".0")
+    power = F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), r"E(\d)", "e+$1")
+    power = F.regexp_replace(F.regexp_replace(power, "E-", "e-"), r"e([+-])(\d)$", "e$10$2")
+    plain = (F.abs(c) >= 1e-4) & (F.abs(c) < 1e16)
+    return F.when(text.contains("E"), F.when(plain, wide).otherwise(power)).otherwise(text)
 
 
 def _string_json(c: Column) -> Column:

@@ -7,41 +7,50 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import clean
 
-_NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
-_NON_FINITE = r"(?i)^[+-]?(inf|infinity|nan)$"
+_NUMBER = r"(?i)^[+-]?((\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)$"
 
 
-def _plain(text: Column) -> Column:
-    # Digit groups may be joined by single underscores (1_000).
-    return F.regexp_replace(text, r"(?<=\d)_(?=\d)", "")
+def is_finite(c: Column) -> Column:
+    return ~(F.isnan(c) | (F.abs(c) == float("inf")))
 
 
-def _parse(text: Column) -> Column:
-    # The pattern comes first: Spark's own cast would also take 1.0d and hexadecimal floats.
-    return F.when(text.rlike(_NUMBER) | text.rlike(_NON_FINITE), text.try_cast("double"))
+def parsed(text: Column) -> Column:
+    """Cleaned text to a double; NaN and infinities pass, what is no number is null.
 
+    The pattern comes first: Spark's own cast would also take 1.0d and hexadecimal floats. Digit
+    groups may be joined by single underscores (1_000).
+    """
+    plain = F.regexp_replace(text, r"(?<=\d)_(?=\d)", "")
+    return F.when(plain.rlike(_NUMBER), plain.try_cast("double"))
 
-def is_finite(c: Column) -> Column:
-    return ~(F.isnan(c) | (F.abs(c) == float("inf")))
+
+def strict_text(text: Column) -> Column:
+    """Cleaned text without thousands separators."""
+    return F.regexp_replace(text, ",", "")
+
+
+def finite(value: Column) -> Column:
+    return F.when(is_finite(value), value)
+
+
+def parse_error(text: Column, value: Column, field: str) -> Column:
+    """Message for cleaned ``text`` whose parsed ``value`` is no finite number; null for blank text."""
+    return F.when(text.isNotNull() & value.isNull(), F.lit(f"{field} must be numeric.")).when(
+        ~is_finite(value), F.lit(f"{field} must be finite."))
 
 
 def strict_number(c: Column) -> Column:
     """Commas dropped, blank is null; text that is no finite number is null (see the error)."""
-    value = _parse(_plain(F.regexp_replace(clean(c), ",", "")))
-    return F.when(is_finite(value), value)
+    return finite(parsed(strict_text(clean(c))))
 
 
 def strict_number_error(c: Column, field: str) -> Column:
-    text = _plain(F.regexp_replace(clean(c), ",", ""))
-    value = _parse(text)
-    return F.when(clean(c).isNull(), F.lit(None).cast("string")).when(
-        value.isNull(), F.lit(f"{field} must be numeric.")
-    ).when(~is_finite(value), F.lit(f"{field} must be finite."))
+    return parse_error(clean(c), parsed(strict_text(clean(c))), field)
 
 
 def lenient_number(c: Column) -> Column:
     """Anything unparseable is null; NaN and infinities pass."""
-    return _parse(_plain(clean(c)))
+    return parsed(clean(c))
 
 
 def numeric_error(c: Column, field: str) -> Column:

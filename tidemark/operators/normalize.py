@@ -69,12 +69,36 @@ def from_map(column: str = "payload") -> Getter:
     return get
 
 
-def _keep(df: DataFrame, keep: list[str]) -> list[Column]:
-    return [F.col(c) for c in keep]
+def _staged(df: DataFrame, get: Getter, keep: list[str] | None, texts: tuple[str, ...],
+            values: tuple[str, ...] = (), **given: Column) -> DataFrame:
+    """Cleaned text of every field as ``t_<field>``, parsed numbers as ``n_<field>``.
 
+    Two projections, so that the text work is done once per field however often rules refer to it.
+    """
+    fields = {f"t_{f}": text.clean(get(f)) for f in (*texts, *values)}
+    fields |= {f"t_{f}": text.clean(c) for f, c in given.items()}
+    cleaned = df.select(*[F.col(c) for c in keep or []], *[c.alias(n) for n, c in fields.items()])
+    return cleaned.withColumns({f"n_{f}": numbers.parsed(numbers.strict_text(F.col(f"t_{f}"))) for f in values})
 
-def _first_error(*checks: Column) -> Column:
-    return F.coalesce(*checks)
+
+def _required(*fields: str) -> list[Column]:
+    return [F.when(F.col(f"t_{f}").isNull(), F.lit(f"{f} is required.")) for f in fields]
+
+
+def _numeric(*fields: str) -> list[Column]:
+    return [numbers.parse_error(F.col(f"t_{f}"), F.col(f"n_{f}"), f) for f in fields]
+
+
+def _error(*checks: Column) -> Column:
+    return F.coalesce(*checks).alias("normalize_error")
+
+
+def _texts(*fields: str) -> list[Column]:
+    return [F.col(f"t_{f}").alias(f) for f in fields]
+
+
+def _values(*fields: str) -> list[Column]:
+    return [numbers.finite(F.col(f"n_{f}")).alias(f) for f in fields]
 
 
 def bulk_transactions(raw: DataFrame) -> DataFrame:
@@ -99,18 +123,10 @@ def bulk_transactions(raw: DataFrame) -> DataFrame:
 def insider_transactions(df: DataFrame, get: Getter, source: str, keep: list[str] | None = None) -> DataFrame:
     texts = ("accession_number", "issuer_cik", "issuer_name", "insider_name", "insider_cik", "transaction_date",
              "filing_date", "form_type", "transaction_code", "ownership_type")
-    error = _first_error(
-        text.required_error(F.lit(source), "source"),
-        text.required_error(get("accession_number"), "accession_number"),
-        text.required_error(get("issuer_cik"), "issuer_cik"),
-        numbers.strict_number_error(get("shares"), "shares"), numbers.strict_number_error(get("price"), "price"),
-    )
-    return df.select(
-        *_keep(df, keep or []), text.clean(F.lit(source)).alias("source"),
-        *[text.clean(get(f)).alias(f) for f in texts],
-        numbers.strict_number(get("shares")).alias("shares"), numbers.strict_number(get("price")).alias("price"),
-        error.alias("normalize_error"),
-    )
+    staged = _staged(df, get, keep, texts, ("shares", "price"), source=F.lit(source))
+    return staged.select(
+        *(keep or []), *_texts("source", *texts), *_values("shares", "price"),
+        _error(*_required("source", "accession_number", "issuer_cik"), *_numeric("shares", "price")))
 
 
 _PRICE_NUMBERS = ("open", "high", "low", "close", "adjusted_close", "volume")
@@ -119,17 +135,13 @@ _PRICE_NUMBERS = ("open", "high", "low", "close", "adjusted_close", "volume")
 def market_prices(df: DataFrame, get: Getter, source: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """Price rows; without ``source`` it is read from the payload."""
     named = F.lit(source) if source is not None else get("source")
-    error = _first_error(
-        text.required_error(named, "source"), text.required_error(get("symbol"), "symbol"),
-        dates.iso_date_error(get("price_date"), "price_date"),
-        *[numbers.strict_number_error(get(f), f) for f in _PRICE_NUMBERS],
-    )
-    return df.select(
-        *_keep(df, keep or []), text.symbol(get("symbol")).alias("symbol"),
-        dates.iso_date(get("price_date")).alias("price_date"),
-        *[numbers.strict_number(get(f)).alias(f) for f in _PRICE_NUMBERS],
-        text.clean(named).alias("source"), error.alias("normalize_error"),
-    )
+    staged = _staged(df, get, keep, ("symbol", "price_date"), _PRICE_NUMBERS, source=named)
+    staged = staged.withColumn("d_price_date", dates.iso_date(F.col("t_price_date")))
+    return staged.select(
+        *(keep or []), F.upper("t_symbol").alias("symbol"), F.col("d_price_date").alias("price_date"),
+        *_values(*_PRICE_NUMBERS), *_texts("source"),
+        _error(*_required("source", "symbol"), dates.iso_date_error(F.col("t_price_date"), "price_date"),
+               *_numeric(*_PRICE_NUMBERS)))
 
 
 def price_records(prices: DataFrame) -> DataFrame:
@@ -139,39 +151,29 @@ def price_records(prices: DataFrame) -> DataFrame:
 
 def corporate_actions(df: DataFrame, get: Getter, source: str, keep: list[str] | None = None) -> DataFrame:
     """Corporate actions; type and source are lowered, as they are in the stored identity."""
-    error = _first_error(
-        text.required_error(F.lit(source), "source"),
-        *[text.required_error(get(f), f) for f in ("symbol", "action_type", "action_date")],
-        numbers.strict_number_error(get("cash_amount"), "cash_amount"),
-    )
-    return df.select(
-        *_keep(df, keep or []), text.symbol(get("symbol")).alias("symbol"),
-        F.lower(text.clean(get("action_type"))).alias("action_type"), text.clean(get("action_date")).alias("action_date"),
-        text.clean(get("ratio")).alias("ratio"), numbers.strict_number(get("cash_amount")).alias("cash_amount"),
-        F.lower(text.clean(F.lit(source))).alias("source"), error.alias("normalize_error"),
-    )
+    staged = _staged(df, get, keep, ("symbol", "action_type", "action_date", "ratio"), ("cash_amount",),
+                     source=F.lit(source))
+    return staged.select(
+        *(keep or []), F.upper("t_symbol").alias("symbol"), F.lower("t_action_type").alias("action_type"),
+        *_texts("action_date", "ratio"), *_values("cash_amount"), F.lower("t_source").alias("source"),
+        _error(*_required("source", "symbol", "action_type", "action_date"), *_numeric("cash_amount")))
 
 
 def insider_records(df: DataFrame, get: Getter, keep: list[str] | None = None) -> DataFrame:
-    error = _first_error(
-        text.required_error(get("symbol"), "symbol"), numbers.strict_number_error(get("shares"), "shares"),
-        numbers.strict_number_error(get("price"), "price"), text.required_error(get("source"), "source"),
-    )
-    return df.select(
-        *_keep(df, keep or []), text.symbol(get("symbol")).alias("symbol"),
-        text.clean(get("record_insider_name")).alias("insider_name"),
-        text.clean(get("record_transaction_date")).alias("transaction_date"),
-        text.clean(get("transaction_type")).alias("transaction_type"),
-        numbers.strict_number(get("shares")).alias("shares"), numbers.strict_number(get("price")).alias("price"),
-        text.clean(get("source")).alias("source"), text.clean(get("accession_number")).alias("accession_number"),
-        error.alias("normalize_error"),
-    )
+    texts = ("symbol", "record_insider_name", "record_transaction_date", "transaction_type", "source",
+             "accession_number")
+    staged = _staged(df, get, keep, texts, ("shares", "price"))
+    return staged.select(
+        *(keep or []), F.upper("t_symbol").alias("symbol"), F.col("t_record_insider_name").alias("insider_name"),
+        F.col("t_record_transaction_date").alias("transaction_date"), *_texts("transaction_type"),
+        *_values("shares", "price"), *_texts("source", "accession_number"),
+        _error(*_required("symbol"), *_numeric("shares", "price"), *_required("source")))
 
 
 def historical_records(df: DataFrame, get: Getter, keep: list[str] | None = None) -> DataFrame:
     """Generic filing records: five fields, all optional."""
     return df.select(
-        *_keep(df, keep or []), text.clean(get("accession_number")).alias("accession_number"),
+        *(keep or []), text.clean(get("accession_number")).alias("accession_number"),
         text.clean(get("historical_filing_date")).alias("filing_date"), text.clean(get("form_type")).alias("form_type"),
         text.clean(get("issuer_cik")).alias("issuer_cik"),
         text.clean(get("historical_issuer_name")).alias("issuer_name"),

@@ -22,7 +22,8 @@ DEFAULTS = {
 def local_session(cores: str = "8", memory: str = "8g", partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench; on a cluster the job's own session is used."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("tidemark")
-    builder = builder.config("spark.driver.memory", memory).config("spark.ui.enabled", "false")
+    builder = builder.config("spark.driver.memory", memory).config("spark.ui.enabled", "false").config(
+        "spark.ui.showConsoleProgress", "false")
     builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
