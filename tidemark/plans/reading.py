@@ -152,8 +152,8 @@ def price_coverage(spark, d):
 def _spaced(spark, d):
     """Filings whose tickers are lower case, padded or white space."""
     t = F.col("ticker")
-    messy = F.when(F.col("acquired_disposed") == "A", F.concat(F.lit(" "), F.lower(t))).when(
-        t.isNull(), F.lit("  ")).otherwise(t)
+    messy = F.when(t.isNull(), F.lit("  ")).when(
+        F.col("acquired_disposed") == "A", F.concat(F.lit(" "), F.lower(t))).otherwise(t)
     return views.filings(spark, d).withColumn("ticker", messy)
 
 
