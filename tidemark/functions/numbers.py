@@ -21,7 +21,7 @@ def parsed(text: Column) -> Column:
     groups may be joined by single underscores (1_000).
     """
     plain = F.regexp_replace(text, r"(?<=\d)_(?=\d)", "")
-    return F.when(plain.rlike(_NUMBER), plain.try_cast("double"))
+    return F.get(F.regexp_extract_all(plain, F.lit(_NUMBER), F.lit(0)), F.lit(0)).try_cast("double")
 
 
 def strict_text(text: Column) -> Column:

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 def clean(c: Column) -> Column:
     """Trim every kind of white space; blank becomes null (Spark ``trim`` strips spaces only)."""
-    stripped = F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", "")
-    return F.nullif(stripped, F.lit(""))
+    return F.get(F.regexp_extract_all(c.cast("string"), F.lit(r"(?Us)\S(?:.*\S)?"), F.lit(0)), F.lit(0))
 
 
 def symbol(c: Column) -> Column:

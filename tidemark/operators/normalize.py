@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, numbers, text
+from tidemark.functions.settle import settled
 
 # The names under which providers deliver each field, best first.
 ALIASES = {
@@ -117,16 +118,16 @@ def bulk_transactions(raw: DataFrame) -> DataFrame:
     out["source"] = F.lit("SEC")
     out["form_type"] = F.coalesce(text.clean(F.col("form_type")), F.lit("4"))
     others = [c for c in raw.columns if c not in out and c != "direct_indirect"]
-    return raw.select(*others, *[c.alias(n) for n, c in out.items()])
+    return settled(raw.select(*others, *[c.alias(n) for n, c in out.items()]), others)
 
 
 def insider_transactions(df: DataFrame, get: Getter, source: str, keep: list[str] | None = None) -> DataFrame:
     texts = ("accession_number", "issuer_cik", "issuer_name", "insider_name", "insider_cik", "transaction_date",
              "filing_date", "form_type", "transaction_code", "ownership_type")
     staged = _staged(df, get, keep, texts, ("shares", "price"), source=F.lit(source))
-    return staged.select(
+    return settled(staged.select(
         *(keep or []), *_texts("source", *texts), *_values("shares", "price"),
-        _error(*_required("source", "accession_number", "issuer_cik"), *_numeric("shares", "price")))
+        _error(*_required("source", "accession_number", "issuer_cik"), *_numeric("shares", "price"))), keep or [])
 
 
 _PRICE_NUMBERS = ("open", "high", "low", "close", "adjusted_close", "volume")
@@ -137,11 +138,11 @@ def market_prices(df: DataFrame, get: Getter, source: str | None = None, keep: l
     named = F.lit(source) if source is not None else get("source")
     staged = _staged(df, get, keep, ("symbol", "price_date"), _PRICE_NUMBERS, source=named)
     staged = staged.withColumn("d_price_date", dates.iso_date(F.col("t_price_date")))
-    return staged.select(
+    return settled(staged.select(
         *(keep or []), F.upper("t_symbol").alias("symbol"), F.col("d_price_date").alias("price_date"),
         *_values(*_PRICE_NUMBERS), *_texts("source"),
         _error(*_required("source", "symbol"), dates.iso_date_error(F.col("t_price_date"), "price_date"),
-               *_numeric(*_PRICE_NUMBERS)))
+               *_numeric(*_PRICE_NUMBERS))), keep or [])
 
 
 def price_records(prices: DataFrame) -> DataFrame:
@@ -153,21 +154,21 @@ def corporate_actions(df: DataFrame, get: Getter, source: str, keep: list[str] |
     """Corporate actions; type and source are lowered, as they are in the stored identity."""
     staged = _staged(df, get, keep, ("symbol", "action_type", "action_date", "ratio"), ("cash_amount",),
                      source=F.lit(source))
-    return staged.select(
+    return settled(staged.select(
         *(keep or []), F.upper("t_symbol").alias("symbol"), F.lower("t_action_type").alias("action_type"),
         *_texts("action_date", "ratio"), *_values("cash_amount"), F.lower("t_source").alias("source"),
-        _error(*_required("source", "symbol", "action_type", "action_date"), *_numeric("cash_amount")))
+        _error(*_required("source", "symbol", "action_type", "action_date"), *_numeric("cash_amount"))), keep or [])
 
 
 def insider_records(df: DataFrame, get: Getter, keep: list[str] | None = None) -> DataFrame:
     texts = ("symbol", "record_insider_name", "record_transaction_date", "transaction_type", "source",
              "accession_number")
     staged = _staged(df, get, keep, texts, ("shares", "price"))
-    return staged.select(
+    return settled(staged.select(
         *(keep or []), F.upper("t_symbol").alias("symbol"), F.col("t_record_insider_name").alias("insider_name"),
         F.col("t_record_transaction_date").alias("transaction_date"), *_texts("transaction_type"),
         *_values("shares", "price"), *_texts("source", "accession_number"),
-        _error(*_required("symbol"), *_numeric("shares", "price"), *_required("source")))
+        _error(*_required("symbol"), *_numeric("shares", "price"), *_required("source"))), keep or [])
 
 
 def historical_records(df: DataFrame, get: Getter, keep: list[str] | None = None) -> DataFrame:

@@ -46,7 +46,12 @@ def _staged(spark: SparkSession, rows: DataFrame, label: str) -> DataFrame:
 def store(spark: SparkSession, batch: DataFrame, table: Table, path: str, index: str,
           created_at: datetime.datetime) -> DataFrame:
     """Classify, stage and append; returns the staged rows with ``outcome``. A row that arrives with an
-    ``outcome`` already (a rejection) passes through."""
+    ``outcome`` already (a rejection) passes through.
+
+    The batch is written before it is classified: parsing and validation then run once, although the
+    classification reads the batch several times.
+    """
+    batch = _staged(spark, batch, f"{table.name}-batch")
     fingerprint = table.hash_column or "_key_print"
     if table.hash_column is None:
         batch = batch.withColumn("_key_print", F.lit(1))

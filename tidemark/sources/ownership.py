@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import numbers, text
+from tidemark.functions.settle import settled
 
 _V = "struct<value: string, _VALUE: string>"
 _TRANSACTION = f"""struct<securityTitle: {_V}, transactionDate: {_V},
@@ -58,17 +59,14 @@ def xml_transactions(docs: DataFrame, keep: list[str]) -> DataFrame:
         _either("t.securityTitle").alias("security_title"), F.lit(None).cast("string").alias("transaction_type"))
 
 
-# Where a JSON document may hold its transactions and their fields, best first.
-JSON_SECTIONS = ("$.ownershipDocument.nonDerivativeTable.nonDerivativeTransaction",
-                 "$.ownershipDocument.derivativeTable.derivativeTransaction",
-                 "$.nonDerivativeTable.nonDerivativeTransaction", "$.derivativeTable.derivativeTransaction",
-                 "$.transactions", "$.transactions.transactions", "$.transactions.transaction", "$.transactions.items",
-                 "$.nonDerivativeTransactions", "$.nonDerivativeTransactions.nonDerivativeTransaction",
-                 "$.nonDerivativeTransactions.transactions", "$.nonDerivativeTransactions.items",
-                 "$.derivativeTransactions", "$.derivativeTransactions.derivativeTransaction",
-                 "$.derivativeTransactions.transactions", "$.derivativeTransactions.items",
-                 "$.transaction", "$.nonDerivativeTransaction", "$.derivativeTransaction")
-_CONTAINERS = ("$.transactions", "$.nonDerivativeTransactions", "$.derivativeTransactions")
+# The names under which a JSON document holds its transactions and their fields, best first.
+TABLES = ("nonDerivativeTable.nonDerivativeTransaction", "derivativeTable.derivativeTransaction")
+CONTAINERS = {
+    "transactions": ("transactions", "transaction", "items"),
+    "nonDerivativeTransactions": ("transactions", "transaction", "items", "nonDerivativeTransaction"),
+    "derivativeTransactions": ("transactions", "transaction", "items", "derivativeTransaction"),
+}
+SINGLES = ("transaction", "nonDerivativeTransaction", "derivativeTransaction")
 JSON_FIELDS = {
     "transaction_code": ("transactionCode", "transaction_code", "code", "transactionCoding.transactionCode"),
     "transaction_date": ("transactionDate", "transaction_date", "date"),
@@ -81,39 +79,62 @@ JSON_FIELDS = {
     "transaction_type": ("transactionType", "transaction_type"),
 }
 
+_TABLES_JSON = "nonDerivativeTable: struct<nonDerivativeTransaction: string>, derivativeTable: struct<derivativeTransaction: string>"
+_HEAD_JSON = "issuer: struct<issuerName: string, name: string>, reportingOwner: string"
+_DOC_JSON = (f"struct<{_TABLES_JSON}, {_HEAD_JSON}, issuerName: string, ownershipDocument: struct<{_TABLES_JSON}, {_HEAD_JSON}>, "
+             + ", ".join(f"{n}: string" for n in (*CONTAINERS, *SINGLES)) + ">")
+_OWNER_JSON = "struct<rptOwnerName: string, reportingOwnerName: string, rptOwnerCik: string, reportingOwnerCik: string>"
+
+
+def _fields_schema() -> str:
+    """Every field name as text; dotted names become one level of nesting."""
+    flat = dict.fromkeys(n for names in JSON_FIELDS.values() for n in names if "." not in n)
+    nested: dict[str, list[str]] = {}
+    for names in JSON_FIELDS.values():
+        for n in names:
+            if "." in n:
+                outer, inner = n.split(".")
+                nested.setdefault(outer, []).append(inner)
+    parts = [f"{n}: string" for n in flat]
+    parts += [f"{o}: struct<{', '.join(f'{i}: string' for i in inner)}>" for o, inner in nested.items()]
+    return f"struct<{', '.join(parts)}>"
 
-def _json_value(raw: str, name: str) -> Column:
-    found = F.get_json_object(raw, f"$.{name}")
-    return F.when(found.startswith("{"), F.get_json_object(raw, f"$.{name}.value")).otherwise(found)
 
+def _unwrapped(c: Column) -> Column:
+    """``{"value": x}`` counts as ``x``."""
+    return F.when(c.startswith("{"), F.get_json_object(c, "$.value")).otherwise(c)
 
-def _json_list(body: str, section: str) -> Column:
-    """The section's objects as JSON texts; one object counts as a list of one."""
-    found = F.get_json_object(body, section)
-    single = F.lit(None).cast("array<string>") if section in _CONTAINERS else F.when(
-        found.startswith("{"), F.array(found))
-    return F.coalesce(F.when(found.startswith("["), F.from_json(found, "array<string>")), single,
-                      F.array().cast("array<string>"))
+
+def _objects(c: Column, single: bool = True) -> Column:
+    """JSON text of a list, or of one object, as a list of object texts."""
+    one = F.when(c.startswith("{"), F.array(c)) if single else F.lit(None).cast("array<string>")
+    return F.coalesce(F.when(c.startswith("["), F.from_json(c, "array<string>")), one, F.array().cast("array<string>"))
 
 
 def json_transactions(docs: DataFrame, column: str, keep: list[str]) -> DataFrame:
     """The same fields from JSON documents; elements that are no objects are left out."""
-    owner = "$.ownershipDocument.reportingOwner"
-    lists = F.concat(*[_json_list(column, s) for s in JSON_SECTIONS])
-    objects = F.filter(lists, lambda x: x.startswith("{"))
-    rows = docs.select(
-        *keep, text.first_nonblank(*[F.get_json_object(column, p) for p in (
-            "$.issuer.issuerName", "$.issuer.name", "$.issuerName", "$.ownershipDocument.issuer.issuerName")]).alias("issuer_name"),
-        text.first_nonblank(*[F.get_json_object(column, p) for p in (
-            "$.reportingOwner.rptOwnerName", "$.reportingOwner[0].rptOwnerName", f"{owner}.rptOwnerName",
-            f"{owner}[0].rptOwnerName")]).alias("insider_name"),
-        text.first_nonblank(*[F.get_json_object(column, p) for p in (
-            "$.reportingOwner.rptOwnerCik", "$.reportingOwner[0].rptOwnerCik", f"{owner}.rptOwnerCik",
-            f"{owner}[0].rptOwnerCik")]).alias("insider_cik"),
+    parsed = docs.withColumn("_doc", F.from_json(column, _DOC_JSON))
+    roots = ("_doc", "_doc.ownershipDocument")
+    lists = [_objects(F.col(f"{r}.{t}")) for r in reversed(roots) for t in TABLES]
+    for name, inner in CONTAINERS.items():
+        body = F.col(f"_doc.{name}")
+        lists.append(_objects(body, single=False))
+        held = F.from_json(F.when(body.startswith("{"), body), f"struct<{', '.join(f'{i}: string' for i in inner)}>")
+        lists += [_objects(held[i]) for i in inner]
+    lists += [_objects(F.col(f"_doc.{n}")) for n in SINGLES]
+    objects = F.filter(F.concat(*lists), lambda x: x.startswith("{"))
+    owner_text = F.coalesce(F.col("_doc.reportingOwner"), F.col("_doc.ownershipDocument.reportingOwner"))
+    heads = parsed.withColumn("_owner", F.from_json(F.get(_objects(owner_text), 0), _OWNER_JSON))
+    rows = heads.select(
+        *keep, text.first_nonblank(F.col("_doc.issuer.issuerName"), F.col("_doc.issuer.name"), F.col("_doc.issuerName"),
+                                   F.col("_doc.ownershipDocument.issuer.issuerName")).alias("issuer_name"),
+        text.first_nonblank(F.col("_owner.rptOwnerName"), F.col("_owner.reportingOwnerName")).alias("insider_name"),
+        text.first_nonblank(F.col("_owner.rptOwnerCik"), F.col("_owner.reportingOwnerCik")).alias("insider_cik"),
         F.posexplode(objects).alias("position", "_raw"))
-    return rows.select(*keep, "position", "issuer_name", "insider_name", "insider_cik", *[
-        text.first_nonblank(*[_json_value("_raw", n) for n in names]).alias(field)
-        for field, names in JSON_FIELDS.items()])
+    typed_rows = rows.withColumn("_t", F.from_json("_raw", _fields_schema()))
+    return settled(typed_rows.select(*keep, "position", "issuer_name", "insider_name", "insider_cik", *[
+        text.first_nonblank(*[_unwrapped(F.col(f"_t.{n}")) for n in names]).alias(field)
+        for field, names in JSON_FIELDS.items()]), [*keep, "position"])
 
 
 def json_metadata(docs: DataFrame, column: str, form: str, accession: str, filed: str) -> DataFrame:
