@@ -8,24 +8,36 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import clean
 
 
-def iso_date(c: Column) -> Column:
-    """Strict ``YYYY-MM-DD`` that exists in the calendar, else null."""
-    text = clean(c)
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
+_ISO = r"^\d{4}-\d{2}-\d{2}$"
 
 
-def iso_date_error(c: Column, field: str) -> Column:
-    text = clean(c)
+def iso_day(text: Column) -> Column:
+    """Cleaned text in strict ``YYYY-MM-DD`` that exists in the calendar, else null."""
+    return F.when(text.rlike(_ISO), text.try_cast("date"))
+
+
+def iso_day_error(text: Column, day: Column, field: str) -> Column:
+    """Message for cleaned ``text`` whose :func:`iso_day` is ``day``."""
     return (
-        F.when(text.isNull(), F.lit(f"{field} is required."))
-        .when(~text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(f"{field} must be in YYYY-MM-DD ISO format."))
-        .when(iso_date(text).isNull(), F.lit(f"{field} is an invalid calendar date."))
+        F.when(day.isNotNull(), F.lit(None).cast("string"))
+        .when(text.isNull(), F.lit(f"{field} is required."))
+        .when(text.rlike(_ISO), F.lit(f"{field} is an invalid calendar date."))
+        .otherwise(F.lit(f"{field} must be in YYYY-MM-DD ISO format."))
     )
 
 
+def iso_date(c: Column) -> Column:
+    return iso_day(clean(c))
+
+
+def iso_date_error(c: Column, field: str) -> Column:
+    return iso_day_error(clean(c), iso_date(c), field)
+
+
 def lenient_iso_date(c: Column) -> Column:
     """``YYYY-MM-DD`` where month and day may have one digit."""
-    return F.try_to_date(clean(c), "yyyy-M-d")
+    text = clean(c)
+    return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), text.try_cast("date"))
 
 
 def filing_date(c: Column) -> Column:
@@ -36,7 +48,7 @@ def filing_date(c: Column) -> Column:
     short = F.when(F.year(short) > 2068, F.add_months(short, -1200)).otherwise(short)
     return F.coalesce(
         F.try_to_date(text, "d-MMM-yyyy"),
-        F.try_to_date(text, "yyyy-M-d"),
+        F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), text.try_cast("date")),
         F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd")),
         short,
     )

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import clean
 
-_NUMBER = r"(?i)^[+-]?((\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)$"
+# Digits may be joined by single underscores (1_000).
+_DIGITS = r"\d+(?:_\d+)*"
+_NUMBER = rf"(?i)^[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf|infinity|nan)$"
 
 
 def is_finite(c: Column) -> Column:
@@ -17,16 +19,15 @@ def is_finite(c: Column) -> Column:
 def parsed(text: Column) -> Column:
     """Cleaned text to a double; NaN and infinities pass, what is no number is null.
 
-    The pattern comes first: Spark's own cast would also take 1.0d and hexadecimal floats. Digit
-    groups may be joined by single underscores (1_000).
+    The pattern comes first: Spark's own cast would also take 1.0d and hexadecimal floats.
     """
-    plain = F.regexp_replace(text, r"(?<=\d)_(?=\d)", "")
-    return F.get(F.regexp_extract_all(plain, F.lit(_NUMBER), F.lit(0)), F.lit(0)).try_cast("double")
+    number = F.get(F.regexp_extract_all(text, F.lit(_NUMBER), F.lit(0)), F.lit(0))
+    return F.replace(number, F.lit("_"), F.lit("")).try_cast("double")
 
 
 def strict_text(text: Column) -> Column:
     """Cleaned text without thousands separators."""
-    return F.regexp_replace(text, ",", "")
+    return F.replace(text, F.lit(","), F.lit(""))
 
 
 def finite(value: Column) -> Column:

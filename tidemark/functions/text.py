@@ -6,9 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Every character that counts as white space at the ends of a text.
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+               "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def clean(c: Column) -> Column:
     """Trim every kind of white space; blank becomes null (Spark ``trim`` strips spaces only)."""
-    return F.get(F.regexp_extract_all(c.cast("string"), F.lit(r"(?Us)\S(?:.*\S)?"), F.lit(0)), F.lit(0))
+    return F.nullif(F.btrim(c.cast("string"), F.lit(WHITE_SPACE)), F.lit(""))
 
 
 def symbol(c: Column) -> Column:

@@ -137,11 +137,11 @@ def market_prices(df: DataFrame, get: Getter, source: str | None = None, keep: l
     """Price rows; without ``source`` it is read from the payload."""
     named = F.lit(source) if source is not None else get("source")
     staged = _staged(df, get, keep, ("symbol", "price_date"), _PRICE_NUMBERS, source=named)
-    staged = staged.withColumn("d_price_date", dates.iso_date(F.col("t_price_date")))
+    staged = staged.withColumn("d_price_date", dates.iso_day(F.col("t_price_date")))
     return settled(staged.select(
         *(keep or []), F.upper("t_symbol").alias("symbol"), F.col("d_price_date").alias("price_date"),
         *_values(*_PRICE_NUMBERS), *_texts("source"),
-        _error(*_required("source", "symbol"), dates.iso_date_error(F.col("t_price_date"), "price_date"),
+        _error(*_required("source", "symbol"), dates.iso_day_error(F.col("t_price_date"), F.col("d_price_date"), "price_date"),
                *_numeric(*_PRICE_NUMBERS))), keep or [])
 
 
@@ -193,5 +193,4 @@ def batch(df: DataFrame, get: Getter, record_type: str, source: str, index: str,
         return out
     message = F.concat(F.lit("Failed to normalize record "), F.col(index).cast("string"), F.lit(": "),
                        F.col("normalize_error"))
-    return out.withColumn(
-        "normalize_error", F.when(F.col("normalize_error").isNotNull(), F.raise_error(message).cast("string")))
+    return out.where(F.when(F.col("normalize_error").isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))

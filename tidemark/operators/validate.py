@@ -19,8 +19,7 @@ def is_valid() -> Column:
 def require_valid(df: DataFrame, prefix: str = "Record validation failed: ") -> DataFrame:
     """The rows themselves; the first invalid one read stops the job with its messages."""
     message = F.concat(F.lit(prefix), F.array_join("errors", "; "))
-    return df.withColumn(
-        "errors", F.when(is_valid(), F.col("errors")).otherwise(F.raise_error(message).cast("array<string>")))
+    return df.where(F.when(is_valid(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
 
 
 def _not_negative(c: Column, field: str) -> Column:

@@ -594,9 +594,9 @@ def action_load_accounting(spark, d):
              AND transaction_code <> 'R' AS good, record_hash, filing_period >= '1999-Q1' AS kept FROM filings),
            r AS (SELECT unnest([1, 2]) AS run)
        SELECT run, filing_period AS period, count(*) AS records_parsed,
-         CASE WHEN run = 1 THEN count(DISTINCT record_hash) FILTER (good AND kept) ELSE 0 END AS records_inserted,
-         count(*) FILTER (good AND kept) - CASE WHEN run = 1 THEN count(DISTINCT record_hash) FILTER (good AND kept)
-           ELSE 0 END AS duplicates_count, count(*) FILTER (NOT good) AS invalid_count FROM v, r GROUP BY ALL""")
+         count(DISTINCT record_hash) FILTER (good AND kept AND run = 1) AS records_inserted,
+         count(*) FILTER (good AND kept) - count(DISTINCT record_hash) FILTER (good AND kept AND run = 1)
+           AS duplicates_count, count(*) FILTER (NOT good) AS invalid_count FROM v, r GROUP BY ALL""")
 def quarter_load(spark, d):
     path = fresh_dir(spark, "insider_transactions")
     landed = sections(spark, d)
