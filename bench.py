@@ -14,10 +14,9 @@ from tidemark.plans import catalog
 from tidemark.session import local_session
 
 HEADLINE = (
-    "event_study_by_code", "event_study_by_symbol", "event_returns", "event_preparation", "backtest_summary",
-    "signal_outcomes", "performance_summary", "created_signals", "price_coverage", "transaction_filter",
-    "historical_read", "bulk_transactions", "price_load_outcomes", "integrity_audit", "period_verification",
-    "reconciliation_summary", "order_risk", "ownership_xml",
+    "event_study_by_code", "event_study_by_symbol", "event_preparation", "backtest_summary", "signal_outcomes",
+    "performance_summary", "price_coverage", "transaction_filter", "historical_read", "integrity_audit",
+    "period_verification", "reconciliation_summary", "order_risk",
 )
 
 

@@ -118,7 +118,7 @@ filings AS (
 
 def feed_prices(spark: SparkSession, sf_dir: str, by_source: bool = False) -> DataFrame:
     """Daily bars: a part is a symbol, a ship date a day; the line status can name the source."""
-    at = F.struct("l_orderkey", "l_linenumber", "px")
+    at = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     source = F.concat(F.lit("feed-"), F.lower("l_linestatus")) if by_source else F.lit("EOD")
     bars = lines(spark, sf_dir).groupBy(
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("symbol"),
@@ -138,8 +138,8 @@ def _prices_sql(name: str, source: str) -> str:
     return f"""{name} AS (
   SELECT *, CASE WHEN volume >= 25 THEN close * 0.98 END AS adjusted_close FROM (
     SELECT 'P' || CAST(l_partkey AS VARCHAR) AS symbol, ship_date AS price_date, {source} AS source,
-           arg_min(px, ROW(l_orderkey, l_linenumber, px)) AS open, max(px) AS high, min(px) AS low,
-           arg_max(px, ROW(l_orderkey, l_linenumber, px)) AS close, sum(l_quantity) AS volume
+           arg_min(px, l_orderkey * 8 + l_linenumber) AS open, max(px) AS high, min(px) AS low,
+           arg_max(px, l_orderkey * 8 + l_linenumber) AS close, sum(l_quantity) AS volume
     FROM lines GROUP BY ALL))"""
 
 
