@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
+from tidemark.operators import skew
 
 Many = str | Iterable[str] | None
 
@@ -259,5 +260,4 @@ def companies_by(rows: DataFrame, companies: DataFrame, on: str) -> DataFrame:
     key = text.symbol(F.col(on)) if on == "ticker" else text.cik(F.col(on))
     chosen = companies.groupBy(on).agg(
         F.min(other).alias(f"company_{other}"), F.min_by("title", other).alias("company_title"))
-    keyed = rows.withColumn(on, key)
-    return keyed.join(chosen, on, "left")
+    return skew.salted_lookup(rows.withColumn(on, key), chosen, [on])

@@ -45,8 +45,10 @@ def salted_lookup(left: DataFrame, right: DataFrame, on: list[str], counts: Data
     """
     counts = counts if counts is not None else key_counts(left, on)
     hot = hot_keys(counts, on).withColumn("_hot", F.lit(True))
+    # Rows without a key match nothing, yet would all meet in one reducer: they are spread as well.
+    keyless = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
     spread = left.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), _salt(left)).otherwise(F.lit(0))
+        "_salt", F.when(F.col("_hot") | keyless, _salt(left)).otherwise(F.lit(0))
     ).drop("_hot")
     copies = right.join(F.broadcast(hot), on, "left").withColumn(
         "_salt",

@@ -278,9 +278,12 @@ def action_envelopes(spark, d):
 
 def _index_docs(spark, d):
     """Filing indexes per customer and quarter as JSON columns; the form column is one short when the
-    first order is pending."""
-    heads = views.submissions(spark, d).withColumn("document", F.concat(F.lit("doc-"), F.col("o_orderkey").cast("string")))
-    packed = heads.groupBy("o_custkey", "filing_period").agg(F.array_sort(F.collect_list(F.struct(
+    first order is pending. Like the real ones a document is limited: it takes the rows of 5,000
+    consecutive orders, so that a large customer has several."""
+    heads = views.submissions(spark, d).withColumns({
+        "document": F.concat(F.lit("doc-"), F.col("o_orderkey").cast("string")),
+        "page": F.floor(F.col("o_orderkey") / 5000)})
+    packed = heads.groupBy("o_custkey", "filing_period", "page").agg(F.array_sort(F.collect_list(F.struct(
         "o_orderkey", "accession_number", "filing_date", "form_type", "document", "o_orderstatus"))).alias("rows"))
     short = F.element_at("rows", 1)["o_orderstatus"] == "P"
     forms = F.when(short, F.slice("rows.form_type", 1, F.size("rows") - 1)).otherwise(F.col("rows.form_type"))
@@ -292,18 +295,18 @@ def _index_docs(spark, d):
         columns.alias("recent"), F.array(F.struct(file.alias("name"))).alias("files")).alias("filings")))
     # Continuation documents hold the columns at top level.
     late = F.col("filing_period") < "1998-Q1"
-    return packed.select("o_custkey", "filing_period", F.when(late, F.to_json(columns)).otherwise(main).alias("doc"))
+    return packed.select("o_custkey", "filing_period", "page", F.when(late, F.to_json(columns)).otherwise(main).alias("doc"))
 
 
 INDEX = """indexed AS (SELECT *, row_number() OVER w - 1 AS position,
-    row_number() OVER w = count(*) OVER (PARTITION BY o_custkey, filing_period)
+    row_number() OVER w = count(*) OVER (PARTITION BY o_custkey, filing_period, o_orderkey // 5000)
       AND first_value(o_orderstatus) OVER w = 'P' AS cut,
     'doc-' || o_orderkey AS document_name
-  FROM submissions WINDOW w AS (PARTITION BY o_custkey, filing_period ORDER BY o_orderkey))"""
+  FROM submissions WINDOW w AS (PARTITION BY o_custkey, filing_period, o_orderkey // 5000 ORDER BY o_orderkey))"""
 
 
 @query("filing_index_rows", "SRC-10",
-       f"""WITH {views.SUBMISSIONS}, {INDEX} SELECT o_custkey, filing_period, position, accession_number,
+       f"""WITH {views.SUBMISSIONS}, {INDEX} SELECT o_custkey, filing_period, o_orderkey // 5000 AS page, position, accession_number,
              CAST(filing_date AS VARCHAR) AS filing_date, CASE WHEN NOT cut THEN form_type END AS form_type, document_name
            FROM indexed""")
 def filing_index_rows(spark, d):
@@ -311,10 +314,11 @@ def filing_index_rows(spark, d):
 
 
 @query("continuation_files", "SRC-11",
-       f"""WITH {views.SUBMISSIONS} SELECT DISTINCT o_custkey, filing_period, 'CIK-' || o_custkey || '.json' AS file_name
+       f"""WITH {views.SUBMISSIONS} SELECT DISTINCT o_custkey, filing_period, o_orderkey // 5000 AS page, 'CIK-' || o_custkey || '.json' AS file_name
            FROM submissions WHERE filing_period >= '1998-Q1'""")
 def continuation_files(spark, d):
-    return filing_index.continuation_files(_index_docs(spark, d), "doc").select("o_custkey", "filing_period", "file_name")
+    return filing_index.continuation_files(_index_docs(spark, d), "doc").select(
+        "o_custkey", "filing_period", "page", "file_name")
 
 
 @query("first_insider_filings", "WN-4 SC-23",

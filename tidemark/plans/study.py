@@ -47,7 +47,7 @@ def study(spark, d, by):
     return rounded(out, "mean_return_pct", "median_return_pct", "positive_event_rate_pct")
 
 
-@query("event_study_by_code", "JN-6 JN-7 SC-14 AGG-1",
+@query("event_study_by_code", "JN-6 JN-7 SC-14 AGG-1 OP-4",
        f"WITH {RETURNS} SELECT transaction_code, horizon_days, {SUMMARY} FROM returns GROUP BY ALL")
 def event_study_by_code(spark, d):
     return study(spark, d, ["transaction_code"])
