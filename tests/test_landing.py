@@ -126,6 +126,14 @@ def test_price_load(spark, rows, tmp_path):
         loads.strict(again, ("REJECTED", "CONFLICT", "FAILED"), "Market-price").collect()
 
 
+def test_equal_rows_with_equal_index_are_stored_once(spark, rows, tmp_path):
+    table = str(tmp_path / "prices")
+    same = rows("index int, payload map<string,string>", *[(0, price())] * 40, (0, price(close="11")))
+    got = loads.load_prices(spark, same.repartition(4), table, "s", NOW).groupBy("outcome").count().collect()
+    assert sum(r["count"] for r in got) == 41 and {r.outcome: r["count"] for r in got}["INSERTED"] == 1
+    assert schemas.read(spark, schemas.MARKET_PRICES, table).count() == 1
+
+
 def test_action_identity_ignores_case(spark, rows, tmp_path):
     table = str(tmp_path / "actions")
     a = {"symbol": "a", "type": "Split", "date": "2024-01-02", "ratio": "2:1"}

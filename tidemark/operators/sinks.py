@@ -23,7 +23,8 @@ INSERTED, DUPLICATE, CONFLICT, REJECTED = "INSERTED", "DUPLICATE", "CONFLICT", "
 
 def classify(batch: DataFrame, stored: DataFrame, key: list[str], fingerprint: str, index: str) -> DataFrame:
     """Adds ``outcome``. Of a new key the row with the smallest index is INSERTED; all others compare
-    with it, or with the stored row when the key exists: same fingerprint DUPLICATE, else CONFLICT."""
+    with it, or with the stored row when the key exists: same fingerprint DUPLICATE, else CONFLICT.
+    The index must be unique, or two rows of a key could both be first."""
     firsts = batch.groupBy(*key).agg(
         F.min(index).alias("_first"), F.min_by(fingerprint, index).alias("_print"), F.count(F.lit(1)).alias("_rows"))
     known = stored.groupBy(*key).agg(F.min(fingerprint).alias("_known"))
@@ -52,6 +53,9 @@ def store(spark: SparkSession, batch: DataFrame, table: Table, path: str, index:
     classification reads the batch several times.
     """
     batch = _staged(spark, batch, f"{table.name}-batch")
+    # Rows may share an index; their place in the staged files tells them apart, on every reading.
+    place = F.struct(index, F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    batch = batch.withColumn("_order", place)
     fingerprint = table.hash_column or "_key_print"
     if table.hash_column is None:
         batch = batch.withColumn("_key_print", F.lit(1))
@@ -61,11 +65,11 @@ def store(spark: SparkSession, batch: DataFrame, table: Table, path: str, index:
     stored = stored.select(*dict.fromkeys([*table.key, fingerprint]))
     if "outcome" in batch.columns:
         open_rows = batch.where(F.col("outcome").isNull()).drop("outcome")
-        done = classify(open_rows, stored, list(table.key), fingerprint, index).unionByName(
+        done = classify(open_rows, stored, list(table.key), fingerprint, "_order").unionByName(
             batch.where(F.col("outcome").isNotNull()))
     else:
-        done = classify(batch, stored, list(table.key), fingerprint, index)
-    staged = _staged(spark, done.drop("_key_print"), table.name)
+        done = classify(batch, stored, list(table.key), fingerprint, "_order")
+    staged = _staged(spark, done.drop("_key_print", "_order"), table.name)
     known = [c for c in staged.columns if c in table.columns]
     fresh = staged.where(F.col("outcome") == INSERTED).select(*known).withColumn(
         "created_at", F.lit(created_at)) if "created_at" in table.columns else staged.where(
