@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the operators are planned for. AQE sizes the reducers and splits skewed
 # joins; forcing the skew rewrite accepts one extra shuffle when the join feeds an aggregate.
@@ -21,12 +21,19 @@ DEFAULTS = {
 }
 
 
-def local_session(cores: str = "8", memory: str = "8g", partitions: int = 8) -> SparkSession:
-    """A local session for tests and the bench; on a cluster the job's own session is used."""
+def local_session(
+    cores: str = "8", memory: str = "8g", partitions: int = 8, shared: str | None = None
+) -> SparkSession:
+    """A local session for tests and the bench; on a cluster the job's own session is used.
+
+    ``shared`` becomes ``spark.checkpoint.dir``, which Spark only takes while the session is built; a
+    session of this function that is given none gets a temporary folder.
+    """
     builder = SparkSession.builder.master(f"local[{cores}]").appName("tidemark")
     builder = builder.config("spark.driver.memory", memory).config("spark.ui.enabled", "false").config(
         "spark.ui.showConsoleProgress", "false")
     builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
+    builder = builder.config("spark.checkpoint.dir", shared or tempfile.mkdtemp(prefix="tidemark-"))
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -35,21 +42,25 @@ def local_session(cores: str = "8", memory: str = "8g", partitions: int = 8) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach.
-
-    Read from ``spark.checkpoint.dir``. Only a local master may go without it: there the driver's
-    temporary folder is the executors' folder too.
-    """
+    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not configured:
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors.")
-    folder = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return configured.rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write once to the shared folder and go on from the files.
+
+    Cuts the lineage: a lost executor costs the tasks that read it, not the work before. The size of
+    the files is known to the planner, which broadcasts a staged side only when it is small enough.
+    """
+    spark = df.sparkSession
+    path = fresh_dir(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
