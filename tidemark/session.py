@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,14 +25,15 @@ def local_session(
 ) -> SparkSession:
     """A local session for tests and the bench; on a cluster the job's own session is used.
 
-    ``shared`` becomes ``spark.checkpoint.dir``, which Spark only takes while the session is built; a
-    session of this function that is given none gets a temporary folder.
+    ``shared`` becomes ``spark.checkpoint.dir``, which Spark only takes while the session is built; without
+    it, the folder that Spark's own defaults name holds.
     """
     builder = SparkSession.builder.master(f"local[{cores}]").appName("tidemark")
     builder = builder.config("spark.driver.memory", memory).config("spark.ui.enabled", "false").config(
         "spark.ui.showConsoleProgress", "false")
     builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
-    builder = builder.config("spark.checkpoint.dir", shared or tempfile.mkdtemp(prefix="tidemark-"))
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
