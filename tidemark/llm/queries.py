@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import near_dedup
+from tidemark.llm import checks, near_dedup, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +20,15 @@ def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def quality_rules_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_quality_rules": quality_rules_of_documents,
     "op8_near_duplicates": near_duplicate_documents,
 }
 
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {
+    "op2_quality_rules": checks.QUALITY_RULES,
+}
