@@ -5,7 +5,7 @@ WITH d AS (
     SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents
 ), listed AS (
     SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
-           list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+           list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
     FROM d
 ), w AS (
     SELECT rid, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM listed

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import checks, near_dedup, quality_rules
+from tidemark.llm import checks, near_dedup, quality_classifier, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,8 +24,13 @@ def quality_rules_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
 
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": quality_rules_of_documents,
+    "op4_quality_classifier": quality_scores,
     "op8_near_duplicates": near_duplicate_documents,
 }
 

@@ -50,7 +50,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 @dataclass
 class Words:
-    """The words of some texts: bytes lowered, start and end of each word, and per text its first word."""
+    """The words of some texts: their bytes, start and end of each word, each text's first word and first byte."""
 
     data: np.ndarray
     starts: np.ndarray
