@@ -156,12 +156,13 @@ LIMITS = tuple(f"{name}_{side}" for name, (_, _, lo, hi) in RATES.items() for si
 
 def fence_table(frame: DataFrame) -> DataFrame:
     """Fences of every language and source of ``frame`` (with its rates), staged."""
-    fine = stage(sketches(frame), "quality-sketches")
-    source = fences(fine, "lang", "source").alias("s")
+    fine = stage(sketches(frame).withColumn("one", F.lit(1)), "quality-sketches")
+    source = fences(fine, "lang", "source", "one").alias("s")
     lang = fences(merged(fine, "lang"), "lang").alias("l")
-    every = fences(merged(fine.withColumn("one", F.lit(1)), "one"), "one").alias("a")
+    every = fences(merged(fine, "one"), "one").alias("a")
     enough = F.lit(LEAST_DOCS)
-    joined = source.join(lang, F.col("s.lang").eqNullSafe(F.col("l.lang"))).withColumn("one", F.lit(1)).join(every, "one")
+    joined = source.join(lang, F.col("s.lang").eqNullSafe(F.col("l.lang"))).join(
+        every, F.col("s.one") == F.col("a.one"))
     chosen = [F.when(F.col("s.n") >= enough, F.col(f"s.{x}")).when(F.col("l.n") >= enough, F.col(f"l.{x}")).otherwise(
         F.col(f"a.{x}")).alias(x) for x in LIMITS]
     return stage(joined.select(F.col("s.lang").alias("f_lang"), F.col("s.source").alias("f_source"), *chosen), "fences")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import checks, near_dedup, quality_classifier, quality_rules
+from tidemark.llm import byte_bpe, checks, near_dedup, quality_classifier, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,10 +29,16 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                            public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": quality_rules_of_documents,
     "op4_quality_classifier": quality_scores,
     "op8_near_duplicates": near_duplicate_documents,
+    "op10_byte_bpe": byte_bpe_round_trip,
 }
 
 CHECKS: dict[str, str] = {
