@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, checks, near_dedup, quality_classifier, quality_rules
+from tidemark.llm import byte_bpe, checks, decontaminate, near_dedup, quality_classifier, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def contaminated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item in it."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, similarity of at least 0.85."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
@@ -35,6 +40,7 @@ def byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": contaminated_documents,
     "op2_quality_rules": quality_rules_of_documents,
     "op4_quality_classifier": quality_scores,
     "op8_near_duplicates": near_duplicate_documents,

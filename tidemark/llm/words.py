@@ -1,7 +1,7 @@
 """Words of Arrow text columns as numpy arrays, without a Python object per word.
 
-A word is a run of bytes other than space and \\t \\n \\v \\f \\r, so it is the same run of characters
-in UTF-8. Every word gets a 64-bit hash of its bytes with A-Z lowered: a polynomial over random byte
+A word is a run of bytes other than space and \\t \\n \\v \\f \\r (or another set of ASCII bytes), so it is the
+same run of characters in UTF-8. Every word gets a 64-bit hash of its bytes with A-Z lowered: a polynomial over random byte
 codes, mixed at the end. Two different words share a hash with a chance of about 2**-64.
 """
 
@@ -24,6 +24,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[list(SPACES)] = True
+#: For passages: everything in ASCII but letters and digits ends a word.
+NOT_ALPHANUMERIC = np.array([k < 128 and not chr(k).isalnum() for k in range(256)])
 _LOWERED_CODES = _CODES[LOWER]
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 2**64)
@@ -90,20 +92,20 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets.astype(np.int64), raw
 
 
-def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
+def chunks(texts: pa.Array, limit: int = CHUNK_BYTES, gaps: np.ndarray = IS_SPACE) -> Iterator[tuple[int, int, Words]]:
     """(from, to, words) for runs of whole texts of about ``limit`` bytes; one longer text is a run."""
     offsets, raw = buffers(texts)
     n, lo = len(offsets) - 1, 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
-        yield lo, hi, split(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+        yield lo, hi, split(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], gaps)
         lo = hi
 
 
-def split(data: np.ndarray, bounds: np.ndarray) -> Words:
+def split(data: np.ndarray, bounds: np.ndarray, gaps: np.ndarray = IS_SPACE) -> Words:
     """Words of consecutive texts; a text's end ends a word."""
     inside = np.zeros(len(data) + 2, dtype=bool)
-    inside[1:-1] = ~IS_SPACE[data]
+    inside[1:-1] = ~gaps[data]
     starts = inside[1:-1] & ~inside[:-2]
     ends = inside[1:-1] & ~inside[2:]
     cut = bounds[1:-1]
