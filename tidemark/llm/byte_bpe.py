@@ -313,20 +313,20 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
 
 def _with_text_last(docs: DataFrame) -> tuple[DataFrame, str]:
     """The frame with its text at the end, and the columns before it as DDL."""
-    others = [f for f in docs.schema.fields if f.name != "text"]
+    others = [f for f in docs.schema.fields if f.name not in ("text", "n_tokens", "ids")]
     ordered = docs.select(*[f"`{f.name}`" for f in others], docs["text"].cast("string").alias("text"))
     return ordered, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
 
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The columns of ``docs`` but ``text``, then n_tokens and ids (array<int>)."""
+    """The columns of ``docs`` but ``text``, then n_tokens and ids (array<int>), in place of any of these names."""
     ordered, ddl = _with_text_last(docs)
     return ordered.mapInArrow(lambda batches: _encode(batches, path, pattern), ddl + "n_tokens bigint, ids array<int>")
 
 
 def decoded(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The columns of ``tokens`` but ``ids``, then the decoded ``text``; ids may be null."""
-    others = [f for f in tokens.schema.fields if f.name != "ids"]
+    """The columns of ``tokens`` but ``ids``, then the decoded ``text``, in place of any; ids may be null."""
+    others = [f for f in tokens.schema.fields if f.name not in ("ids", "text")]
     ordered = tokens.select(*[f"`{f.name}`" for f in others], tokens["ids"].cast("array<int>").alias("ids"))
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
 

@@ -223,3 +223,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return member.join(labels, member["cid"] == labels["node"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "cid", "doc_id").alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that name their component, one of each, with all their columns.
+
+    The ids that go are staged, so the planner broadcasts them only while their files are small. Of several rows of
+    one id the text with the smallest hash stays.
+    """
+    found = stage(near_duplicates(docs, size, percent), "near-duplicates")
+    gone = stage(found.where("NOT kept").select("doc_id").distinct(), "dropped")
+    rest = docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    again = stage(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"),
+                  "repeated")
+    if again.isEmpty():
+        return rest
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = rest.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.min_by(whole, F.xxhash64(F.coalesce("text", F.lit("")))).alias("whole_row")).select("whole_row.*")
+    return rest.join(again, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns]).unionByName(one)
