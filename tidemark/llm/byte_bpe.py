@@ -4,9 +4,9 @@ The merges are never run over a text. A sequence of tokens is the encoding of it
 neighbours are, so the last token of every prefix is unique: the one suffix token that stands next to the last token
 of the prefix before it. A state is the last settled token and the bytes after it; reading a byte finds the new last
 token, and tokens are settled as soon as every continuation passes the same boundary. How far that looks ahead is
-bounded by the longest token. States and arrows are made when first met, kept by key, and all forgotten when
-``STATES`` of them exist, as are the encodings of whole pieces (``PIECES``), so a worker's memory is bounded
-whatever the text. The vocabulary file is a parameter, read by each worker.
+bounded by the longest token. An arrow and its state are made when a second piece takes it, states are kept by key,
+and all are forgotten when ``STATES`` of them exist. Encodings of words are kept too, the lately used of them (``PIECES``), so a worker's
+memory is bounded whatever the text. The vocabulary file is a parameter, read by each worker.
 
 Decoding puts token bytes one after another; text is given out by a small UTF-8 state machine that holds back the
 unfinished character at a chunk's end.
@@ -20,7 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,30 +30,32 @@ from pyspark.sql import DataFrame
 from tidemark.llm import words
 
 STATES = 200_000
-PIECES = 500_000
-PAIRS = 300_000
+PIECES = 400_000
+PAIRS = 200_000
 #: Fixed value: the public pattern that goes with the rank files; other patterns work, without the shortcut at spaces.
 SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class State:
-    """Settled token before (-1: none), the bytes since, and what is known of each prefix of them.
+    """What is known after some bytes of a piece.
 
-    ``last`` has the last token of each prefix and ``path`` its boundaries as bits; ``live`` are the places where a
-    longer token may have begun. Prefixes whose last token began before the settled boundary have no path, and no
-    continuation uses them.
+    ``rest`` are the bytes since the last settled token; ``last`` has that token (-1: none) and then the last token of
+    each prefix of the rest, ``path`` the boundaries of each as bits. ``live`` are the places where a longer token may
+    have begun, with the place in the tree of tokens. A prefix whose last token began before the settled boundary has
+    no path, and no continuation uses it.
     """
 
-    __slots__ = ("left", "rest", "last", "path", "live", "arrows", "ending")
+    __slots__ = ("rest", "last", "path", "live", "arrows", "ending")
 
-    def __init__(self, left: int, rest: bytes, last: tuple[int, ...], path: tuple[int, ...], live: tuple[int, ...]):
-        self.left, self.rest, self.last, self.path, self.live = left, rest, last, path, live
-        self.arrows: dict[int, tuple[State, tuple[int, ...]]] = {}
+    def __init__(self, rest: bytes, last: tuple[int, ...], path: tuple[int, ...], live: tuple[tuple[int, int], ...]):
+        self.rest, self.last, self.path, self.live = rest, last, path, live
+        self.arrows: dict[int, tuple[State, tuple[int, ...]] | None] = {}
         self.ending: tuple[int, ...] | None = None
 
-    def tokens(self, path: int) -> tuple[int, ...]:
-        """The tokens between the boundaries of ``path``."""
-        return tuple(self.last[k] for k in range(1, path.bit_length()) if path >> k & 1)
+
+def _tokens(last: tuple[int, ...], path: int) -> tuple[int, ...]:
+    """The tokens that end at the boundaries of ``path``."""
+    return tuple([last[k] for k in range(1, path.bit_length()) if path >> k & 1])
 
 
 class Transducer:
@@ -64,12 +66,30 @@ class Transducer:
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.prefixes = {token[:k] for token in ranks for k in range(1, len(token))}
-        self.pairs: dict[tuple[int, int], bool] = {}
         self.made: dict[bytes, tuple[bytes, ...]] = {}
         self.edges: dict[tuple[int, int], list[tuple[bytes, int, float]] | None] = {}
+        self.pairs = words.Recent(self.neighbours, PAIRS)
+        # the tree of tokens: child of (place << 8 | byte), token at a place, and whether longer ones follow
+        self.children: dict[int, int] = {}
+        self.token_at, self.inner = [-1], [True]
+        for token, rank in ranks.items():
+            place = 0
+            for byte in token:
+                below = self.children.get(place << 8 | byte)
+                if below is None:
+                    below = self.children[place << 8 | byte] = len(self.token_at)
+                    self.token_at.append(-1)
+                    self.inner.append(False)
+                    self.inner[place] = True
+                place = below
+            self.token_at[place] = rank
+        if any(byte not in self.children for byte in range(256)):
+            raise ValueError("The ranks do not hold every single byte.")
+        self._forget()
+
+    def _forget(self) -> None:
         self.states: dict[tuple[int, bytes], State] = {}
-        self.start = State(-1, b"", (-1,), (1,), ())
+        self.start = State(b"", (-1,), (1,), ())
 
     def halves(self, token: bytes) -> tuple[bytes, ...]:
         """What the token's last merge joins; empty if the merges don't give it whole."""
@@ -120,89 +140,100 @@ class Transducer:
             self.edges[token, side] = known
         return known
 
-    def neighbours(self, left: int, right: int) -> bool:
-        """Do the two tokens stay apart? For left = -1: does the right one come out whole?
+    def neighbours(self, pair: int) -> bool:
+        """Do two tokens side by side stay apart? After none (-1): does the token come out whole?
 
         They do unless some part at the end of the left one and some part at the beginning of the right one, which
         exist at the same time, merge: before the left part is taken in, and not after the right part is (of two
         merges of one rank the left one comes first).
         """
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            starts = self.edge(right, 0)
-            ends = self.edge(left, -1) if left >= 0 else []
-            known = starts is not None and ends is not None and not any(
-                (rank := self.ranks.get(a + b)) is not None
-                and max(rank, made_a, made_b) < taken_a and max(rank, made_a, made_b) <= taken_b
-                for a, made_a, taken_a in ends for b, made_b, taken_b in starts)
-            self.pairs[left, right] = known
-        return known
+        left, right = (pair >> 32) - 1, pair & 0xFFFFFFFF
+        starts = self.edge(right, 0)
+        ends = self.edge(left, -1) if left >= 0 else []
+        if starts is None or ends is None:
+            return False
+        get = self.ranks.get
+        for a, made_a, taken_a in ends:
+            for b, made_b, taken_b in starts:
+                rank = get(a + b)
+                if rank is not None:
+                    when = max(rank, made_a, made_b)
+                    if when < taken_a and when <= taken_b:
+                        return False
+        return True
+
+    def _step(self, last: Sequence[int], live: Sequence[tuple[int, int]], byte: int) -> tuple[int, int, list]:
+        """The last token once ``byte`` is read, where it begins, and the places that stay live."""
+        token, begun, still = -1, 0, []
+        children, pairs = self.children, self.pairs
+        for begin, place in live:  # the longest token first
+            below = children.get(place << 8 | byte)
+            if below is not None:
+                if token < 0:
+                    here = self.token_at[below]
+                    if here >= 0 and pairs[last[begin] + 1 << 32 | here]:
+                        token, begun = here, begin
+                if self.inner[below]:
+                    still.append((begin, below))
+        below, begin = children[byte], len(last) - 1
+        if token < 0:
+            token, begun = self.token_at[below], begin
+        if self.inner[below]:
+            still.append((begin, below))
+        return token, begun, still
 
     def _arrow(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        end = len(state.rest) + 1
-        rest = state.rest + bytes((byte,))
-        begins = (*state.live, end - 1)
-        for begin in begins:
-            token = self.ranks.get(rest[begin:])
-            if token is not None and self.neighbours(state.last[begin], token):
-                break
-        else:
-            raise ValueError("The ranks do not hold every single byte.")
-        last, path = (*state.last, token), (*state.path, state.path[begin] | 1 << end)
-        live = tuple(k for k in begins if rest[k:] in self.prefixes)
-        common = path[end]
-        for k in live:
-            common &= path[k]
-        settled = common.bit_length() - 1
-        given: tuple[int, ...] = ()
-        if settled:
-            given = State(state.left, rest, last, path, live).tokens(path[settled])
+        token, begun, live = self._step(state.last, state.live, byte)
+        end = len(state.last)
+        common = own = state.path[begun] | 1 << end
+        for begin, _ in live:
+            common &= state.path[begin]
+        rest, last, path = state.rest + bytes((byte,)), (*state.last, token), (*state.path, own)
+        settled, given = common.bit_length() - 1, ()
+        if settled:  # every continuation passes this boundary
+            given = _tokens(last, path[settled])
             rest, last = rest[settled:], last[settled:]
-            path = tuple(x >> settled if x >> settled & 1 else 0 for x in path[settled:])
-            live = tuple(k - settled for k in live)
-        if len(self.states) >= STATES:
-            self.states.clear()
-            self.start = State(-1, b"", (-1,), (1,), ())
+            path = tuple([x >> settled if x >> settled & 1 else 0 for x in path[settled:]])
+            live = [(begin - settled, place) for begin, place in live]
         key = (last[0], rest)
         to = self.states.get(key)
         if to is None:
-            to = self.states[key] = State(last[0], rest, last, path, live)
+            if len(self.states) >= STATES:
+                self._forget()
+            to = self.states[key] = State(rest, last, path, tuple(live))
         return to, given
 
+    def _finish(self, state: State, tail: bytes) -> tuple[int, ...]:
+        """Reads a tail that no piece had before without making states for it."""
+        last, path, live = list(state.last), list(state.path), state.live
+        for byte in tail:
+            token, begun, live = self._step(last, live, byte)
+            path.append(path[begun] | 1 << len(last))
+            last.append(token)
+        return _tokens(last, path[-1])
+
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
         state, out = self.start, []
-        for byte in piece:
+        for k, byte in enumerate(piece):
             found = state.arrows.get(byte)
             if found is None:
+                if byte not in state.arrows:  # an arrow is made when it is asked for again
+                    state.arrows[byte] = None
+                    out.extend(self._finish(state, piece[k:]))
+                    return out
                 found = state.arrows[byte] = self._arrow(state, byte)
             state, given = found
             if given:
                 out.extend(given)
         if state.ending is None:
-            state.ending = state.tokens(state.path[-1])
+            state.ending = _tokens(state.last, state.path[-1])
         out.extend(state.ending)
         return out
 
 
-class _Known(dict):
-    """Encodings as little-endian 32-bit integers, made when first asked for."""
-
-    def __init__(self, make: Callable[[str], bytes], most: int):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        made = self[key] = self.make(key)
-        return made
-
-
 class _Together(Exception):
     """A part can't be encoded without its neighbours."""
 
@@ -214,8 +245,8 @@ class Codec:
         self.transducer = Transducer(ranks)
         self.cut = regex.compile(pattern).findall
         self.spaced = pattern == SPACED_PATTERN
-        self.pieces = _Known(self._piece, PIECES // 2)
-        self.parts = _Known(self._part, PIECES)
+        self.pieces = words.Recent(self._piece, PIECES // 4)
+        self.parts = words.Recent(self._part, PIECES)
 
     def _piece(self, piece: str) -> bytes:
         ids = self.transducer.encode(piece.encode())

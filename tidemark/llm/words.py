@@ -1,13 +1,13 @@
 """Words of Arrow text columns as numpy arrays, without a Python object per word.
 
-A word is a run of bytes other than space and \\t \\n \\v \\f \\r (or another set of ASCII bytes), so it is the
-same run of characters in UTF-8. Every word gets a 64-bit hash of its bytes with A-Z lowered: a polynomial over random byte
-codes, mixed at the end. Two different words share a hash with a chance of about 2**-64.
+A word is a run of bytes other than space and \\t \\n \\v \\f \\r (or another set of ASCII bytes), so it is the same
+run of characters in UTF-8. Every word gets a 64-bit hash of its bytes with A-Z lowered: a polynomial over random
+byte codes, mixed at the end. Two different words share a hash with a chance of about 2**-64.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +32,25 @@ _BACK = pow(_STEP, -1, 2**64)
 _POWERS: dict[int, np.ndarray] = {}
 
 
+class Recent(dict):
+    """Values made when first asked for. Those asked for again outlive the rest: when ``most`` are held they become
+    the older generation, from which they are taken over one by one, and the generation before is forgotten."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        made = self.old.get(key)
+        if made is None:
+            made = self.make(key)
+        if len(self) >= self.most:
+            self.old = self.copy()
+            self.clear()
+        self[key] = made
+        return made
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every bit of a 64-bit value over all bits."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
