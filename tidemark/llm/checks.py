@@ -63,3 +63,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
            AND 10 * word_chars // n_words BETWEEN f.length_lo AND f.length_hi, false) AS kept
 FROM picked
 """
+
+CHAT = """
+WITH t AS (
+    SELECT conv_id, role, text, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place
+    FROM conversations WHERE conv_id IS NOT NULL
+), p AS (
+    SELECT *, list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY place) AS turns,
+           count(*) OVER (PARTITION BY conv_id) AS n
+    FROM t
+), heads AS (
+    SELECT turns, n, min(conv_id) AS conv_id, count(*) AS n_copies FROM p WHERE place = n GROUP BY turns, n
+), kept AS (
+    SELECT h.conv_id, h.n, h.n_copies FROM heads h
+    WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.place < p.n AND p.place = h.n AND p.turns = h.turns)
+)
+SELECT t.conv_id, CAST(t.place AS BIGINT) AS place, CAST(k.n AS BIGINT) AS n_turns, CAST(k.n_copies AS BIGINT) AS n_copies,
+       '<|im_start|>' || coalesce(t.role, 'unknown') || chr(10) || coalesce(t.text, '') || '<|im_end|>' || chr(10) AS rendered
+FROM t JOIN kept k ON t.conv_id = k.conv_id
+"""

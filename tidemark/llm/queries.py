@@ -7,7 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, checks, decontaminate, near_dedup, quality_classifier, quality_rules
+from tidemark.llm import (
+    byte_bpe,
+    chat,
+    checks,
+    decontaminate,
+    html_text,
+    language_id,
+    language_model,
+    near_dedup,
+    quality_classifier,
+    quality_rules,
+    token_counts,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,14 +51,42 @@ def byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
                             public_tokenizers.PATTERN)
 
 
+def language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(table(spark, sf_dir, "documents"))
+
+
+def maximal_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered turns of the conversations that begin no longer one."""
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
+def unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file's pieces and scores, read as a unigram vocabulary."""
+    return token_counts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+def document_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": contaminated_documents,
     "op2_quality_rules": quality_rules_of_documents,
+    "op3_language_model": language_model_scores,
     "op4_quality_classifier": quality_scores,
+    "op5_chat_formatting": maximal_conversations,
+    "op6_token_counts": unigram_token_counts,
+    "op7_html_extraction": page_texts,
     "op8_near_duplicates": near_duplicate_documents,
+    "op9_language_id": document_languages,
     "op10_byte_bpe": byte_bpe_round_trip,
 }
 
 CHECKS: dict[str, str] = {
     "op2_quality_rules": checks.QUALITY_RULES,
+    "op5_chat_formatting": checks.CHAT,
 }
