@@ -292,3 +292,35 @@ def test_stream_replay_and_late_files(spark, tmp_path):
     assert schemas.read(spark, schemas.MARKET_PRICES, str(tmp_path / "t")).count() == 2
     outcomes = spark.read.parquet(str(tmp_path / "o"))
     assert sorted(r.outcome for r in outcomes.collect()) == ["DUPLICATE", "INSERTED", "INSERTED"]
+
+
+def test_a_delivery_run_again_keeps_its_outcomes(spark, rows, tmp_path, monkeypatch):
+    table, work = str(tmp_path / "t"), str(tmp_path / "w")
+    batch = loads.judged_prices(records(rows, price(), price("B"), price("B"), price(close="x")), "s")
+
+    def store():
+        return sorted((r["index"], r.outcome) for r in sinks.store(
+            spark, batch, schemas.MARKET_PRICES, table, "index", NOW, work).collect())
+
+    with monkeypatch.context() as m:  # fails after the outcomes are written and before the append
+        m.setattr(schemas, "append", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            store()
+    want = [(0, "INSERTED"), (1, "INSERTED"), (2, "DUPLICATE"), (3, "REJECTED")]
+    for _ in range(2):  # fails after the append: the second time nothing is left to append
+        assert store() == want
+        assert schemas.read(spark, schemas.MARKET_PRICES, table).count() == 2
+
+
+def test_store_refuses_unknown_columns(spark, rows, tmp_path):
+    df = rows("index int, signal_key string, not_a_column string", (0, "k", "x"))
+    with pytest.raises(ValueError, match="Unknown columns for signals: not_a_column"):
+        sinks.store(spark, df, schemas.SIGNALS, str(tmp_path / "t"), "index", NOW)
+
+
+def test_stage_copies_hold_no_payload(spark, rows, tmp_path):
+    work = str(tmp_path / "w")
+    batch = loads.judged_prices(records(rows, price()), "s")
+    sinks.store(spark, batch, schemas.MARKET_PRICES, str(tmp_path / "t"), "index", NOW, work)
+    kept = spark.read.parquet(f"{work}/outcomes").columns
+    assert "close" not in kept and {"symbol", "price_date", "source", "record_hash", "outcome", "reason"} <= set(kept)

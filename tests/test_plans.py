@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from tidemark import schemas
-from tidemark.operators import access, asof
+from tidemark.operators import access, asof, sinks
 
 
 def plan(df):
@@ -42,3 +42,18 @@ def test_as_of_lookup_is_one_shuffle_and_no_join(rows):
 def test_top_k_does_not_sort_everything(rows):
     text = plan(access.newest(rows("k string, d date", ("a", None)), ["d"], "k"))
     assert "TakeOrderedAndProject" in text
+
+
+def test_a_load_reads_only_its_partitions_of_the_target(spark, rows, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    path = str(tmp_path / "p")
+    ddl = "symbol string, price_date date, close double, source string, record_hash string, price_year int"
+    old = [("A", datetime.date(y, 1, 2), 1.0, "s", "h", y) for y in (2020, 2021, 2022)]
+    schemas.append(rows(ddl, *old), schemas.MARKET_PRICES, path)
+    batch = rows(ddl, ("A", datetime.date(2021, 1, 2), 1.0, "s", "h", 2021), ("B", datetime.date(2021, 3, 4), 1.0, "s", "h", 2021))
+    stored = sinks.stored_for(spark, batch, schemas.MARKET_PRICES, path)
+    text = plan(sinks.classify(batch.withColumn("index", F.lit(1)), stored.select("symbol", "price_date", "source", "record_hash"),
+                               ["symbol", "price_date", "source"], "record_hash", "index"))
+    assert "PartitionFilters: [isnotnull(price_year" in text and "price_year#" in text and "= 2021)" in text
+    assert "LeftSemi" in text
+    assert stored.count() == 1

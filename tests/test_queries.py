@@ -19,7 +19,7 @@ FOLDER = pathlib.Path("/root/testdata/sf0.001")
 SELECTION = (
     "event_study_by_code", "event_preparation", "signal_outcomes", "created_signals", "validated_signals", "strict_numbers",
     "price_hashes", "normalized_prices", "historical_read", "price_coverage", "quarter_spine", "reconciled_ids",
-    "provenance_safety", "position_rollup", "bulk_records", "filing_index_rows", "ownership_xml", "price_load_outcomes",
+    "provenance_safety", "bulk_records", "filing_index_rows", "ownership_xml", "price_load_outcomes",
     "archive_expansion", "quarter_load",
 )
 NAMES = list(entry.queries()) if os.environ.get("ALL_QUERIES") else list(SELECTION)

@@ -112,11 +112,3 @@ def test_risk(rows):
     assert not got[4].approved
     with pytest.raises(ValueError):
         risk.Limits(0, 1, 1)
-
-
-def test_positions_roll_up(rows):
-    ledger = rows("symbol string, seq int, side string, quantity double, price double",
-                  ("A", 1, "buy", 10.0, 10.0), ("A", 2, "buy", 10.0, 20.0), ("A", 3, "sell", 5.0, 99.0), ("A", 4, "sell", 50.0, 1.0),
-                  ("B", 1, "buy", 1.0, 5.0), ("B", 2, "sell", 1.0, 6.0), ("B", 3, "buy", 2.0, 7.0), ("C", 1, "sell", 1.0, 1.0))
-    got = {r.symbol: tuple(r)[1:] for r in risk.roll_positions(ledger, ["seq"]).collect()}
-    assert got == {"A": (15.0, 15.0, 2, 1, 1), "B": (2.0, 7.0, 2, 1, 0), "C": (0.0, 0.0, 0, 0, 1)}

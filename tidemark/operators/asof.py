@@ -20,14 +20,13 @@ def price_series(prices: DataFrame, series: str = "close", source_priority: Iter
     """One row per symbol and date from raw or adjusted closes, never a mix of both.
 
     Rows without the chosen price are dropped. Several sources on a date collapse to one: the first
-    in ``source_priority``, then a fixed order of the names (by their hash: a whole number keeps the
-    aggregation in a hash table, where text would force a sort).
+    in ``source_priority``, then the first by name.
     """
     order = list(source_priority)
     rank = F.lit(len(order))
     for i, name in reversed(list(enumerate(order))):
         rank = F.when(F.col("source") == name, F.lit(i)).otherwise(rank)
-    place = F.shiftleft(rank.cast("long"), 48) + F.pmod(F.xxhash64("source"), F.lit(1 << 48))
+    place = F.struct(rank, "source")
     px = F.col(series)
     return (
         prices.where(px.isNotNull())

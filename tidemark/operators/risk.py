@@ -1,11 +1,9 @@
-"""Exposure, order checks and position roll-up."""
+"""Exposure and order checks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,43 +67,3 @@ def check_orders(orders: DataFrame, positions: DataFrame, limits: Limits) -> Dat
     )
     return joined.withColumns({"projected_exposure": F.col("existing_exposure") + value, "reasons": reasons}).withColumn(
         "approved", F.size("reasons") == 0).drop("_held", "_open")
-
-
-_ROLLED = "symbol string, quantity double, reference_price double, buys long, sells long, rejected_sells long"
-
-
-def _roll(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walk rows sorted by symbol and sequence; only the current symbol's totals are held."""
-    symbol, quantity, cost, buys, sells, rejected = None, 0.0, 0.0, 0, 0, 0
-    for batch in batches:
-        done = []
-        for row_symbol, side, size, price in zip(batch["symbol"], batch["side"], batch["quantity"], batch["price"]):
-            if row_symbol != symbol:
-                if symbol is not None:
-                    done.append((symbol, quantity, cost, buys, sells, rejected))
-                symbol, quantity, cost, buys, sells, rejected = row_symbol, 0.0, 0.0, 0, 0, 0
-            if side == "buy":
-                cost = (quantity * cost + size * price) / (quantity + size)
-                quantity += size
-                buys += 1
-            elif size > quantity:
-                rejected += 1
-            else:
-                quantity -= size
-                cost = cost if quantity else 0.0
-                sells += 1
-        yield pd.DataFrame(done, columns=["symbol", "quantity", "reference_price", "buys", "sells", "rejected_sells"])
-    if symbol is not None:
-        yield pd.DataFrame([(symbol, quantity, cost, buys, sells, rejected)],
-                           columns=["symbol", "quantity", "reference_price", "buys", "sells", "rejected_sells"])
-
-
-def roll_positions(ledger: DataFrame, order_by: list[str]) -> DataFrame:
-    """Final position per symbol from ``(symbol, side, quantity, price)`` rows in ``order_by`` order.
-
-    Buys average the cost by quantity, sells keep it, a sell above the held quantity is rejected and
-    a position sold to zero is closed (quantity 0). Whether a sell is rejected depends on everything
-    before it, so a symbol is walked in order; rows stream past and none are collected.
-    """
-    ordered = ledger.repartition("symbol").sortWithinPartitions("symbol", *order_by)
-    return ordered.select("symbol", "side", "quantity", "price").mapInPandas(_roll, _ROLLED)

@@ -1,8 +1,10 @@
 """Idempotent writes with an outcome for every row.
 
-A batch is classified against the stored keys, the classified rows are written once to a staging
-folder, and new rows are appended from there. A repeated delivery therefore changes nothing. Parquet
-has no unique constraint: each table has one writing job at a time, and the audits recheck the keys.
+A batch is parsed once into a work folder, classified against the stored rows of its own keys, and its
+outcomes (keys, fingerprint, index, no payload) are written beside it before new rows are appended. A
+repeated delivery changes nothing, and a delivery that is run again after a failure keeps the outcomes it
+has. Parquet has no unique constraint: each table has one writing job at a time, and the audits recheck
+the keys. Work folders belong to the caller and may go once the delivery's outcomes are no longer wanted.
 """
 
 from __future__ import annotations
@@ -16,9 +18,11 @@ from tidemark import schemas
 from tidemark.functions import dates, hashing, text
 from tidemark.operators import skew
 from tidemark.schemas import Table
-from tidemark.session import fresh_dir
+from tidemark.session import fresh_dir, written
 
 INSERTED, DUPLICATE, CONFLICT, REJECTED = "INSERTED", "DUPLICATE", "CONFLICT", "REJECTED"
+#: Columns a batch may carry beside the table's own.
+BOOKKEEPING = frozenset(("index", "outcome", "reason", "errors"))
 
 
 def classify(batch: DataFrame, stored: DataFrame, key: list[str], fingerprint: str, index: str) -> DataFrame:
@@ -27,7 +31,9 @@ def classify(batch: DataFrame, stored: DataFrame, key: list[str], fingerprint: s
     The index must be unique, or two rows of a key could both be first."""
     firsts = batch.groupBy(*key).agg(
         F.min(index).alias("_first"), F.min_by(fingerprint, index).alias("_print"), F.count(F.lit(1)).alias("_rows"))
-    known = stored.groupBy(*key).agg(F.min(fingerprint).alias("_known"))
+    # Only stored rows of the batch's keys are grouped; a small batch is broadcast and the rest never shuffled.
+    touched = stored.join(firsts.select(*key), key, "left_semi")
+    known = touched.groupBy(*key).agg(F.min(fingerprint).alias("_known"))
     ruled = firsts.join(known, key, "left")
     joined = skew.salted_lookup(batch, ruled.drop("_rows"), key, firsts.select(*key, "_rows"))
     same = F.col(fingerprint) == F.coalesce("_known", "_print")
@@ -38,44 +44,62 @@ def classify(batch: DataFrame, stored: DataFrame, key: list[str], fingerprint: s
     return joined.withColumn("outcome", outcome).drop("_first", "_print", "_known")
 
 
-def _staged(spark: SparkSession, rows: DataFrame, label: str) -> DataFrame:
-    path = fresh_dir(spark, f"staging-{label}")
-    rows.write.parquet(path)
-    return spark.read.parquet(path)
+def stored_for(spark: SparkSession, batch: DataFrame, table: Table, path: str) -> DataFrame:
+    """The stored rows that can share a key with the batch: those of its partitions, where the key tells them.
+
+    The list of partition values is as long as the batch has partitions (years, quarters).
+    """
+    stored = schemas.read(spark, table, path)
+    for column in table.key_partitions:
+        values = [r[0] for r in batch.select(column).distinct().collect()]
+        given = F.col(column).isin([v for v in values if v is not None])
+        stored = stored.where(given | F.col(column).isNull() if None in values else given)
+    return stored
 
 
 def store(spark: SparkSession, batch: DataFrame, table: Table, path: str, index: str,
-          created_at: datetime.datetime) -> DataFrame:
-    """Classify, stage and append; returns the staged rows with ``outcome``. A row that arrives with an
-    ``outcome`` already (a rejection) passes through.
+          created_at: datetime.datetime, work: str | None = None, outcome_path: str | None = None) -> DataFrame:
+    """Classify and append; returns index, key, fingerprint, partition, reason, errors and ``outcome`` of every row.
 
-    The batch is written before it is classified: parsing and validation then run once, although the
-    classification reads the batch several times.
+    A row that arrives with an ``outcome`` already (a rejection) passes through. Columns that neither the table nor
+    the bookkeeping knows are refused. ``work`` names the delivery's folder: run again with the same one, a step that
+    was completed is not repeated, the outcomes stay, and only rows that did not reach the table are appended.
     """
-    batch = _staged(spark, batch, f"{table.name}-batch")
-    # Rows may share an index; their place in the staged files tells them apart, on every reading.
+    unknown = sorted(set(batch.columns) - set(table.columns) - BOOKKEEPING - {index})
+    if unknown:
+        raise ValueError(f"Unknown columns for {table.name}: {', '.join(unknown)}.")
+    work = work or fresh_dir(spark, f"work-{table.name}")
+    outcome_path = outcome_path or f"{work}/outcomes"
+    parsed = f"{work}/batch"
+    if not written(spark, parsed):
+        batch.write.mode("overwrite").parquet(parsed)
+    # Rows may share an index; their place in the work folder's files tells them apart, on every reading.
     place = F.struct(index, F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-    batch = batch.withColumn("_order", place)
-    fingerprint = table.hash_column or "_key_print"
-    if table.hash_column is None:
-        batch = batch.withColumn("_key_print", F.lit(1))
-    stored = schemas.read(spark, table, path)
-    if table.hash_column is None:
-        stored = stored.withColumn("_key_print", F.lit(1))
-    stored = stored.select(*dict.fromkeys([*table.key, fingerprint]))
-    if "outcome" in batch.columns:
-        open_rows = batch.where(F.col("outcome").isNull()).drop("outcome")
-        done = classify(open_rows, stored, list(table.key), fingerprint, "_order").unionByName(
-            batch.where(F.col("outcome").isNotNull()))
-    else:
-        done = classify(batch, stored, list(table.key), fingerprint, "_order")
-    staged = _staged(spark, done.drop("_key_print", "_order"), table.name)
-    known = [c for c in staged.columns if c in table.columns]
-    fresh = staged.where(F.col("outcome") == INSERTED).select(*known).withColumn(
-        "created_at", F.lit(created_at)) if "created_at" in table.columns else staged.where(
-        F.col("outcome") == INSERTED).select(*known)
+    rows = spark.read.schema(batch.schema).parquet(parsed).withColumn("_order", place)
+    key, fingerprint = list(table.key), table.hash_column or "_key_print"
+    known = [c for c in dict.fromkeys([index, *key, *filter(None, [table.hash_column]), *table.partition_by, "reason", "errors",
+                                       "_order"]) if c in rows.columns]
+    resumed = written(spark, outcome_path)
+    if not resumed:
+        judged = rows.select(*known, *(["outcome"] if "outcome" in rows.columns else []))
+        given = F.col("outcome") if "outcome" in rows.columns else F.lit(None).cast("string")
+        judged = judged.withColumn("outcome", given)
+        undecided = judged.where(F.col("outcome").isNull()).drop("outcome")
+        stored = stored_for(spark, undecided, table, path)
+        if table.hash_column is None:
+            undecided, stored = undecided.withColumn("_key_print", F.lit(1)), stored.withColumn("_key_print", F.lit(1))
+        done = classify(undecided, stored.select(*dict.fromkeys([*key, fingerprint])), key, fingerprint, "_order")
+        done.select(*known, "outcome").unionByName(judged.where(F.col("outcome").isNotNull())).write.mode(
+            "overwrite").parquet(outcome_path)
+    outcomes = spark.read.parquet(outcome_path)
+    fresh = rows.join(outcomes.where(F.col("outcome") == INSERTED).select("_order"), "_order", "left_semi")
+    if resumed:
+        fresh = fresh.join(stored_for(spark, fresh, table, path).select(*key), key, "left_anti")
+    fresh = fresh.select(*[c for c in fresh.columns if c in table.columns])
+    if "created_at" in table.columns:
+        fresh = fresh.withColumn("created_at", F.lit(created_at))
     schemas.append(fresh, table, path)
-    return staged
+    return outcomes.drop("_order")
 
 
 def outcome_counts(rows: DataFrame, by: list[str] | None = None) -> DataFrame:

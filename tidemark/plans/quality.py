@@ -371,28 +371,3 @@ def order_risk(spark, d):
     out = risk.check_orders(orders, _positions(spark, d), risk.Limits(600_000, 1e12, 50_000, 1_000_000_000))
     return rounded(out.select("l_orderkey", "l_linenumber", "symbol", "ship_date", "order_value",
                               F.array_join("reasons", "; ").alias("reasons"), "approved"), "order_value", places=2)
-
-
-@query("position_rollup", "RK-2",
-       f"""WITH RECURSIVE {views.LINES}, ledger AS (SELECT 'P' || CAST(l_partkey AS VARCHAR) AS symbol,
-         l_returnflag <> 'R' AS is_buy, l_quantity AS quantity, px AS price, row_number() OVER (PARTITION BY l_partkey
-           ORDER BY ship_date, l_orderkey, l_linenumber, l_suppkey, l_quantity, px) AS i FROM lines),
-       roll AS (SELECT symbol, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS q, CAST(0 AS DOUBLE) AS c,
-           CAST(0 AS BIGINT) AS buys, CAST(0 AS BIGINT) AS sells, CAST(0 AS BIGINT) AS rejected
-         FROM (SELECT DISTINCT symbol FROM ledger)
-         UNION ALL
-         SELECT r.symbol, l.i, CASE WHEN l.is_buy THEN q + l.quantity WHEN l.quantity > q THEN q ELSE q - l.quantity END,
-           CASE WHEN l.is_buy THEN (q * c + l.quantity * l.price) / (q + l.quantity) WHEN l.quantity = q THEN 0 ELSE c END,
-           buys + CASE WHEN l.is_buy THEN 1 ELSE 0 END,
-           sells + CASE WHEN NOT l.is_buy AND l.quantity <= q THEN 1 ELSE 0 END,
-           rejected + CASE WHEN NOT l.is_buy AND l.quantity > q THEN 1 ELSE 0 END
-         FROM roll r JOIN ledger l ON l.symbol = r.symbol AND l.i = r.i + 1)
-       SELECT symbol, arg_max(q, i) AS quantity, round(arg_max(c, i), 6) AS reference_price, max(buys) AS buys,
-         max(sells) AS sells, max(rejected) AS rejected_sells FROM roll GROUP BY ALL""")
-def position_rollup(spark, d):
-    ledger = views.lines(spark, d).select(
-        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("symbol"),
-        F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"), F.col("l_quantity").alias("quantity"),
-        F.col("px").alias("price"), "ship_date", "l_orderkey", "l_linenumber", "l_suppkey")
-    order = ["ship_date", "l_orderkey", "l_linenumber", "l_suppkey", "quantity", "price"]
-    return rounded(risk.roll_positions(ledger, order), "reference_price")

@@ -17,6 +17,8 @@ class Table:
     key: tuple[str, ...]
     hash_column: str | None = None
     partition_by: tuple[str, ...] = ()
+    #: Partition columns whose value follows from the key, so rows of one key are in one partition.
+    key_partitions: tuple[str, ...] = ()
 
     @property
     def schema(self) -> StructType:
@@ -46,7 +48,7 @@ MARKET_PRICES = Table(
     "market_prices",
     """symbol string, price_date date, open double, high double, low double, close double, adjusted_close double,
     volume double, source string, record_hash string, created_at timestamp, price_year int""",
-    ("symbol", "price_date", "source"), "record_hash", ("price_year",))
+    ("symbol", "price_date", "source"), "record_hash", ("price_year",), ("price_year",))
 
 CORPORATE_ACTIONS = Table(
     "corporate_actions",

@@ -54,6 +54,12 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
+def written(spark: SparkSession, path: str) -> bool:
+    """Was a write to this folder completed? On any file system Spark knows."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write once to the shared folder and go on from the files.
 
