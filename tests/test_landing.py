@@ -265,9 +265,12 @@ def test_blank_provenance_is_refused(rows):
 
 def test_cleanup_needs_a_passed_audit(spark, rows, tmp_path):
     df = rows("record_type string, record_id string", ("insider_transaction", "1"), ("dataset_period", "2"))
-    assert sinks.cleanup_provenance(spark, df, False, None).first().removed == 1
+    safety = rows("can_cleanup boolean", (False,))
+    assert sinks.cleanup_provenance(spark, df, safety, None).first().removed == 1
     with pytest.raises(ValueError, match="clean-up refused"):
-        sinks.cleanup_provenance(spark, df, False, str(tmp_path / "x"), execute=True)
+        sinks.cleanup_provenance(spark, df, safety, str(tmp_path / "x"), execute=True)
+    sinks.cleanup_provenance(spark, df, rows("can_cleanup boolean", (True,)), str(tmp_path / "x"), execute=True)
+    assert spark.read.parquet(str(tmp_path / "x")).count() == 1
 
 
 def test_present_tables(spark, rows, tmp_path):

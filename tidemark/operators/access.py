@@ -238,6 +238,13 @@ def decode_results(events: DataFrame, event_type: str, payload_schema: str, symb
     return out.withColumn("result", F.from_json("result_payload", payload_schema))
 
 
+def result_by_key(events: DataFrame, key: str) -> DataFrame:
+    """The stored result of one key."""
+    if not key.strip():
+        raise ValueError("event_key cannot be empty.")
+    return events.where(F.col("event_key") == key.strip())
+
+
 def pending_periods(periods: DataFrame, state: DataFrame, force: bool = False) -> DataFrame:
     """Quarters still to be done: failed, partial and unknown ones are tried again."""
     if force:

@@ -231,20 +231,24 @@ def backtest_results(run_id: str, trades: DataFrame, summary: DataFrame, methodo
     return head.unionByName(rows)
 
 
-def cleanup_provenance(spark: SparkSession, provenance: DataFrame, eligible: bool, out_path: str | None,
+class CleanupRefused(ValueError):
+    """The safety audit does not allow the clean-up."""
+
+
+def cleanup_provenance(spark: SparkSession, provenance: DataFrame, safety: DataFrame, out_path: str | None,
                        execute: bool = False) -> DataFrame:
     """Counts of what a clean-up of per-transaction provenance removes and keeps.
 
-    Without ``execute`` nothing is written. With it the audit must have found the clean-up safe; the
-    kept rows, dataset provenance included, go to ``out_path``.
+    Without ``execute`` nothing is written. With it ``safety``, the row of ``audit.provenance_safety``, must say
+    that the clean-up is safe; the kept rows, dataset provenance included, go to ``out_path``.
     """
     per_transaction = F.col("record_type") == "insider_transaction"
     counts = provenance.agg(
         F.count_if(per_transaction).alias("removed"), F.count_if(~per_transaction).alias("kept"),
         F.count_if(F.col("record_type") == "dataset_period").alias("protected"))
     if execute:
-        if not eligible:
-            raise ValueError("Safety audit failed: clean-up refused.")
+        if not safety.select("can_cleanup").first()[0]:
+            raise CleanupRefused("Safety audit failed: clean-up refused.")
         if not out_path:
             raise ValueError("out_path is required to execute.")
         provenance.where(~per_transaction).write.parquet(out_path)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
+from tidemark import schemas
 from tidemark.functions import dates
 from tidemark.operators import access, asof, loads, research, sinks
 from tidemark.plans import study, views
 from tidemark.plans.registry import query
 from tidemark.plans.study import rounded
+from tidemark.session import fresh_dir, stage
+
+STAMP = datetime.datetime(2002, 1, 2)
 
 ID = ["accession_number", "transaction_key"]
 
@@ -190,12 +196,15 @@ def newest_signals(spark, d):
         "signal_key", "signal_date", "input_index")
 
 
+SYMBOL = "C7"
+
+
 @query("signals_of_symbol", "FLT-6",
-       f"""WITH {views.SUBMISSIONS}, {views.SIGNALS} SELECT symbol, signal_type, count(*) AS signals,
-             max(signal_date) AS newest FROM signals GROUP BY ALL""")
+       f"""WITH {views.SUBMISSIONS}, {views.SIGNALS} SELECT signal_key, symbol, signal_type, signal_date, input_index FROM signals
+           WHERE symbol = '{SYMBOL}' ORDER BY signal_date DESC, input_index LIMIT 100""")
 def signals_of_symbol(spark, d):
-    return views.signals(spark, d).groupBy("symbol", "signal_type").agg(
-        F.count(F.lit(1)).alias("signals"), F.max("signal_date").alias("newest"))
+    return access.newest(views.signals(spark, d), ["signal_date"], "input_index", symbol=SYMBOL).select(
+        "signal_key", "symbol", "signal_type", "signal_date", "input_index")
 
 
 @query("trade_runs_by_mode", "FLT-8 ORD-3",
@@ -279,3 +288,74 @@ def stored_backtest(spark, d):
         "event_key", "event_type",
         F.get_json_object("result_payload", "$.summary.trade_count").cast("bigint").alias("trade_count"),
         F.get_json_object("result_payload", "$.return_pct").cast("double").alias("return_pct")), "return_pct")
+
+
+def _research_events(spark, d):
+    """All kinds of results, made from the given tables."""
+    rows, series = views.filings(spark, d), asof.price_series(views.prices(spark, d))
+    summaries = research.event_study(rows, series, study.HORIZONS, ["transaction_code"])
+    key = F.concat_ws(":", F.lit("event-study"), "transaction_code", F.col("horizon_days").cast("string"))
+    made = research.evaluate_signals(study._price_signals(spark, d), series, [1, 3]).where(F.col("reason").isNull())
+    trades = study._trades(spark, d)
+    return sinks.event_return_results(research.event_returns(rows, series, [5]), "1.0").unionByName(
+        sinks.study_summary_results(summaries, key, "1.0")).unionByName(sinks.outcome_results(made, "1.0")).unionByName(
+        sinks.backtest_results("run-1", trades, research.summarize_trades(trades), "1.0"))
+
+
+def _stored_events(spark, d, runs):
+    path = fresh_dir(spark, "research_events")
+    events = stage(_research_events(spark, d), "results").withColumn("index", F.col("event_key"))
+    return path, [sinks.store(spark, events, schemas.RESEARCH_EVENTS, path, "index", STAMP).withColumn("run", F.lit(run))
+                  for run in runs]
+
+
+STORED = f"""{study.TRADES}, {study.OUTCOMES.removeprefix(f'{views.LINES}, {views.SERIES}, ')},
+  e AS (SELECT 'event_return' AS event_type, ticker || '|' || CAST(filing_date AS VARCHAR) || '|' || accession_number || '|'
+          || record_hash AS event_key, ticker AS symbol, entry_date AS event_date FROM returns WHERE horizon_days = 5
+    UNION ALL SELECT DISTINCT 'event_study_summary', 'event-study:' || transaction_code || ':' || horizon_days, NULL, NULL FROM returns
+    UNION ALL SELECT 'signal_outcome', 'signal-outcome:' || signal_key || ':' || evaluation_periods, symbol, signal_date
+      FROM outcomes WHERE outcome_date IS NOT NULL
+    UNION ALL SELECT 'backtest', 'backtest:run-1', NULL, NULL
+    UNION ALL SELECT 'backtest_trade', 'backtest:run-1:' || signal_key, symbol, entry_date FROM trades),
+  k AS (SELECT event_type, count(*) AS a, count(DISTINCT event_key) AS n FROM e GROUP BY ALL)"""
+
+
+@query("research_event_store", "SNK-7 FLT-7",
+       f"""WITH {STORED} SELECT 1 AS run, event_type, 'INSERTED' AS outcome, n AS rows FROM k
+           UNION ALL SELECT 1, event_type, 'DUPLICATE', a - n FROM k WHERE a > n
+           UNION ALL SELECT 2, event_type, 'DUPLICATE', a FROM k""")
+def research_event_store(spark, d):
+    _, (first, second) = _stored_events(spark, d, (1, 2))
+    return sinks.outcome_counts(first.unionByName(second), ["run", "event_type"])
+
+
+@query("research_event_lookup", "FLT-5 FLT-6 FLT-7 ORD-3",
+       f"""WITH {STORED}, s AS (SELECT DISTINCT * FROM e)
+           SELECT 'of symbol' AS lookup, event_key, event_type, symbol, event_date FROM s
+             WHERE event_type = 'signal_outcome' AND symbol = 'P5'
+           UNION ALL SELECT 'by key', event_key, event_type, symbol, event_date FROM s WHERE event_key = 'backtest:run-1'
+           UNION ALL (SELECT 'newest', event_key, event_type, symbol, event_date FROM s WHERE event_type = 'event_return'
+             ORDER BY event_date DESC NULLS LAST, event_key LIMIT 50)""")
+def research_event_lookup(spark, d):
+    path, _ = _stored_events(spark, d, (1,))
+    stored = schemas.read(spark, schemas.RESEARCH_EVENTS, path)
+    found = {
+        "of symbol": access.decode_results(stored, "signal_outcome", "return_pct double", " p5 "),
+        "by key": access.result_by_key(stored, "backtest:run-1"),
+        "newest": access.newest(stored, ["event_date"], "event_key", 50, event_type="event_return"),
+    }
+    out = None
+    for name, rows in found.items():
+        part = rows.select(F.lit(name).alias("lookup"), "event_key", "event_type", "symbol", "event_date")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("series_by_source_name", "WN-6 FLT-2",
+       f"""WITH {views.LINES}, {views.PRICES} SELECT symbol, price_date, close AS px, 'alpha' AS source FROM prices""")
+def series_by_source_name(spark, d):
+    """Two sources a day and no priority: the first by name counts."""
+    bars = views.prices(spark, d)
+    both = bars.withColumn("source", F.lit("alpha")).unionByName(bars.withColumns({
+        "source": F.lit("beta"), "close": F.col("close") + 1}))
+    return asof.price_series(both).withColumn("source", F.lit("alpha"))

@@ -19,13 +19,12 @@ REASONS = """CASE WHEN is_amendment OR contains(form_type, '/A') OR date_of_orig
      WHEN min_px <= 0 THEN 'REJECTED_INVALID_PRICE'
      WHEN n - entry_rn < {h} THEN 'REJECTED_INSUFFICIENT_OBSERVATIONS' END"""
 
-RETURNS = f"""{views.ENTRIES}, horizons AS (SELECT unnest([1, 5, 10]) AS horizon_days),
+RETURNS = f"""{views.ENTRIES}, asked AS MATERIALIZED (
+  SELECT *, entry_rn + horizon_days AS target_rn FROM (SELECT *, unnest([1, 5, 10]) AS horizon_days FROM entries
+    WHERE NOT is_amendment AND ticker IS NOT NULL AND min_px > 0 AND entry_rn IS NOT NULL)),
 returns AS (
-  SELECT e.*, h.horizon_days, x.price_date AS future_date, x.px AS future_px,
-         (x.px / e.entry_px - 1) * 100 AS return_pct
-  FROM entries e, horizons h, series x
-  WHERE NOT e.is_amendment AND e.ticker IS NOT NULL AND e.min_px > 0
-    AND x.symbol = e.ticker AND x.rn = e.entry_rn + h.horizon_days)"""
+  SELECT a.*, x.price_date AS future_date, x.px AS future_px, (x.px / a.entry_px - 1) * 100 AS return_pct
+  FROM asked a JOIN series x ON x.symbol = a.ticker AND x.rn = a.target_rn)"""
 
 SUMMARY = """count(*) AS event_count, round(avg(return_pct), 6) AS mean_return_pct,
   round(median(return_pct), 6) AS median_return_pct,
@@ -199,12 +198,12 @@ def _price_signals(spark, d):
         F.col("price_date").alias("signal_date"), F.col("close").alias("signal_price"))
 
 
-OUTCOMES = f"""{views.LINES}, {views.SERIES}, price_signals AS (
+OUTCOMES = f"""{views.LINES}, {views.SERIES}, price_signals AS MATERIALIZED (
   SELECT symbol || '|' || CAST(price_date AS VARCHAR) AS signal_key, symbol, price_date AS signal_date,
          close AS signal_price FROM prices WHERE adjusted_close IS NOT NULL),
-periods AS (SELECT unnest([1, 3]) AS evaluation_periods),
-located AS (SELECT p.*, e.evaluation_periods, s.rn + e.evaluation_periods AS target_rn
-  FROM price_signals p JOIN series s ON s.symbol = p.symbol AND s.price_date = p.signal_date, periods e),
+located AS MATERIALIZED (SELECT *, rn + evaluation_periods AS target_rn FROM (
+  SELECT p.*, s.rn, unnest([1, 3]) AS evaluation_periods
+  FROM price_signals p JOIN series s ON s.symbol = p.symbol AND s.price_date = p.signal_date)),
 outcomes AS (SELECT l.*, x.price_date AS outcome_date, x.px AS outcome_price,
          (x.px / l.signal_price - 1) * 100 AS return_pct
   FROM located l LEFT JOIN series x ON x.symbol = l.symbol AND x.rn = l.target_rn)"""

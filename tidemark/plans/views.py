@@ -146,7 +146,7 @@ def _prices_sql(name: str, source: str) -> str:
 PRICES = _prices_sql("prices", "'EOD'")
 FEED_PRICES = _prices_sql("feed_prices", "'feed-' || lower(l_linestatus)")
 
-SERIES = f"""{PRICES}, series AS (
+SERIES = f"""{PRICES}, series AS MATERIALIZED (
   SELECT symbol, price_date, close AS px,
          row_number() OVER (PARTITION BY symbol ORDER BY price_date) AS rn,
          count(*) OVER (PARTITION BY symbol) AS n,
@@ -154,7 +154,7 @@ SERIES = f"""{PRICES}, series AS (
   FROM prices)"""
 
 # Filings with the ordinal of their entry observation: the first one strictly after the filing date.
-ENTRIES = f"""{FILINGS}, {SERIES}, entries AS (
+ENTRIES = f"""{FILINGS}, {SERIES}, entries AS MATERIALIZED (
   SELECT f.*, s.rn AS entry_rn, s.n, s.min_px, s.price_date AS entry_date, s.px AS entry_px
   FROM filings f ASOF LEFT JOIN series s ON f.ticker = s.symbol AND f.filing_date < s.price_date)"""
 

@@ -39,6 +39,12 @@ INSIDER_TRANSACTIONS = Table(
     created_at timestamp, filing_period string""",
     ("source", "accession_number", "record_hash"), "record_hash", ("filing_period",))
 
+FILING_DETAILS = Table(
+    "filing_details",
+    """filing_period string, accession_number string, member string, line_no bigint, cells string, record_hash string,
+    created_at timestamp""",
+    ("filing_period", "accession_number", "member", "line_no"), "record_hash", ("filing_period",), ("filing_period",))
+
 INGESTION_STATE = Table(
     "ingestion_state",
     """period string, status string, records_parsed bigint, records_inserted bigint, duplicates_count bigint,
@@ -77,7 +83,7 @@ PROVENANCE = Table(
     checksum string, validation_status string""", ("record_type", "record_id", "source"))
 
 TABLES = {t.name: t for t in (
-    INSIDER_TRANSACTIONS, INGESTION_STATE, MARKET_PRICES, CORPORATE_ACTIONS, RESEARCH_EVENTS, SIGNALS, TRADE_RUNS,
+    INSIDER_TRANSACTIONS, FILING_DETAILS, INGESTION_STATE, MARKET_PRICES, CORPORATE_ACTIONS, RESEARCH_EVENTS, SIGNALS, TRADE_RUNS,
     PROVENANCE)}
 
 

@@ -40,16 +40,27 @@ def _records(df: DataFrame, lists: Column, keep: list[str]) -> DataFrame:
     return rows.withColumn("payload", as_object(F.col("record")))
 
 
-def extract(df: DataFrame, column: str, keys: tuple[str, ...], label: str, keep: list[str] | None = None) -> DataFrame:
+def extract(df: DataFrame, column: str, keys: tuple[str, ...], label: str, keep: list[str] | None = None,
+            strict: bool = True) -> DataFrame:
     """Records of envelopes that are a list, or an object with a list under one of ``keys``.
 
-    Any other envelope stops the job: it is no answer to the request. Elements that are no objects
-    are passed on with a null payload, so that they are accounted for.
+    Any other envelope is no answer to the request. It stops the job; without ``strict`` it is isolated: one row
+    without position and payload, whose ``error`` says why, and all other answers go on. Elements that are no
+    objects are passed on with a null payload, so that they are accounted for.
     """
     keep = keep or [c for c in df.columns if c != column]
     body = F.col(column)
     staged = df.withColumn("_object", as_object(body))
     inner = _first_list(F.col("_object"), keys)
+    if not strict:
+        found = F.when(_is_list(body), body).otherwise(inner)
+        error = F.when(found.isNull(), F.when(
+            F.col("_object").isNull(), F.lit(f"{label} response must be a list or mapping.")).otherwise(
+            F.lit(f"{label} response does not contain a supported record list.")))
+        listed = staged.withColumns({"error": error, "_list": found})
+        rows = listed.where(F.col("error").isNotNull() | (F.size(F.from_json("_list", "array<string>")) > 0)).select(
+            *keep, "error", F.posexplode_outer(F.from_json("_list", "array<string>")).alias("position", "record"))
+        return rows.withColumn("payload", as_object(F.col("record")))
     lists = (
         F.when(_is_list(body), body)
         .when(F.col("_object").isNull(), F.raise_error(F.lit(f"{label} response must be a list or mapping.")).cast("string"))
@@ -59,12 +70,12 @@ def extract(df: DataFrame, column: str, keys: tuple[str, ...], label: str, keep:
     return _records(staged, lists, keep)
 
 
-def prices(df: DataFrame, column: str, keep: list[str] | None = None) -> DataFrame:
-    return extract(df, column, PRICE_KEYS, "Market-data", keep)
+def prices(df: DataFrame, column: str, keep: list[str] | None = None, strict: bool = True) -> DataFrame:
+    return extract(df, column, PRICE_KEYS, "Market-data", keep, strict)
 
 
-def actions(df: DataFrame, column: str, keep: list[str] | None = None) -> DataFrame:
-    return extract(df, column, ACTION_KEYS, "Corporate-actions", keep)
+def actions(df: DataFrame, column: str, keep: list[str] | None = None, strict: bool = True) -> DataFrame:
+    return extract(df, column, ACTION_KEYS, "Corporate-actions", keep, strict)
 
 
 def historical(df: DataFrame, column: str, keep: list[str] | None = None) -> DataFrame:
@@ -176,14 +187,19 @@ def provider_dividends(df: DataFrame, column: str, requested: str, keep: list[st
 
 
 def companies(df: DataFrame, column: str) -> DataFrame:
-    """Company map ``{key: {cik_str | cik, ticker, title}}`` to rows with an ``error`` column."""
-    entries = df.select(F.explode(F.from_json(column, OBJECT)).alias("key", "entry"))
-    rows = entries.withColumn("payload", as_object(F.col("entry"))).where(F.col("payload").isNotNull())
+    """Company map ``{key: {cik_str | cik, ticker, title}}`` to rows with an ``error`` column.
+
+    A document that is no mapping gives one row without key whose error says so.
+    """
+    known = df.withColumn("_map", as_object(F.col(column)))
+    entries = known.where(F.col("_map").isNull() | (F.size("_map") > 0)).select(
+        F.col("_map").isNull().alias("broken"), F.explode_outer("_map").alias("key", "entry"))
+    rows = entries.withColumn("payload", as_object(F.col("entry"))).where(F.col("payload").isNotNull() | F.col("broken"))
     raw = F.when(_has(F.col("payload"), "cik_str"), F.element_at("payload", "cik_str")).otherwise(
         F.element_at("payload", "cik"))
-    staged = rows.select("key", raw.alias("raw_cik"), text.symbol(F.element_at("payload", "ticker")).alias("ticker"),
+    staged = rows.select("broken", "key", raw.alias("raw_cik"), text.symbol(F.element_at("payload", "ticker")).alias("ticker"),
                          text.clean(F.element_at("payload", "title")).alias("title"))
     error = F.coalesce(
-        text.cik_error(F.col("raw_cik")), F.when(F.col("ticker").isNull(), F.lit("Company ticker is required.")),
+        F.when(F.col("broken"), F.lit("Company map must be a mapping.")), text.cik_error(F.col("raw_cik")), F.when(F.col("ticker").isNull(), F.lit("Company ticker is required.")),
         F.when(F.col("title").isNull(), F.lit("Company title is required.")))
     return staged.select("key", text.cik(F.col("raw_cik")).alias("cik"), "ticker", "title", error.alias("error"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.sources.envelopes import as_object
 
 # Column names of an index, best first.
 COLUMNS = {
@@ -21,6 +22,9 @@ _LISTS = ", ".join(f"{n}: array<string>" for n in _NAMES)
 SCHEMA = (f"struct<filings: struct<recent: struct<{_LISTS}>, files: array<map<string,string>>>, {_LISTS}>")
 
 
+UNREADABLE = "Filing index is not a JSON object."
+
+
 def _zip(prefix: str) -> Column:
     """Index columns side by side; a short column is padded with nulls."""
     empty = F.array().cast("array<string>")
@@ -29,18 +33,23 @@ def _zip(prefix: str) -> Column:
 
 def rows(df: DataFrame, column: str, keep: list[str] | None = None) -> DataFrame:
     """One row per filing of a main document (``filings.recent``) or a continuation document (columns
-    at top level), in document order (``position``); the first non-blank alias of each column counts."""
+    at top level), in document order (``position``); the first non-blank alias of each column counts.
+
+    A document that is no JSON object gives one row without position whose ``error`` says so."""
     keep = keep or [c for c in df.columns if c != column]
     parsed = df.withColumn("_doc", F.from_json(column, SCHEMA))
-    staged = parsed.select(*keep, _zip("_doc.filings.recent").alias("_recent"), _zip("_doc").alias("_top"), *[
+    broken = as_object(F.col(column)).isNull()
+    staged = parsed.select(*keep, broken.alias("_broken"), _zip("_doc.filings.recent").alias("_recent"), _zip("_doc").alias("_top"), *[
         F.col(f"_doc.{n}").isNotNull().alias(f"_has_{n}") for n in REQUIRED])
     usable = F.col(f"_has_{REQUIRED[0]}")
     for n in REQUIRED[1:]:
         usable = usable | F.col(f"_has_{n}")
     chosen = F.when(F.size("_recent") > 0, F.col("_recent")).when(usable, F.col("_top"))
-    exploded = staged.select(*keep, F.posexplode(chosen).alias("position", "_row"))
+    exploded = staged.where(F.col("_broken") | (F.size(chosen) > 0)).select(
+        *keep, "_broken", F.posexplode_outer(F.when(~F.col("_broken"), chosen)).alias("position", "_row"))
     return exploded.select(*keep, "position", *[
-        text.first_nonblank(*[F.col(f"_row.{n}") for n in names]).alias(field) for field, names in COLUMNS.items()])
+        text.first_nonblank(*[F.col(f"_row.{n}") for n in names]).alias(field) for field, names in COLUMNS.items()],
+        F.when(F.col("_broken"), F.lit(UNREADABLE)).alias("error"))
 
 
 def continuation_files(df: DataFrame, column: str, keep: list[str] | None = None) -> DataFrame:
@@ -57,12 +66,15 @@ def continuation_files(df: DataFrame, column: str, keep: list[str] | None = None
 
 def insider_filings(index: DataFrame, order: list[str]) -> DataFrame:
     """Insider forms once per accession and document: the first in ``order``. ``error`` names what an
-    eligible row lacks."""
-    eligible = index.where(text.is_insider_form(F.col("form_type")))
+    eligible row lacks; rows of documents that could not be read stay, each by itself, with their error."""
+    given = F.col("error") if "error" in index.columns else F.lit(None).cast("string")
+    index = index.withColumn("error", given)
+    unread = index.where(F.col("error").isNotNull())
+    eligible = index.where(F.col("error").isNull() & text.is_insider_form(F.col("form_type"))).drop("error")
     error = F.coalesce(*[
         F.when(F.col(c).isNull(), F.lit(f"Eligible insider filing has no {c}."))
         for c in ("accession_number", "document_name", "form_type", "filing_date")])
     key = ["accession_number", "document_name"]
     others = [c for c in eligible.columns if c not in key]
     first = eligible.groupBy(*key).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_row"))
-    return first.select(*key, "_row.*").withColumn("error", error)
+    return first.select(*key, "_row.*").withColumn("error", error).unionByName(unread)

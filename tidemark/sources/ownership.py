@@ -18,7 +18,8 @@ _OWNER = "struct<rptOwnerName: string, rptOwnerCik: string, reportingOwnerId: st
 XML_SCHEMA = f"""struct<documentType: string, periodOfReport: string,
   issuer: struct<issuerCik: string, issuerName: string, issuerTradingSymbol: string>, reportingOwner: array<{_OWNER}>,
   nonDerivativeTable: struct<nonDerivativeTransaction: array<{_TRANSACTION}>>,
-  derivativeTable: struct<derivativeTransaction: array<{_TRANSACTION}>>>"""
+  derivativeTable: struct<derivativeTransaction: array<{_TRANSACTION}>>, _corrupt_record: string>"""
+UNREADABLE = "Ownership document cannot be read."
 
 
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
@@ -30,7 +31,8 @@ def read_xml(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_xml(df: DataFrame, column: str) -> DataFrame:
     """Documents held as text: the same columns next to the others."""
-    parsed = df.withColumn("_doc", F.from_xml(column, XML_SCHEMA, {"rowTag": "ownershipDocument"}))
+    options = {"rowTag": "ownershipDocument", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = df.withColumn("_doc", F.from_xml(column, XML_SCHEMA, options))
     return parsed.select(*[c for c in df.columns if c != column], "_doc.*")
 
 
@@ -39,18 +41,23 @@ def _either(path: str) -> Column:
 
 
 def xml_transactions(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Raw transaction fields of parsed XML documents; the first reporting owner is the insider."""
+    """Raw transaction fields of parsed XML documents; the first reporting owner is the insider.
+
+    A document that could not be read gives one row without position whose ``document_error`` says so.
+    """
     empty = F.array().cast(f"array<{_TRANSACTION}>")
     both = F.concat(F.coalesce("nonDerivativeTable.nonDerivativeTransaction", empty),
                     F.coalesce("derivativeTable.derivativeTransaction", empty))
     owner = F.get("reportingOwner", 0)
-    rows = docs.select(
-        *keep, text.clean(F.col("issuer.issuerName")).alias("issuer_name"),
+    broken = F.col("_corrupt_record").isNotNull() if "_corrupt_record" in docs.columns else F.lit(False)
+    rows = docs.withColumn("_broken", broken).where(F.col("_broken") | (F.size(both) > 0)).select(
+        *keep, F.when(F.col("_broken"), F.lit(UNREADABLE)).alias("document_error"),
+        text.clean(F.col("issuer.issuerName")).alias("issuer_name"),
         text.first_nonblank(owner["rptOwnerName"], owner["reportingOwnerId"]["rptOwnerName"]).alias("insider_name"),
         text.first_nonblank(owner["rptOwnerCik"], owner["reportingOwnerId"]["rptOwnerCik"]).alias("insider_cik"),
-        F.posexplode(both).alias("position", "t"))
+        F.posexplode_outer(F.when(~F.col("_broken"), both)).alias("position", "t"))
     return rows.select(
-        *keep, "position", "issuer_name", "insider_name", "insider_cik",
+        *keep, "document_error", "position", "issuer_name", "insider_name", "insider_cik",
         _either("t.transactionCoding.transactionCode").alias("transaction_code"),
         _either("t.transactionDate").alias("transaction_date"),
         _either("t.transactionAmounts.transactionShares").alias("shares"),
