@@ -20,7 +20,10 @@ SELECTION = (
     "event_study_by_code", "event_preparation", "signal_outcomes", "created_signals", "validated_signals", "strict_numbers",
     "price_hashes", "normalized_prices", "historical_read", "price_coverage", "quarter_spine", "reconciled_ids",
     "provenance_safety", "bulk_records", "filing_index_rows", "ownership_xml", "price_load_outcomes",
-    "archive_expansion", "quarter_load",
+    "archive_expansion", "quarter_load", "event_returns", "backtest_trades", "stored_outcomes", "filing_detail_counts",
+    "stored_details", "unreadable_documents", "provenance_cleanup", "orphaned_actions", "signals_of_symbol",
+    "research_event_store", "research_event_lookup", "series_by_source_name", "performance_summary", "companies_of_filings",
+    "order_risk",
 )
 NAMES = list(entry.queries()) if os.environ.get("ALL_QUERIES") else list(SELECTION)
 

@@ -4,7 +4,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, research, signals, stats
+from tidemark.operators import asof, research, signals, skew, stats
 
 D = datetime.date
 PRICES = "symbol string, price_date date, close double, adjusted_close double, source string"
@@ -178,3 +178,30 @@ def test_hot_symbol_keeps_every_row(rows, series):
     many = [filing(str(i)) for i in range(300)] + [filing(f"x{i}", "ZZZ", D(2024, 1, 1)) for i in range(5)]
     got = research.prepare_events(rows(FILINGS, *many), series, 1)
     assert got.count() == 305 and got.where("reason is null").count() == 300
+
+
+def test_median_of_infinite_values(rows):
+    inf = float("inf")
+    df = rows("k string, value double, weight bigint", ("a", -inf, 1), ("a", 1.0, 1), ("a", inf, 1), ("b", inf, 5), ("b", 2.0, 2),
+              ("c", 0.0, 1), ("c", 3.0, 1))
+    got = {r.k: r.median for r in stats.weighted_median(df, ["k"]).collect()}
+    assert got == {"a": 1.0, "b": inf, "c": 1.5}
+
+
+def test_median_inside_one_bucket(rows):
+    values = [1.0 + k * 1e-7 for k in range(2001)]
+    df = rows("value double, weight bigint", *[(v, 1 + (k % 3)) for k, v in enumerate(values)])
+    every = sorted(v for k, v in enumerate(values) for _ in range(1 + k % 3))
+    n = len(every)
+    want = (every[(n - 1) // 2] + every[n // 2]) / 2
+    assert stats.weighted_median(df, []).first().median == pytest.approx(want, abs=1e-15)
+
+
+def test_hot_keys_are_spread_by_their_own_count(rows, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_SALT", 3)
+    left = rows("k string, n int", *[("hot", i) for i in range(20)], ("cold", 1), (None, 2))
+    right = rows("k string, v int", ("hot", 7), ("cold", 8))
+    counts = rows("k string, _rows bigint", ("hot", 20), ("cold", 1))
+    assert [tuple(r) for r in skew.hot_keys(counts, ["k"]).collect()] == [("hot", 7)]
+    got = {(r.n, r.v) for r in skew.salted_lookup(left, right, ["k"], counts).collect()}
+    assert got == {(i, 7) for i in range(20)} | {(1, 8), (2, None)}

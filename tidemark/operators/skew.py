@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HOT_SHARE = 0.005  # a key with more than this share of the rows is hot, so there are at most 200
-SALTS = 64
+ROWS_PER_SALT = 5_000_000  # what one reducer takes of a hot key
 
 
 def null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
@@ -19,39 +19,35 @@ def null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "left
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in on])
 
 
-def key_counts(df: DataFrame, on: list[str]) -> DataFrame:
-    return df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-
-
 def hot_keys(counts: DataFrame, on: list[str]) -> DataFrame:
-    """Keys above :data:`HOT_SHARE` of the rows: by construction no more than ``1 / HOT_SHARE``."""
+    """Keys above :data:`HOT_SHARE` of the rows (no more than ``1 / HOT_SHARE``) that fill more than one reducer,
+    with as many ``_salts`` as their own count fills."""
     total = counts.agg(F.sum("_rows")).scalar()
-    return counts.where(F.col("_rows") > total * F.lit(HOT_SHARE)).select(*on)
+    hot = (F.col("_rows") > total * F.lit(HOT_SHARE)) & (F.col("_rows") > ROWS_PER_SALT)
+    return counts.where(hot).select(*on, F.ceil(F.col("_rows") / ROWS_PER_SALT).cast("int").alias("_salts"))
 
 
-def _salt(df: DataFrame) -> Column:
+def _salt(df: DataFrame, salts: Column) -> Column:
     hashable = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    return F.pmod(F.xxhash64(*hashable) + F.spark_partition_id(), F.lit(SALTS)).cast("int")
+    return F.pmod(F.xxhash64(*hashable) + F.spark_partition_id(), salts).cast("int")
 
 
 def salted_lookup(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame | None = None,
                   how: str = "left") -> DataFrame:
     """``left`` joined to ``right``, which has one row per key.
 
-    The salt depends on the row's own content and input partition only, so a task that is run again
-    after a lost executor sends its rows to the same reducers. Rows of a hot key are spread over :data:`SALTS` reducers and only that key's single right row is
-    copied to all of them; every other key keeps one reducer. The broadcast list of hot keys is
-    bounded by the share that defines it. ``counts`` may pass rows per key that are at hand anyway.
+    Without ``counts`` it is a plain join: a small right side is broadcast by its size, and AQE splits a partition
+    that grew too large, rows without a key included. ``counts`` may pass rows per key (``_rows``) that are at hand
+    anyway; rows of a hot key are then spread over as many reducers as its count asks for, and only that key's single
+    right row is copied to them. The salt depends on the row's own content and input partition only, so a task that
+    is run again after a lost executor sends its rows to the same reducers. The broadcast list of hot keys is bounded
+    by the share that defines it.
     """
-    counts = counts if counts is not None else key_counts(left, on)
-    hot = hot_keys(counts, on).withColumn("_hot", F.lit(True))
-    # Rows without a key match nothing, yet would all meet in one reducer: they are spread as well.
-    keyless = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
+    if counts is None:
+        return left.join(right, on, how)
+    hot = hot_keys(counts, on)
     spread = left.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | keyless, _salt(left)).otherwise(F.lit(0))
-    ).drop("_hot")
+        "_salt", F.when(F.col("_salts").isNotNull(), _salt(left, F.col("_salts"))).otherwise(F.lit(0))).drop("_salts")
     copies = right.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt",
-        F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))),
-    ).drop("_hot")
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")
