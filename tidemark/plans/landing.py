@@ -536,24 +536,26 @@ def ownership_json(spark, d):
 
 
 @query("filing_history", "OP-15",
-       f"""WITH {views.FILINGS}, {INDEX.replace("'doc-' || o_orderkey", "CAST(o_orderkey AS VARCHAR)")}
-       SELECT s.accession_number, f.transaction_key, f.shares, CASE WHEN f.record_hash IS NULL
-           THEN 'Filing contains no identifiable insider transactions.' END AS error
-       FROM submissions s LEFT JOIN filings f ON f.accession_number = s.accession_number
-         AND f.transaction_type = 'derivative'""")
+       f"""WITH {views.FILINGS} SELECT accession_number, transaction_key, shares, CAST(NULL AS VARCHAR) AS error FROM (
+             SELECT *, unnest(CASE WHEN transaction_type = 'derivative' THEN [0] ELSE [0, 1] END) AS position FROM filings)
+           UNION ALL SELECT accession_number, NULL, NULL, 'Filing contains no identifiable insider transactions.'
+           FROM submissions WHERE accession_number NOT IN (SELECT accession_number FROM filings)""")
 def filing_history(spark, d):
     docs = _xml_docs(spark, d)
     index = views.submissions(spark, d).select(
         "accession_number", F.lit("doc.xml").alias("document_name"), "form_type", F.col("o_custkey").cast("string").alias("issuer_cik"),
         F.col("filing_date").cast("string").alias("filing_date"), F.lit("Title").alias("company_title"),
         F.col("o_orderkey").alias("position_in_source"))
-    # Derivative documents only; the key of the line travels as the security title.
-    derivative = views.filings(spark, d).where(F.col("transaction_type") == "derivative").select(
-        "accession_number", F.col("transaction_key").alias("document_name"))
-    parsed = ownership.parse_xml(docs.join(derivative, ["accession_number", "document_name"], "left_semi"), "doc")
-    keyed = parsed.withColumn("derivativeTable", F.col("derivativeTable").withField(
-        "derivativeTransaction", F.transform("derivativeTable.derivativeTransaction", lambda t: t.withField(
-            "securityTitle.value", F.col("document_name"))))).withColumn("document_name", F.lit("doc.xml"))
+
+    # The key of the line travels as the security title.
+    def titled(table, rows):
+        return F.col(table).withField(rows, F.transform(f"{table}.{rows}", lambda t: t.withField(
+            "securityTitle.value", F.col("document_name"))))
+
+    keyed = ownership.parse_xml(docs, "doc").withColumns({
+        "derivativeTable": titled("derivativeTable", "derivativeTransaction"),
+        "nonDerivativeTable": titled("nonDerivativeTable", "nonDerivativeTransaction"),
+    }).withColumn("document_name", F.lit("doc.xml"))
     return filings.history(index, keyed, ["position_in_source"]).select(
         "accession_number", F.col("security_title").alias("transaction_key"), "shares", "error")
 
@@ -604,8 +606,7 @@ def price_load_outcomes(spark, d):
     return sinks.outcome_counts(first.withColumn("run", F.lit(1)).unionByName(second.withColumn("run", F.lit(2))), ["run"])
 
 
-@query("price_load_accounting", "AGG-10 AGG-11",
-       f"""WITH {LOAD}, c AS (SELECT CASE WHEN outcome = 'REJECTED' AND NOT known THEN 'UNMAPPED'
+PRICE_ACCOUNTING = f"""WITH {LOAD}, c AS (SELECT CASE WHEN outcome = 'REJECTED' AND NOT known THEN 'UNMAPPED'
                ELSE 'P' || CAST(l_partkey AS VARCHAR) END AS symbol, outcome FROM (
              SELECT 2 AS run, CASE WHEN NOT good THEN 'REJECTED' WHEN s.i IS NULL AND j.i = f.i THEN 'INSERTED'
                WHEN j.px = coalesce(s.px, f.px) AND j.l_quantity = coalesce(s.qty, f.qty) THEN 'DUPLICATE'
@@ -618,16 +619,51 @@ def price_load_outcomes(spark, d):
              FROM c GROUP BY ALL),
            asked AS (SELECT 'P' || CAST(p_partkey AS VARCHAR) AS symbol FROM part UNION SELECT 'UNMAPPED' FROM c
              WHERE symbol = 'UNMAPPED')
-           SELECT a.symbol, coalesce(received, 0) AS received, coalesce(inserted, 0) AS inserted,
+           SELECT a.symbol, a.symbol <> 'UNMAPPED' AS requested, coalesce(received, 0) AS received, coalesce(inserted, 0) AS inserted,
              coalesce(duplicate, 0) AS duplicate, coalesce(rejected, 0) AS rejected, coalesce(conflict, 0) AS conflict,
              true AS balanced, CASE WHEN a.symbol = 'UNMAPPED' THEN 'FAILED' WHEN received > 0 AND conflict = 0 THEN 'SUCCESS'
                WHEN inserted > 0 OR duplicate > 0 THEN 'PARTIAL' ELSE 'FAILED' END AS status
-           FROM asked a LEFT JOIN n ON n.symbol = a.symbol""")
+           FROM asked a LEFT JOIN n ON n.symbol = a.symbol"""
+
+
+@query("price_load_accounting", "AGG-10 AGG-11", PRICE_ACCOUNTING)
 def price_load_accounting(spark, d):
     _, _, second = _two_loads(spark, d)
     counts = accounting.by_symbol(second, _parts(spark, d)).withColumn("provider_failures", F.lit(0))
     return accounting.price_status(counts).select(
-        "symbol", "received", "inserted", "duplicate", "rejected", "conflict", "balanced", "status")
+        "symbol", "requested", "received", "inserted", "duplicate", "rejected", "conflict", "balanced", "status")
+
+
+@query("price_load_totals", "AGG-10 AGG-12",
+       f"""SELECT count(*) FILTER (requested) AS requested_symbols, count(*) FILTER (requested AND status = 'SUCCESS')
+             AS successful_symbols, count(*) FILTER (requested AND status <> 'SUCCESS') AS failed_symbols,
+             CAST(sum(received) AS BIGINT) AS received, CAST(sum(inserted) AS BIGINT) AS inserted,
+             CAST(sum(duplicate) AS BIGINT) AS duplicate, CAST(sum(rejected) AS BIGINT) AS rejected,
+             CAST(sum(conflict) AS BIGINT) AS conflict, CAST(0 AS BIGINT) AS failed, bool_and(balanced) AS balanced
+           FROM ({PRICE_ACCOUNTING})""")
+def price_load_totals(spark, d):
+    _, _, second = _two_loads(spark, d)
+    counts = accounting.by_symbol(second, _parts(spark, d)).withColumn("provider_failures", F.lit(0))
+    return accounting.totals(accounting.price_status(counts))
+
+
+@query("quarter_totals", "AGG-13",
+       f"""WITH {views.FILINGS}, {views.STATE} SELECT count(*) AS periods, CAST(sum(records_parsed) AS BIGINT) AS records_parsed,
+             CAST(sum(records_inserted) AS BIGINT) AS records_inserted, CAST(sum(duplicates_count) AS BIGINT) AS duplicates_count,
+             CAST(sum(invalid_count) AS BIGINT) AS invalid_count, CAST(sum(failures_count) AS BIGINT) AS failures_count
+           FROM state""")
+def quarter_totals(spark, d):
+    return accounting.run_totals(views.state(spark, d))
+
+
+@query("unmapped_records", "OP-14 SET-4",
+       f"""WITH {views.LINES} SELECT l_tax < 0.08 AND l_partkey IN (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0) AS mapped,
+             count(*) AS rows FROM lines GROUP BY ALL""")
+def unmapped_records(spark, d):
+    """Records of symbols that were asked for (even parts), and all others."""
+    asked = _parts(spark, d).where("cast(substring(symbol, 2) AS bigint) % 2 = 0")
+    return loads.split_unmapped(_price_records(spark, d, False), asked).groupBy("mapped").agg(
+        F.count(F.lit(1)).alias("rows"))
 
 
 def _parts(spark, d):
@@ -839,3 +875,19 @@ def repeated_import(spark, d):
             "status": F.lit("COMPLETED"), "total_rows": table.agg(F.count(F.lit(1))).scalar(), "provenance_rows": known}),
             "run-metrics"))
     return audit.idempotency(*runs).withColumn("errors", F.array_join("errors", "; "))
+
+
+@query("required_tables_stored", "DQ-1",
+       """SELECT 'required_tables' AS check_name, 'critical' AS severity, 'Required table ' || chr(39) || name || chr(39)
+            || ' does not exist.' AS message
+          FROM (SELECT unnest(['corporate_actions', 'research_events', 'trade_runs', 'market_prices']) AS name)
+          WHERE (SELECT count(*) FROM orders) > 0""")
+def required_tables_stored(spark, d):
+    """Tables as they are found below a folder, three of them stored."""
+    root = fresh_dir(spark, "store")
+    columns = schemas.INSIDER_TRANSACTIONS.columns
+    rows = views.filings(spark, d)
+    schemas.append(rows.select(*[c for c in rows.columns if c in columns]), schemas.INSIDER_TRANSACTIONS, f"{root}/insider_transactions")
+    schemas.append(views.signals(spark, d).drop("input_index"), schemas.SIGNALS, f"{root}/signals")
+    schemas.append(views.provenance(spark, d), schemas.PROVENANCE, f"{root}/provenance")
+    return audit.required_tables(spark, audit.tables_at(spark, root))

@@ -190,17 +190,16 @@ def simple_outcome_summary(spark, d):
     return rounded(research.simple_outcome_summary(_trades(spark, d)), "total_return", places=4)
 
 
-# A signal per part and ship date of the returned lines, priced at that day's close.
+# A signal per part and day, priced at that day's close.
 def _price_signals(spark, d):
-    day = views.prices(spark, d).where(F.col("adjusted_close").isNotNull())
-    return day.select(
+    return views.prices(spark, d).select(
         F.concat_ws("|", F.col("symbol"), F.col("price_date").cast("string")).alias("signal_key"), "symbol",
         F.col("price_date").alias("signal_date"), F.col("close").alias("signal_price"))
 
 
 OUTCOMES = f"""{views.LINES}, {views.SERIES}, price_signals AS MATERIALIZED (
   SELECT symbol || '|' || CAST(price_date AS VARCHAR) AS signal_key, symbol, price_date AS signal_date,
-         close AS signal_price FROM prices WHERE adjusted_close IS NOT NULL),
+         close AS signal_price FROM prices),
 located AS MATERIALIZED (SELECT *, rn + evaluation_periods AS target_rn FROM (
   SELECT p.*, s.rn, unnest([1, 3]) AS evaluation_periods
   FROM price_signals p JOIN series s ON s.symbol = p.symbol AND s.price_date = p.signal_date)),
