@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm import words
 
-STATES = 200_000
-PIECES = 400_000
+STATES = 20_000
+PIECES = 500_000
 PAIRS = 200_000
 #: Fixed value: the public pattern that goes with the rank files; other patterns work, without the shortcut at spaces.
 SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -165,20 +165,20 @@ class Transducer:
     def _step(self, last: Sequence[int], live: Sequence[tuple[int, int]], byte: int) -> tuple[int, int, list]:
         """The last token once ``byte`` is read, where it begins, and the places that stay live."""
         token, begun, still = -1, 0, []
-        children, pairs = self.children, self.pairs
+        children, pairs, token_at, inner = self.children, self.pairs, self.token_at, self.inner
         for begin, place in live:  # the longest token first
             below = children.get(place << 8 | byte)
             if below is not None:
                 if token < 0:
-                    here = self.token_at[below]
+                    here = token_at[below]
                     if here >= 0 and pairs[last[begin] + 1 << 32 | here]:
                         token, begun = here, begin
-                if self.inner[below]:
+                if inner[below]:
                     still.append((begin, below))
         below, begin = children[byte], len(last) - 1
         if token < 0:
-            token, begun = self.token_at[below], begin
-        if self.inner[below]:
+            token, begun = token_at[below], begin
+        if inner[below]:
             still.append((begin, below))
         return token, begun, still
 
@@ -203,14 +203,42 @@ class Transducer:
             to = self.states[key] = State(rest, last, path, tuple(live))
         return to, given
 
-    def _finish(self, state: State, tail: bytes) -> tuple[int, ...]:
-        """Reads a tail that no piece had before without making states for it."""
-        last, path, live = list(state.last), list(state.path), state.live
-        for byte in tail:
-            token, begun, live = self._step(last, live, byte)
-            path.append(path[begun] | 1 << len(last))
-            last.append(token)
-        return _tokens(last, path[-1])
+    def _beginnings(self, text: bytes, at: int) -> list[int]:
+        """Tokens that begin at a place, the longest last."""
+        found, place = [], 0
+        children, token_at = self.children, self.token_at
+        for k in range(at, len(text)):
+            place = children.get(place << 8 | text[k])
+            if place is None:
+                break
+            if token_at[place] >= 0:
+                found.append(token_at[place])
+        return found
+
+    def _finish(self, state: State, tail: bytes) -> list[int]:
+        """Reads a tail that no piece had before without making states for it.
+
+        A sequence whose neighbours all stay apart is the encoding, so the first one found is: the longest token
+        first, and back where none fits. What led nowhere is not tried again.
+        """
+        text, left, tokens, pairs = state.rest + tail, state.last[0], self.tokens, self.pairs
+        out, ends, choices, dead = [], [0], [self._beginnings(text, 0)], set()
+        while True:
+            end, before = ends[-1], out[-1] if out else left
+            while choices[-1]:
+                token = choices[-1].pop()
+                if pairs[before + 1 << 32 | token] and (end, token) not in dead:
+                    break
+            else:
+                choices.pop(), ends.pop()
+                dead.add((ends[-1], out.pop()))
+                continue
+            out.append(token)
+            end += len(tokens[token])
+            if end == len(text):
+                return out
+            ends.append(end)
+            choices.append(self._beginnings(text, end))
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -241,12 +269,13 @@ class _Together(Exception):
 class Codec:
     """A vocabulary and the pattern that cuts text into pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, kept: int | None = None):
+        kept = kept or PIECES
         self.transducer = Transducer(ranks)
         self.cut = regex.compile(pattern).findall
         self.spaced = pattern == SPACED_PATTERN
-        self.pieces = words.Recent(self._piece, PIECES // 4)
-        self.parts = words.Recent(self._part, PIECES)
+        self.pieces = words.Recent(self._piece, kept // 4)
+        self.parts = words.Recent(self._part, kept)
 
     def _piece(self, piece: str) -> bytes:
         ids = self.transducer.encode(piece.encode())
@@ -277,20 +306,20 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> bytes:
         tokens = self.transducer.tokens
-        return b"".join([tokens[k] for k in ids.tolist()])
+        return b"".join(map(tokens.__getitem__, ids.tolist()))
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[tuple[str, str, int | None], Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
-    """The codec of a rank file (base64 token and rank a line), one per worker."""
-    if (path, pattern) not in _CODECS:
+def codec(path: str, pattern: str, kept: int | None = None) -> Codec:
+    """The codec of a rank file (base64 token and rank a line), one per worker; ``kept`` words stay encoded."""
+    if (path, pattern, kept) not in _CODECS:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         _CODECS.clear()
-        _CODECS[path, pattern] = Codec(ranks, pattern)
-    return _CODECS[path, pattern]
+        _CODECS[path, pattern, kept] = Codec(ranks, pattern, kept)
+    return _CODECS[path, pattern, kept]
 
 
 class Utf8Stream:
@@ -322,9 +351,9 @@ class Utf8Stream:
         return rest.decode("utf-8", "replace")
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str, kept: int | None = None) -> Iterator[pa.RecordBatch]:
     """Adds ``n_tokens`` and ``ids``; the last column of a batch is the text, and is left out."""
-    own = codec(path, pattern)
+    own = codec(path, pattern, kept)
     for batch in batches:
         texts = batch.column(batch.num_columns - 1)
         offsets, raw = words.buffers(texts)
@@ -340,6 +369,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
                 [*(c.slice(lo, hi - lo) for c in batch.columns[:-1]), pa.array(n), ids],
                 [*batch.schema.names[:-1], "n_tokens", "ids"])
             lo = hi
+        words.release()
 
 
 def _with_text_last(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -349,10 +379,14 @@ def _with_text_last(docs: DataFrame) -> tuple[DataFrame, str]:
     return ordered, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
 
 
-def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The columns of ``docs`` but ``text``, then n_tokens and ids (array<int>), in place of any of these names."""
+def encoded(docs: DataFrame, path: str, pattern: str, kept: int | None = None) -> DataFrame:
+    """The columns of ``docs`` but ``text``, then n_tokens and ids (array<int>), in place of any of these names.
+
+    ``kept`` bounds the words whose encodings a worker keeps (``PIECES`` if not given): fewer take less memory and
+    more time, and change nothing else.
+    """
     ordered, ddl = _with_text_last(docs)
-    return ordered.mapInArrow(lambda batches: _encode(batches, path, pattern), ddl + "n_tokens bigint, ids array<int>")
+    return ordered.mapInArrow(lambda batches: _encode(batches, path, pattern, kept), ddl + "n_tokens bigint, ids array<int>")
 
 
 def decoded(tokens: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -30,6 +30,8 @@ from tidemark.llm.quality_classifier import held_out
 HELD_OUT = (4, 2)
 BUCKETS = 1 << 15
 SWITCH = 12.0
+#: Texts that take their Viterbi steps together.
+STEP_BYTES = 1 << 21
 ALPHA = 0.5
 #: A script is a language's own from this share of its letters on.
 OWN_SCRIPT = 0.01
@@ -244,7 +246,7 @@ def languages(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, found in words.chunks(batch.column(1)):
+            for lo, hi, found in words.chunks(batch.column(1), STEP_BYTES):
                 names, scores, spans = _label(model, found)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(names, pa.string()), pa.array(scores, pa.float64()),
