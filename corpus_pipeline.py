@@ -18,6 +18,8 @@ from tidemark.session import stage
 
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 80
+#: Words a worker keeps encoded, beside what the stages before have left in its executor.
+KEPT_WORDS = 150_000
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids."""
     return byte_bpe.encoded(docs.select("doc_id", "lang", "source", "text"),
-                            public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+                            public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, KEPT_WORDS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
