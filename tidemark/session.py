@@ -54,6 +54,15 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows from here on.
+
+    A batch is held whole by the JVM, outside its heap, and by the Python worker; rows that are long texts make the
+    default of 10,000 a large part of an executor's memory.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def written(spark: SparkSession, path: str) -> bool:
     """Was a write to this folder completed? On any file system Spark knows."""
     mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
