@@ -20,11 +20,13 @@ from tidemark.llm import (
     quality_rules,
     token_counts,
 )
+from tidemark.session import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
