@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import byte_bpe, decontaminate, near_dedup, quality_classifier, quality_rules
 from tidemark.llm.queries import table
-from tidemark.session import stage
+from tidemark.session import small_batches, stage
 
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 80
@@ -35,6 +35,7 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near duplicates."""
+    small_batches(spark)
     return near_dedup.deduplicated(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
@@ -45,6 +46,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids."""
+    small_batches(spark)
     return byte_bpe.encoded(docs.select("doc_id", "lang", "source", "text"),
                             public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, KEPT_WORDS)
 
