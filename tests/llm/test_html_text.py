@@ -73,3 +73,18 @@ def test_rows(spark):
     got = sorted(map(tuple, html_text.extracted(pages).collect()), key=str)
     assert got == sorted([(1, None, "", 0), (None, "u", TEXT, len(TEXT)), (1, "v", "x", 1), (1, "v", "x", 1)], key=str)
     assert html_text.extracted(pages.limit(0)).count() == 0
+
+
+def test_seeds_choose_among_articles():
+    card = "<article><h3><a href=/x>A card</a></h3><p>Few words.</p></article>"
+    page = f"{card}{card}<article><h1>Title</h1><p>{TEXT}</p><p>Tiny.</p><p>{TEXT}</p></article>{card}{card}"
+    assert html_text.extract(page) == f"Title\n{TEXT}\nTiny.\n{TEXT}"
+    assert html_text.extract(f"<main><h1>Title</h1><div><p>{TEXT}</p><p>{TEXT}</p></div>{card}</main>") == f"Title\n{TEXT}\n{TEXT}"
+
+
+def test_seeds_outside_of_cards_are_the_text():
+    cards = "<article><h3>A card</h3><p>Few words.</p></article>" * 4
+    page = f"<div><h1>Title</h1>{''.join(f'<p>{TEXT}</p>' for _ in range(6))}</div><section>{cards}</section>"
+    assert html_text.extract(page) == "\n".join(["Title"] + [TEXT] * 6)
+    one = f"<article><p>Be.</p></article><div>{''.join(f'<p>{TEXT}</p>' for _ in range(6))}</div>"
+    assert html_text.extract(one) == "\n".join(["Be."] + [TEXT] * 6)

@@ -4,9 +4,13 @@ Parser events cut a page into lines, one per block element, each with its text a
 before. A line's text-to-tag ratio, smoothed by a Gaussian over neighbouring lines, tells dense runs of text from
 lists of links; a two-cluster threshold on the smoothed ratios of the page marks the seeds. A content region is a
 container (article, main, section, div, cell or body) that holds seeds, with all its lines that are not boilerplate:
-short paragraphs and headings between long ones stay, and nothing in a region is dropped or cut. Lines inside
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments count as ratio 0
-and are never text, whatever their length. An article or main element, where a page has one, is the only region.
+short paragraphs, headings and linked lines between long ones stay, and nothing in a region is dropped or cut.
+Lines inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments count
+as ratio 0 and are never text, whatever their length.
+
+Article and main elements are a prior among the containers of seeds: those with seeds are the regions, without the
+ones inside them that hold no seed, unless the seeds outside have ``PRIOR`` times their text. The only article or
+main element of a page is a region without seeds too, and the only one unless more than ``PRIOR`` seeds lie outside.
 
 Defined results: null, empty and text-free pages give an empty text; broken mark-up is read as the parser reads it,
 an element that is never closed ends with its page, and a closing tag without an opening one is passed over.
@@ -44,6 +48,8 @@ ENDED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
             "th": ("td", "th"), "option": ("option",)}
 SIGMA = 1.0
 LINK_SHARE = 0.6
+#: Seeds outside of article and main elements need this many times the text of those inside, or this many lines.
+PRIOR = 4
 
 _PARTS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -189,6 +195,22 @@ def _linked(line: Line) -> bool:
     return line.linked > LINK_SHARE * len(line.text)
 
 
+def _chosen(text: list[Line], seeds: list[Line], main: set[int]) -> tuple[set[int], set[int]]:
+    """The containers that are regions, and the article and main elements without seeds that are left out of them."""
+    named = main & {k for x in text for k in x.region}
+    held = main & {k for x in seeds for k in x.region}
+    outer = {next(k for k in x.region if k in main) for x in text if not main.isdisjoint(x.region)}
+    others = [x for x in seeds if main.isdisjoint(x.region)]
+    if held:
+        regions = outer & held
+        if sum(len(x.text) for x in others) > PRIOR * sum(len(x.text) for x in seeds if not held.isdisjoint(x.region)):
+            regions |= {x.region[-1] for x in others}
+        return regions, named - held
+    if len(outer) == 1:
+        return outer | ({x.region[-1] for x in others} if len(others) > PRIOR else set()), set()
+    return {x.region[-1] for x in others}, named
+
+
 def extract(html: str | None) -> str:
     """The main text, one line per block."""
     if not html:
@@ -204,12 +226,13 @@ def extract(html: str | None) -> str:
                        for x, ok in zip(lines, usable.tolist(), strict=True)])
     smooth = smoothed(ratios)
     seeds = usable & (smooth >= threshold(smooth))
+    if not seeds.any():  # the page's best line is an unusable one between two usable ones
+        seeds[np.argmax(np.where(usable, smooth, -1.0))] = True
     main = {k for k, kind in enumerate(parser.kinds) if kind in MAIN}
-    regions = main & {k for x, ok in zip(lines, usable.tolist(), strict=True) if ok for k in x.region}
-    if not regions:
-        regions = {x.region[-1] for x, seed in zip(lines, seeds.tolist(), strict=True) if seed}
-    inside = [x for x, ok in zip(lines, usable.tolist(), strict=True)
-              if ok and not regions.isdisjoint(x.region) and (main or not _linked(x))]
+    text = [x for x, ok in zip(lines, usable.tolist(), strict=True) if ok]
+    regions, empty = _chosen(text, [x for x, ok in zip(lines, seeds.tolist(), strict=True) if ok], main)
+    inside = [x for x in text if not regions.isdisjoint(x.region) and empty.isdisjoint(x.region)
+              and (regions & main or not _linked(x))]
     return "\n".join(x.text for x in inside)
 
 
