@@ -88,3 +88,25 @@ def test_seeds_outside_of_cards_are_the_text():
     assert html_text.extract(page) == "\n".join(["Title"] + [TEXT] * 6)
     one = f"<article><p>Be.</p></article><div>{''.join(f'<p>{TEXT}</p>' for _ in range(6))}</div>"
     assert html_text.extract(one) == "\n".join(["Be."] + [TEXT] * 6)
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<div class='layout with-sidebar'><article><p>{TEXT}</p></article><div class='sidebar'>{TEXT}</div></div>", TEXT),
+    (f"<div id='content-no-sidebar'><p>{TEXT}</p><p>{TEXT}</p></div>", f"{TEXT}\n{TEXT}"),
+    (f"<div class='page has-banner'><nav>{TEXT}</nav><main><p>{TEXT}</p></main></div>", TEXT),
+    (f"<form action=x><nav>Home</nav><div><p>{TEXT}</p><p>{TEXT}</p></div><footer>{TEXT}</footer></form>", f"{TEXT}\n{TEXT}"),
+    (f"<div class='widget'><article><p>{TEXT}</p></article></div><div class='comments'><p>{TEXT}</p><p>{TEXT}</p></div>", TEXT),
+    (f"<article><div class='post-header'>By me</div><p>{TEXT}</p><div class='social-policy'>{TEXT}</div></article>",
+     f"By me\n{TEXT}\n{TEXT}"),
+    (f"<article><p>{TEXT}</p></article><div class='comments'>" + f"<article><p>{TEXT}</p></article>" * 9 + "</div>", TEXT),
+    (f"<nav>Home</nav><div><h2><a href=x>Linked title</a></h2><p>{TEXT}</p><p>{TEXT}</p><h3>References</h3><ul><li><a href=y>"
+     f"Source one</a></li></ul></div>", f"Linked title\n{TEXT}\n{TEXT}\nReferences\nSource one"),
+])
+def test_wrappers_and_links_are_not_boilerplate_by_name(page, want):
+    assert html_text.extract(page) == want
+
+
+def test_links_in_a_page_without_containers():
+    links = "".join(f"<li><a href=/{k}>Some link text {k}</a></li>" for k in range(30))
+    page = f"<body><div><ul>{links}</ul></div><p>{TEXT}</p><p>{TEXT}</p><p><a href=x>Linked</a></p></body>"
+    assert html_text.extract(page) == f"{TEXT}\n{TEXT}\nLinked"

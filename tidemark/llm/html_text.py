@@ -6,7 +6,8 @@ lists of links; a two-cluster threshold on the smoothed ratios of the page marks
 container (article, main, section, div, cell or body) that holds seeds, with all its lines that are not boilerplate:
 short paragraphs, headings and linked lines between long ones stay, and nothing in a region is dropped or cut.
 Lines inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments count
-as ratio 0 and are never text, whatever their length.
+as ratio 0 and are never text, whatever their length. They are told by their element, or by class, id and role
+names all of whose words are marks; wrappers of a page's text or of its articles are not boilerplate by their names.
 
 Article and main elements are a prior among the containers of seeds: those with seeds are the regions, without the
 ones inside them that hold no seed, unless the seeds outside have ``PRIOR`` times their text. The only article or
@@ -43,25 +44,29 @@ MARKS = frozenset(
     "contentinfo cookie cookies disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter "
     "notice notices pagination popup promo promoted promotion recommended related replies reply respond share sharing "
     "sidebar skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+#: Of these, reader comments; neither they nor elements of ``ASIDE`` but forms ever wrap a page.
+DISCUSSION = frozenset("comment comments disqus replies reply respond".split())
 #: An element that a new block ends although its own end tag never came.
 ENDED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
             "th": ("td", "th"), "option": ("option",)}
 SIGMA = 1.0
 LINK_SHARE = 0.6
+#: A mark on an element that holds more than this share of the page's text is that of a page's layout.
+MOST = 0.5
 #: Seeds outside of article and main elements need this many times the text of those inside, or this many lines.
 PRIOR = 4
 
-_PARTS = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[-_]+")
 _SPACE = re.compile(r"\s+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Line:
-    __slots__ = ("text", "tags", "linked", "boilerplate", "region")
+    __slots__ = ("text", "tags", "linked", "marks", "region")
 
-    def __init__(self, text: str, tags: int, linked: int, boilerplate: bool, region: tuple[int, ...]):
+    def __init__(self, text: str, tags: int, linked: int, marks: tuple[int, ...], region: tuple[int, ...]):
         self.text, self.tags, self.linked = text, tags, linked
-        self.boilerplate, self.region = boilerplate, region
+        self.marks, self.region = marks, region
 
 
 class LineParser(HTMLParser):
@@ -70,14 +75,16 @@ class LineParser(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, bool, int]] = []  # element, boilerplate, unseen, container number
+        # element, numbers of it and those around it that are marked, unseen, container number
+        self.open: list[tuple[str, tuple[int, ...], bool, int]] = []
         self.kinds: list[str] = ["html"]
+        self.firm: set[int] = set()  # marked elements that are boilerplate wherever they are
         self.parts: list[str] = []
         self.tags = self.linked = 0
         self.links = 0
 
-    def _state(self) -> tuple[bool, bool]:
-        return (self.open[-1][1], self.open[-1][2]) if self.open else (False, False)
+    def _state(self) -> tuple[tuple[int, ...], bool]:
+        return (self.open[-1][1], self.open[-1][2]) if self.open else ((), False)
 
     def _regions(self) -> tuple[int, ...]:
         return (0, *(x[3] for x in self.open if x[3]))
@@ -88,22 +95,26 @@ class LineParser(HTMLParser):
             self.lines.append(Line(text, self.tags, self.linked, self._state()[0], self._regions()))
         self.parts, self.tags, self.linked = [], 0, 0
 
-    def _marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
-        unseen, boilerplate = tag in UNSEEN, False
-        if tag in ("html", "body") or tag in MAIN:
-            return unseen, False
-        boilerplate = tag in ASIDE
+    def _marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool, bool]:
+        """Is the element unseen, marked as boilerplate, and firmly so?"""
+        unseen, marked, firm = tag in UNSEEN, False, False
+        if tag in ("html", "body", "main"):
+            return unseen, False, False
+        # a heading's own header belongs to its article
+        if tag in ASIDE and not (tag == "header" and any(x[0] in MAIN for x in self.open)):
+            marked, firm = True, tag != "form"
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 unseen = True
             elif value and name in ("class", "id", "role") and tag not in ("p", "span", "a", "b", "i", "em", "strong"):
-                boilerplate = boilerplate or not MARKS.isdisjoint(_PARTS.findall(value.lower()))
+                for token in value.lower().split():
+                    parts = set(_PARTS.split(token)) - {""}
+                    # a token of several words is a mark if all of them are: cookie-notice, not has-banner
+                    if parts and parts <= MARKS and (tag not in MAIN or parts <= DISCUSSION):
+                        marked, firm = True, firm or not parts.isdisjoint(DISCUSSION)
             elif value and name == "style" and _HIDDEN.search(value.lower()):
                 unseen = True
-        # a heading's own header belongs to its article
-        if tag == "header" and any(x[0] in MAIN for x in self.open):
-            boilerplate = False
-        return unseen, boilerplate
+        return unseen, marked, firm
 
     def _close(self, depth: int) -> None:
         for tag, *_ in self.open[depth:]:
@@ -129,14 +140,18 @@ class LineParser(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        boilerplate, unseen = self._state()
-        own_unseen, own_boilerplate = self._marked(tag, attrs)
+        marks, unseen = self._state()
+        own_unseen, marked, firm = self._marked(tag, attrs)
         number = 0
-        if tag in CONTAINERS:
+        if tag in CONTAINERS or marked:
             number = len(self.kinds)
             self.kinds.append(tag)
+        if marked:
+            marks = (*marks, number)
+        if firm:
+            self.firm.add(number)
         self.links += tag == "a"
-        self.open.append((tag, boilerplate or own_boilerplate, unseen or own_unseen, number))
+        self.open.append((tag, marks, unseen or own_unseen, number if tag in CONTAINERS else 0))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -195,6 +210,30 @@ def _linked(line: Line) -> bool:
     return line.linked > LINK_SHARE * len(line.text)
 
 
+def _boilerplate(parser: LineParser) -> list[bool]:
+    """Which lines lie in marked elements.
+
+    Marks that are not firm are passed over on an element that holds most of the page's text, unless an article or
+    main element lies outside, and on elements around article and main elements that hold more text than all
+    unmarked lines.
+    """
+    lines, kinds, firm = parser.lines, parser.kinds, parser.firm
+    main = [next((k for k in x.region if kinds[k] in MAIN), 0) for x in lines]
+    held: dict[int, int] = {}
+    for x in lines:
+        for m in x.marks:
+            held[m] = held.get(m, 0) + len(x.text)
+    least = MOST * sum(len(x.text) for x in lines)
+    named = any(x.text and k and not x.marks for x, k in zip(lines, main, strict=True))
+    wrong = {m for m, n in held.items() if n > least and m not in firm} if not named else set()
+    marks = [[m for m in x.marks if m not in wrong] for x in lines]
+    inner = [[m for m in own if m in firm or m >= k] if k else own for own, k in zip(marks, main, strict=True)]
+    freed = sum(len(x.text) for x, k, own in zip(lines, main, inner, strict=True) if k and not own)
+    if freed > sum(len(x.text) for x, k, own in zip(lines, main, marks, strict=True) if not k and not own):
+        marks = inner
+    return [bool(own) for own in marks]
+
+
 def _chosen(text: list[Line], seeds: list[Line], main: set[int]) -> tuple[set[int], set[int]]:
     """The containers that are regions, and the article and main elements without seeds that are left out of them."""
     named = main & {k for x in text for k in x.region}
@@ -219,7 +258,7 @@ def extract(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     lines = parser.lines
-    usable = np.array([bool(x.text) and not x.boilerplate for x in lines], dtype=bool)
+    usable = np.array([bool(x.text) and not out for x, out in zip(lines, _boilerplate(parser), strict=True)], dtype=bool)
     if not usable.any():
         return ""
     ratios = np.array([len(x.text) / max(1, x.tags) if ok and not _linked(x) else 0.0
@@ -231,8 +270,11 @@ def extract(html: str | None) -> str:
     main = {k for k, kind in enumerate(parser.kinds) if kind in MAIN}
     text = [x for x, ok in zip(lines, usable.tolist(), strict=True) if ok]
     regions, empty = _chosen(text, [x for x, ok in zip(lines, seeds.tolist(), strict=True) if ok], main)
+    # where the whole page is the region, containers of nothing but links are not of the text
+    root = {k for k in regions if parser.kinds[k] in ("html", "body")}
+    running = {k for x in text if not _linked(x) for k in x.region}
     inside = [x for x in text if not regions.isdisjoint(x.region) and empty.isdisjoint(x.region)
-              and (regions & main or not _linked(x))]
+              and not (_linked(x) and x.region[-1] not in running and regions.intersection(x.region) <= root)]
     return "\n".join(x.text for x in inside)
 
 
