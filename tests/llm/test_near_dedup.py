@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 
@@ -94,3 +95,38 @@ def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(100, 160)] + [(5, 5), (7, 3)], "u bigint, v bigint")
     got = {r.node: r.component for r in near_dedup.components(chain).collect()}
     assert got == {k: 100 for k in range(100, 161)} | {3: 3, 7: 3}
+
+
+def test_groups_of_many_members_are_cut(spark, monkeypatch):
+    paired = spark.range(5000).selectExpr("0L AS centre", "id AS cid")
+    weight = spark.range(5000).selectExpr("id AS cid", "20L AS n")
+    assert [tuple(r) for r in near_dedup._blocks(paired, weight).collect()] == [(0, 3)]
+    # rows drift away from the first, so that most links do not lead to their centre
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 7)
+    rows, text = [], [f"w{k}" for k in range(150)]
+    for i in range(120):
+        text[(i * 7) % 150] = f"n{i}"
+        rows.append((500 + i * 37 % 120, " ".join(text)))
+    agree(spark, rows, 3, 85)
+
+
+def test_links_take_no_wide_arrays_of_pairs():
+    draw = np.random.default_rng(2)
+    base = draw.integers(0, 2**63, 40, dtype=np.uint64)
+    sets = []
+    for k in range(3000):
+        own = base.copy()
+        own[:draw.integers(0, 12)] = k * 100 + np.arange(40, dtype=np.uint64)[:1]
+        sets.append(np.unique(own))
+    tracemalloc.start()
+    found = list(near_dedup.links_of(sets, 80))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 14 * len(sets)**2  # bytes
+    root = list(range(len(sets)))
+    for a, b in found:
+        root[b] = a
+    for k in range(0, 3000, 97):
+        near = {j for j in range(len(sets)) if j != k and
+                100 * len(np.intersect1d(sets[k], sets[j])) >= 80 * len(np.union1d(sets[k], sets[j]))}
+        assert all(root[j] == root[k] for j in near)

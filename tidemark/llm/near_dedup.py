@@ -7,9 +7,10 @@
 2. Documents of the same set are one class, named by its smallest id; only classes go on.
 3. A bucket's classes are paired with its smallest one, the centre. All classes that meet a centre in any bucket
    form its group, so every pair that shares a bucket is in some group, and is in it once, not once a band.
-4. A group is cut into blocks of bounded size, and each pair of blocks is one task's work: all similarities by
-   matrix products over whole sets, inside numpy. Out come at most as many links as the blocks have members,
-   a spanning forest of all links found, so no link between different texts is lost and no pair is listed.
+4. A group is cut into blocks of bounded shingles and members. Each block with the centre is one task's work: all
+   similarities by matrix products over whole sets, inside numpy. Out come at most as many links as the block has
+   members, a spanning forest of all links found, so no link between different texts is lost and no pair is listed.
+   Members now linked to the centre are one already; each block is compared with the blocks of the others only.
 5. Connected components by alternating smallest-neighbour steps, each written to the shared folder.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing. Rows that share a
@@ -24,7 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
@@ -34,6 +35,10 @@ PERMUTATIONS = 64
 BAND = 4
 #: Shingles of one block of a group (8 bytes each).
 BLOCK_SHINGLES = 1_000_000
+#: Members of one block of a group; a task holds two blocks and a byte for each pair of their members.
+BLOCK_MEMBERS = 2000
+#: Cells of the arrays that similarities are computed in.
+CELLS = 1 << 21
 #: Slots of the filter that keeps unpaired sets out of the shuffle; a broadcast of at most 8 MB.
 SLOTS = 1 << 20
 
@@ -111,17 +116,26 @@ def links_of(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
     both = times[column] > 1
     row, column = row[both], column[both]
     _, column = np.unique(column, return_inverse=True)
-    shared = np.zeros((m, m), dtype=np.float32)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    width = max(256, (1 << 22) // m)
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, b = np.searchsorted(column, [lo, lo + width])
-        part = np.zeros((m, min(width, int(column[-1]) + 1 - lo)), dtype=np.float32)
-        part[row[a:b], column[a:b] - lo] = 1
-        shared += part @ part.T
-    # float32 counts are exact below 2**24 shared shingles
-    linked = 100.0 * shared.astype(np.float64) >= percent * (sizes[:, None] + sizes[None, :] - shared.astype(np.float64))
+    columns = int(column[-1]) + 1 if len(column) else 0
+    linked = np.zeros((m, m), dtype=bool)
+    height, width = max(1, CELLS // m), max(256, 2 * CELLS // m)
+    cuts = np.searchsorted(column, range(0, columns + width, width))
+    for top in range(0, m, height):
+        end = min(top + height, m)
+        shared = np.zeros((end - top, m - top), dtype=np.float32)
+        for k, lo in enumerate(range(0, columns, width)):
+            r, c = row[cuts[k]:cuts[k + 1]], column[cuts[k]:cuts[k + 1]]
+            part = np.zeros((m - top, min(width, columns - lo)), dtype=np.float32)
+            here = r >= top
+            part[r[here] - top, c[here] - lo] = 1
+            shared += part[:end - top] @ part.T
+        # float32 counts are exact below 2**24 shared shingles
+        shared = shared.astype(np.float64)
+        near = 100.0 * shared >= percent * (sizes[top:end, None] + sizes[None, top:] - shared)
+        linked[top:end, top:] = near
+        linked[top:, top:end] = near.T
     np.fill_diagonal(linked, False)
     seen = np.zeros(m, dtype=bool)
     for root in range(m):
@@ -136,8 +150,54 @@ def links_of(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
                 yield root, x
 
 
+def _blocks(members: DataFrame, weight: DataFrame) -> DataFrame:
+    """centre, blocks: the blocks that the members (centre, cid) of each centre are cut into, where one is too few."""
+    return members.join(weight, "cid").groupBy("centre").agg(F.greatest(
+        F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)), F.ceil(F.count("*") / F.lit(BLOCK_MEMBERS))).cast("int").alias(
+        "blocks")).where("blocks > 1")
+
+
+def group_links(paired: DataFrame, weight: DataFrame, whole: Callable[[DataFrame], DataFrame],
+                percent: int) -> DataFrame:
+    """u, v: links that join all members (centre, cid) of a centre's group that have a chain of links inside it."""
+    def own(blocks: str) -> Column:
+        return F.pmod(F.xxhash64("cid"), F.col(blocks)).cast("int")
+
+    def numbers(blocks: str) -> Column:
+        return F.sequence(F.lit(0), F.col(blocks) - 1)
+
+    def confirmed(members: DataFrame, ids: DataFrame, *keys: str) -> DataFrame:
+        return members.join(whole(ids.select("cid").distinct()), "cid").groupBy(*keys).applyInPandas(_confirm(percent), "u bigint, v bigint")
+
+    large = stage(_blocks(paired, weight), "large-groups")
+    dealt = paired.join(large, "centre", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    once = confirmed(dealt.select("centre", "cid", F.explode(
+        F.when(F.col("cid") == F.col("centre"), numbers("blocks")).otherwise(F.array(own("blocks")))).alias("block")),
+        paired, "centre", "block")
+    if large.isEmpty():
+        return once
+    once = stage(once, "links-in-blocks")
+    members = stage(paired.join(large, "centre"), "members")
+    # a link's smaller end is the centre for those it is already one with
+    apart = stage(members.where("cid <> centre").join(once.select(F.col("u").alias("centre"), F.col("v").alias("cid")),
+                                                      ["centre", "cid"], "left_anti"), "apart")
+    if apart.isEmpty():
+        return once
+    cut = apart.groupBy("centre").agg(F.count("*").alias("n")).join(
+        _blocks(apart.select("centre", "cid"), weight).withColumnRenamed("blocks", "cuts"), "centre", "left").select(
+        "centre", F.coalesce("cuts", F.lit(1)).alias("cuts"))
+    cut = stage(cut, "apart-blocks")
+    left = members.join(cut, "centre").select(
+        "centre", "cid", own("blocks").alias("block"), F.explode(numbers("cuts")).alias("cut"))
+    right = apart.join(cut, "centre").select(
+        "centre", "cid", F.explode(numbers("blocks")).alias("block"), own("cuts").alias("cut"))
+    return once.unionByName(confirmed(
+        left.unionByName(right).distinct(), members.join(cut, "centre", "left_semi"), "centre", "block", "cut"))
+
+
 def _confirm(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("cid")  # the centre has the smallest id, and links lead from the first
         ids = group["cid"].to_numpy()
         sets = [np.frombuffer(x, dtype=_U) for x in group["shingles"]]
         found = [(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in links_of(sets, percent) if ids[a] != ids[b]]
@@ -195,23 +255,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         "centre < other").select("bucket", "centre")
     paired = stage(buckets.join(shared, "bucket").select("centre", "cid").distinct(), "groups")
 
-    # Whole sets of the paired classes; the rest is kept out of the shuffle by a filter of bounded size.
-    ids = paired.select("cid").distinct()
-    slot = F.pmod(F.xxhash64("cid"), F.lit(SLOTS)).cast("int")
-    whole = sets.select(F.col("doc_id").alias("cid"), "fp_a", "fp_b", "shingles").join(
-        F.broadcast(ids.select(slot.alias("slot")).distinct()), slot == F.col("slot"), "left_semi")
-    whole = whole.join(first.join(ids, "cid", "left_semi"), ["cid", "fp_a", "fp_b"], "left_semi").groupBy(
-        "cid", "fp_a", "fp_b").agg(F.first("shingles").alias("shingles"))
-
-    weight = banded.groupBy("cid").agg(F.sum("n_shingles").alias("n"))
-    weighed = paired.join(weight, "cid")
-    blocks = weighed.groupBy("centre").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    dealt = paired.join(blocks, "centre").withColumn("own", own).select(
-        "centre", "cid", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(
-            F.least("own", k).alias("lo"), F.greatest("own", k).alias("hi")))).alias("at"))
-    members = dealt.select("cid", "centre", "at.lo", "at.hi").join(whole, "cid")
-    links = members.groupBy("centre", "lo", "hi").applyInPandas(_confirm(percent), "u bigint, v bigint")
+    def whole(ids: DataFrame) -> DataFrame:
+        """Whole sets of some classes; the rest is kept out of the shuffle by a filter of bounded size."""
+        slot = F.pmod(F.xxhash64("cid"), F.lit(SLOTS)).cast("int")
+        found = sets.select(F.col("doc_id").alias("cid"), "fp_a", "fp_b", "shingles").join(
+            F.broadcast(ids.select(slot.alias("slot")).distinct()), slot == F.col("slot"), "left_semi")
+        return found.join(first.join(ids, "cid", "left_semi"), ["cid", "fp_a", "fp_b"], "left_semi").groupBy(
+            "cid", "fp_a", "fp_b").agg(F.first("shingles").alias("shingles"))
+
+    links = group_links(paired, banded.groupBy("cid").agg(F.sum("n_shingles").alias("n")), whole, percent)
 
     # An id that names several texts is one node: its classes are linked through it.
     several = member.where("cid IS NOT NULL").groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where(
