@@ -1,10 +1,12 @@
 """Quality rules against their SQL, and on made rows."""
 
+import random
 import re
 from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import checks, quality_rules
 
@@ -71,3 +73,20 @@ def test_equals_sql(spark, small, folder):
 def test_no_python_in_the_plan(spark, small):
     plan = quality_rules.quality(spark.read.parquet(f"{small}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_fences_follow_sources_of_very_long_words(spark):
+    draw = random.Random(6)
+    rows = [(k, " ".join("x" * draw.randrange(220, 480) + str(j) for j in range(12)), "zh", "a") for k in range(300)]
+    rows += [(k, " ".join("x" * (5000 + k % 2) + str(j) for j in range(12)), "ja", "a") for k in range(300, 600)]
+    rows += [(600, " ".join("x" * 9000 + str(j) for j in range(12)), "zh", "a"),
+             (601, " ".join("x" * 9000 + str(j) for j in range(12)), "ja", "a")]
+    docs = spark.createDataFrame([(*r, "n", "k") for r in rows], DDL)
+    assert {r.doc_id for r in quality_rules.quality(docs).where("kept").collect()} == set(range(600))
+
+
+def test_steps_are_taken_together_by_their_leading_digits(spark):
+    got = spark.range(200000).select("id", quality_rules._coarse(F.col("id")).alias("a"),
+                                     quality_rules._last(quality_rules._coarse(F.col("id"))).alias("b"))
+    assert got.where("NOT (a <= id AND id <= b AND b - a <= id / 1000)").count() == 0
+    assert got.where("id < 2048 AND (a <> id OR b <> id)").count() == 0

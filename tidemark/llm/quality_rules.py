@@ -4,7 +4,8 @@ Base rules are fixed: too few words, or too many words in repeated five-word win
 from the corpus itself: symbols among word characters, repeated lines among lines, characters per word. The sketch
 of a rate is the number of documents in each of its integer steps (a histogram of fixed steps, so its quantiles
 are exact to one step and two sketches merge by adding counts). Counting is aggregated before the shuffle, so a
-source with a third of all rows costs no more than any other; a sketch has at most ``STEPS`` rows.
+source with a third of all rows costs no more than any other. Steps of ``EXACT`` or more are taken together by their
+leading binary digits, to one part in a thousand, so a sketch of any range has few rows and no quartile is clipped.
 
 A fence lies ``REACH`` times the middle half's width (or the rate's least width, if that is more) beyond the middle
 half. A language and source with fewer than ``LEAST_DOCS`` documents takes the merged sketch of its language, and a
@@ -32,7 +33,7 @@ WINDOW = 5
 LEAST_WORDS = 10
 REPEAT_PERCENT = 20
 
-STEPS = 2000
+EXACT = 2048
 LEAST_DOCS = 200
 #: rate: (steps a unit, least width of the middle half in steps, reach below, reach above); 0: no fence on that side.
 RATES = {
@@ -119,10 +120,24 @@ def rates(frame: DataFrame) -> DataFrame:
     })
 
 
+def _beyond(step: Column) -> Column:
+    """Binary digits of a step beyond those that are kept; none below ``EXACT``."""
+    return F.greatest(F.length(F.bin(step)) - F.lit(EXACT.bit_length() - 1), F.lit(0))
+
+
+def _coarse(step: Column) -> Column:
+    """The smallest step that is taken together with ``step``."""
+    return F.call_function("shiftleft", F.call_function("shiftright", step, _beyond(step)), _beyond(step))
+
+
+def _last(step: Column) -> Column:
+    """The largest step that is taken together with ``step``."""
+    return step + F.call_function("shiftleft", F.lit(1).cast("bigint"), _beyond(step)) - 1
+
+
 def sketches(frame: DataFrame) -> DataFrame:
     """Documents per language, source, rate and step."""
-    entries = F.array(*[F.struct(F.lit(name).alias("rate"), F.least(F.col(f"r_{name}"), F.lit(STEPS)).alias("step"))
-                        for name in RATES])
+    entries = F.array(*[F.struct(F.lit(name).alias("rate"), _coarse(F.col(f"r_{name}")).alias("step")) for name in RATES])
     return frame.where("n_words > 0").select("lang", "source", F.explode(entries).alias("e")).groupBy(
         "lang", "source", F.col("e.rate").alias("rate"), F.col("e.step").alias("step")).agg(F.count("*").alias("docs"))
 
@@ -139,7 +154,7 @@ def fences(sketch: DataFrame, *keys: str) -> DataFrame:
     ranked = sketch.withColumn("upto", F.sum("docs").over(run)).withColumn("n", F.sum("docs").over(whole))
     middle = ranked.groupBy(*keys, "rate").agg(
         F.max("n").alias("n"), F.min(F.when(F.expr("4 * upto >= n"), F.col("step"))).alias("q1"),
-        F.min(F.when(F.expr("4 * upto >= 3 * n"), F.col("step"))).alias("q3"))
+        _last(F.min(F.when(F.expr("4 * upto >= 3 * n"), F.col("step")))).alias("q3"))
     out = [F.max("n").alias("n")]
     for name, (_, least, below, above) in RATES.items():
         width = F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
