@@ -11,7 +11,9 @@ from tidemark.llm import (
     byte_bpe,
     chat,
     checks,
+    conversation_repair,
     decontaminate,
+    fill_middle,
     html_text,
     language_id,
     language_model,
@@ -19,6 +21,7 @@ from tidemark.llm import (
     quality_classifier,
     quality_rules,
     token_counts,
+    url_filter,
 )
 from tidemark.session import small_batches
 
@@ -75,6 +78,23 @@ def document_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(table(spark, sf_dir, "documents"))
 
 
+def fill_middle_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.transformed(table(spark, sf_dir, "documents")))
+
+
+def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    return url_filter.judged(table(spark, sf_dir, "pages"), rules)
+
+
+def conversation_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs, edits and digests of the repair of damaged conversations."""
+    return conversation_repair.audited(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+#: The rules that pages are judged by.
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": contaminated_documents,
     "op2_quality_rules": quality_rules_of_documents,
@@ -86,9 +106,15 @@ QUERIES: dict[str, Query] = {
     "op8_near_duplicates": near_duplicate_documents,
     "op9_language_id": document_languages,
     "op10_byte_bpe": byte_bpe_round_trip,
+    "op11_fill_middle": fill_middle_digests,
+    "op12_url_filter": url_verdicts,
+    "op13_conversation_repair": conversation_repairs,
 }
 
 CHECKS: dict[str, str] = {
     "op2_quality_rules": checks.QUALITY_RULES,
     "op5_chat_formatting": checks.CHAT,
+    "op11_fill_middle": checks.FILL_MIDDLE,
+    "op12_url_filter": checks.URL_FILTER,
+    "op13_conversation_repair": checks.CONVERSATION_REPAIR,
 }
