@@ -243,14 +243,6 @@ def test_tiers_and_strict_read(rows, spark):
         access.latest_period(state.where("false"), kept.where("false")).collect()
 
 
-def test_upsert_keeps_the_last_write(spark, rows, tmp_path):
-    ddl = "period string, status string, completed_at timestamp"
-    one, two = str(tmp_path / "1"), str(tmp_path / "2")
-    sinks.upsert(spark, rows(ddl, ("2006-Q1", "FAILED", NOW)), schemas.INGESTION_STATE, str(tmp_path / "0"), one, "completed_at")
-    out = sinks.upsert(spark, rows(ddl, ("2006-Q1", "COMPLETED", NOW)), schemas.INGESTION_STATE, one, two, "completed_at")
-    assert [(r.period, r.status) for r in out.collect()] == [("2006-Q1", "COMPLETED")]
-
-
 def test_unknown_columns_are_refused(rows):
     with pytest.raises(ValueError, match="Unknown columns for signals: colour"):
         schemas.conform(rows("signal_key string, colour string"), schemas.SIGNALS)

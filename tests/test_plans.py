@@ -57,3 +57,69 @@ def test_a_load_reads_only_its_partitions_of_the_target(spark, rows, tmp_path):
     assert "PartitionFilters: [isnotnull(price_year" in text and "price_year#" in text and "= 2021)" in text
     assert "LeftSemi" in text
     assert stored.count() == 1
+
+
+def accessions(rows, n, years):
+    ddl = "source string, accession_number string, record_hash string, filing_period string"
+    return rows(ddl, *[("SEC", f"0000000001-{y:02d}-{k:06d}", f"h{k}", f"20{y:02d}-Q1") for y in years for k in range(n)])
+
+
+def bytes_read(df):
+    df.collect()
+    found = [0]
+
+    def walk(node):
+        if node.metrics().contains("filesSize"):
+            found[0] += node.metrics().apply("filesSize").value()
+        inner = [node.executedPlan()] if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else []
+        children = node.children()
+        for c in [*inner, *[children.apply(k) for k in range(children.size())]]:
+            walk(c)
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found[0]
+
+
+def test_a_batch_of_transactions_reads_only_the_ranges_of_its_keys(spark, rows, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    table, path = schemas.INSIDER_TRANSACTIONS, str(tmp_path / "t")
+    schemas.append(accessions(rows, 100, range(15, 25)), table, path)
+    read = {}
+    for name, batch in (("one key", accessions(rows, 1, [20])), ("a year", accessions(rows, 100, [20])),
+                        ("two years", accessions(rows, 100, [20, 21]))):
+        batch = schemas.ranged(batch, table)
+        known = sinks.stored_for(spark, batch, table, path)
+        text = plan(known)
+        assert "PartitionFilters: [" in text and "key_range" in text.split("PartitionFilters: [")[1].split("]")[0]
+        read[name] = bytes_read(known.select(*table.key))
+        assert known.join(batch, list(table.key), "left_semi").count() == batch.count()
+    whole = bytes_read(schemas.read(spark, table, path).select(*table.key))
+    assert read["one key"] * 100 < whole and read["a year"] * 9 < whole and 1.8 < read["two years"] / read["a year"] < 2.2
+
+
+def test_outcomes_across_quarters_of_one_key(spark, rows, tmp_path):
+    """A key that comes again under another quarter is still a duplicate."""
+    table, path = schemas.INSIDER_TRANSACTIONS, str(tmp_path / "t")
+    day = datetime.datetime(2024, 1, 1)
+    first = accessions(rows, 3, [20]).withColumn("index", F.col("record_hash"))
+    assert {r.outcome for r in sinks.store(spark, first, table, path, "index", day).collect()} == {"INSERTED"}
+    again = first.withColumn("filing_period", F.lit("2031-Q4"))
+    assert {r.outcome for r in sinks.store(spark, again, table, path, "index", day).collect()} == {"DUPLICATE"}
+    odd = rows("source string, accession_number string, record_hash string, filing_period string, index string",
+               ("SEC", "", "h", "2020-Q1", "1"), ("SEC", "no year", "h", None, "2"))
+    assert {r.outcome for r in sinks.store(spark, odd, table, path, "index", day).collect()} == {"INSERTED"}
+    assert schemas.read(spark, table, path).where("key_range LIKE 'none-%'").count() == 2
+
+
+def test_lookup_by_key_reads_one_range(spark, rows, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    path, files = str(tmp_path / "events"), []
+    for n in (200, 2000):  # ten times the rows
+        made = spark.range(n).select(F.concat(F.lit(f"key{n}-"), "id").alias("event_key"), F.lit("event_return").alias("event_type"))
+        schemas.append(made, schemas.RESEARCH_EVENTS, f"{path}{n}")
+        found = access.result_by_key(schemas.read(spark, schemas.RESEARCH_EVENTS, f"{path}{n}"), f"key{n}-7")
+        assert "key_range" in plan(found).split("PartitionFilters: [")[1].split("]")[0]
+        assert found.count() == 1
+        files.append(len(found.inputFiles()))
+    stored = schemas.read(spark, schemas.SIGNALS, str(tmp_path / "none"))
+    assert access.signal_by_key(stored, " k ").count() == 0

@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import schemas
 from tidemark.functions import dates, text
 from tidemark.operators import skew
 
@@ -239,10 +240,17 @@ def decode_results(events: DataFrame, event_type: str, payload_schema: str, symb
 
 
 def result_by_key(events: DataFrame, key: str) -> DataFrame:
-    """The stored result of one key."""
+    """The stored result of one key, read from the key's range of the store."""
     if not key.strip():
         raise ValueError("event_key cannot be empty.")
-    return events.where(F.col("event_key") == key.strip())
+    return schemas.with_key(events, schemas.RESEARCH_EVENTS, key.strip())
+
+
+def signal_by_key(signals: DataFrame, key: str) -> DataFrame:
+    """The stored signal of one key, read from the key's range of the store."""
+    if not key.strip():
+        raise ValueError("signal_key cannot be empty.")
+    return schemas.with_key(signals, schemas.SIGNALS, key.strip())
 
 
 def pending_periods(periods: DataFrame, state: DataFrame, force: bool = False) -> DataFrame:

@@ -47,7 +47,7 @@ def classify(batch: DataFrame, stored: DataFrame, key: list[str], fingerprint: s
 def stored_for(spark: SparkSession, batch: DataFrame, table: Table, path: str) -> DataFrame:
     """The stored rows that can share a key with the batch: those of its partitions, where the key tells them.
 
-    The list of partition values is as long as the batch has partitions (years, quarters).
+    The list of partition values is as long as the batch has partitions (years, slices of years).
     """
     stored = schemas.read(spark, table, path)
     for column in table.key_partitions:
@@ -71,6 +71,7 @@ def store(spark: SparkSession, batch: DataFrame, table: Table, path: str, index:
     work = work or fresh_dir(spark, f"work-{table.name}")
     outcome_path = outcome_path or f"{work}/outcomes"
     parsed = f"{work}/batch"
+    batch = schemas.ranged(batch, table)
     if not written(spark, parsed):
         batch.write.mode("overwrite").parquet(parsed)
     # Rows may share an index; their place in the work folder's files tells them apart, on every reading.
@@ -165,17 +166,6 @@ def latest(rows: DataFrame, key: list[str], order_by: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(newest.alias("_row")).select(*key, "_row.*").select(*rows.columns)
 
 
-def upsert(spark: SparkSession, batch: DataFrame, table: Table, path: str, out_path: str, order_by: str) -> DataFrame:
-    """Last write wins on the key. The merged table goes to ``out_path``: a path being read is never
-    overwritten, the caller switches over once this has succeeded."""
-    merged = latest(
-        schemas.read(spark, table, path).withColumn("_new", F.lit(0)).unionByName(
-            schemas.conform(batch, table).withColumn("_new", F.lit(1))),
-        list(table.key), [order_by, "_new"]).drop("_new")
-    merged.write.parquet(out_path)
-    return schemas.read(spark, table, out_path)
-
-
 def provenance_rows(rows: DataFrame, retrieved_at: datetime.datetime) -> DataFrame:
     """Provenance with its four mandatory texts checked; a blank one stops the job."""
     def needed(name: str) -> Column:

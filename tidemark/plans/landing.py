@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions import text
-from tidemark.operators import accounting, audit, filings, loads, normalize, sinks
+from tidemark.operators import accounting, audit, changes, filings, loads, normalize, sinks
 from tidemark.plans import views
 from tidemark.plans.registry import query
 from tidemark.session import fresh_dir, stage
@@ -764,38 +764,53 @@ def single_inserts(spark, d):
 
 
 @query("provenance_upsert", "SNK-5 OP-14",
-       f"""WITH {views.SUBMISSIONS} SELECT 'order' AS record_type, CAST(o_custkey AS VARCHAR) AS record_id, 'SEC' AS source,
-             arg_max(o_orderkey || '', (filing_date, o_orderkey)) AS checksum FROM submissions GROUP BY ALL""")
+       f"""WITH {views.SUBMISSIONS}, n AS (SELECT o_custkey, arg_max(o_orderkey || '', (filing_date, o_orderkey)) AS checksum
+             FROM submissions GROUP BY ALL)
+           SELECT step, 'order' AS record_type, CAST(o_custkey AS VARCHAR) AS record_id, 'SEC' AS source, checksum
+           FROM n, (SELECT unnest(['log', 'compacted']) AS step)
+           UNION ALL SELECT 'key', 'order', CAST(o_custkey AS VARCHAR), 'SEC', checksum FROM n WHERE o_custkey = 7""")
 def provenance_upsert(spark, d):
+    """A delivery a year, last year first: the newest row of a key counts, before and after ranges are merged."""
     heads = views.submissions(spark, d)
     rows = heads.select(
         F.lit("order").alias("record_type"), F.col("o_custkey").cast("string").alias("record_id"), F.lit("SEC").alias("source"),
         F.col("o_orderkey").cast("string").alias("checksum"), "filing_date", "o_orderkey")
-    last = sinks.latest(rows, list(schemas.PROVENANCE.key), ["filing_date", "o_orderkey"])
-    early = rows.where(F.col("filing_date") < F.lit("1997-01-01").cast("date"))
-    first = sinks.latest(early, list(schemas.PROVENANCE.key), ["filing_date", "o_orderkey"])
+    # Of a key's rows of one day the largest order is the right one; it is written last.
+    days = sinks.latest(rows, [*schemas.PROVENANCE.key, "filing_date"], ["o_orderkey"])
+    shaped = stage(days.withColumns({"retrieved_at": F.col("filing_date").cast("timestamp"), "validation_status": F.lit("validated")}),
+                   "deliveries")
+    path = fresh_dir(spark, "provenance")
+    for delivery, (first, last) in enumerate((("1997-01-01", "9999-01-01"), ("1995-01-01", "1997-01-01"), ("0001-01-01", "1995-01-01"))):
+        changes.upsert(shaped.where(F.col("filing_date").between(F.lit(first).cast("date"), F.date_sub(F.lit(last).cast("date"), 1))).drop(
+            "filing_date", "o_orderkey"), schemas.PROVENANCE, path, "retrieved_at", delivery)
 
-    def shaped(df):
-        return df.withColumns({
-            "retrieved_at": F.col("filing_date").cast("timestamp"), "validation_status": F.lit("validated"),
-            "source_reference": F.lit(None).cast("string")}).drop("filing_date", "o_orderkey")
+    def read(step, *key):
+        found = changes.current(spark, schemas.PROVENANCE, path, "retrieved_at", key)
+        return stage(found.select(F.lit(step).alias("step"), *schemas.PROVENANCE.key, "checksum"), "provenance-read")
 
-    empty, one, two = (fresh_dir(spark, "provenance") for _ in range(3))
-    sinks.upsert(spark, shaped(first), schemas.PROVENANCE, empty, one, "retrieved_at")
-    merged = sinks.upsert(spark, shaped(last), schemas.PROVENANCE, one, two, "retrieved_at")
-    return merged.select("record_type", "record_id", "source", "checksum")
+    before = read("log")
+    changes.compact(spark, schemas.PROVENANCE, path, "retrieved_at", least_files=2)
+    return before.unionByName(read("compacted")).unionByName(read("key", "order", "7", "SEC"))
 
 
 @query("state_upsert", "SNK-6",
-       f"WITH {views.FILINGS}, {views.STATE} SELECT period, 'COMPLETED' AS status, records_parsed FROM state")
+       f"""WITH {views.FILINGS}, {views.STATE} SELECT step, period, CASE WHEN step = 1 THEN status ELSE 'COMPLETED' END AS status,
+             records_parsed FROM state, (SELECT unnest([1, 2, 3]) AS step)""")
 def state_upsert(spark, d):
-    state = views.state(spark, d)
-    one, two = fresh_dir(spark, "ingestion_state"), fresh_dir(spark, "ingestion_state")
-    sinks.upsert(spark, state.withColumn("completed_at", F.lit(STAMP)), schemas.INGESTION_STATE, f"{one}-none", one,
-                 "completed_at")
-    again = state.withColumns({"status": F.lit("COMPLETED"), "completed_at": F.lit(STAMP + datetime.timedelta(days=1))})
-    return sinks.upsert(spark, again, schemas.INGESTION_STATE, one, two, "completed_at").select(
-        "period", "status", "records_parsed")
+    """Every quarter's state, then all of them completed, then the merged log."""
+    state, path = views.state(spark, d), fresh_dir(spark, "ingestion_state")
+
+    def read(step):
+        found = changes.current(spark, schemas.INGESTION_STATE, path, "completed_at")
+        return stage(found.select(F.lit(step).alias("step"), "period", "status", "records_parsed"), "state-read")
+
+    changes.upsert(state.withColumn("completed_at", F.lit(STAMP)), schemas.INGESTION_STATE, path, "completed_at", 1)
+    first = read(1)
+    again = state.withColumns({"status": F.lit("COMPLETED"), "completed_at": F.lit(STAMP)})
+    changes.upsert(again, schemas.INGESTION_STATE, path, "completed_at", 2)
+    second = read(2)
+    changes.compact(spark, schemas.INGESTION_STATE, path, "completed_at", least_files=2)
+    return first.unionByName(second).unionByName(read(3))
 
 
 @query("signal_inserts", "SNK-8 SNK-7 SNK-11",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,10 @@ class Table:
     partition_by: tuple[str, ...] = ()
     #: Partition columns whose value follows from the key, so rows of one key are in one partition.
     key_partitions: tuple[str, ...] = ()
+    #: SQL of the column ``key_range``, which follows from the key: writes and lookups read the ranges of their keys.
+    ranges: str | None = None
+    #: Columns with a Parquet Bloom filter: a lookup skips the row groups that do not hold its value.
+    bloom: tuple[str, ...] = ()
 
     @property
     def schema(self) -> StructType:
@@ -29,6 +35,18 @@ class Table:
         return self.schema.fieldNames()
 
 
+#: The key of a stored row to one of 16 slices. A value once chosen holds for the life of a table.
+SLICES = 16
+
+
+def _slice(*columns: str) -> str:
+    return f"lpad(cast(pmod(xxhash64({', '.join(columns)}), {SLICES}) as string), 2, '0')"
+
+
+def _year(column: str, pattern: str) -> str:
+    return f"coalesce(nullif(regexp_extract({column}, '{pattern}', 1), ''), 'none')"
+
+
 INSIDER_TRANSACTIONS = Table(
     "insider_transactions",
     """source string, accession_number string, issuer_cik string, issuer_name string, ticker string,
@@ -36,8 +54,10 @@ INSIDER_TRANSACTIONS = Table(
     transaction_code string, security_title string, shares double, price double, transaction_type string,
     acquired_disposed string, ownership_type string, ownership_nature string, source_url string,
     is_amendment boolean, date_of_orig_submission date, raw_payload string, record_hash string,
-    created_at timestamp, filing_period string""",
-    ("source", "accession_number", "record_hash"), "record_hash", ("filing_period",))
+    created_at timestamp, filing_period string, key_range string""",
+    ("source", "accession_number", "record_hash"), "record_hash", ("filing_period", "key_range"), ("key_range",),
+    # The year of a filing is part of its accession number, so a quarter's batch reads the ranges of its own year.
+    f"concat({_year('accession_number', '-([0-9][0-9])-')}, '-', {_slice('source', 'accession_number', 'record_hash')})")
 
 FILING_DETAILS = Table(
     "filing_details",
@@ -59,18 +79,21 @@ MARKET_PRICES = Table(
 CORPORATE_ACTIONS = Table(
     "corporate_actions",
     """symbol string, action_type string, action_date string, ratio string, cash_amount double, source string,
-    record_hash string, created_at timestamp""",
-    ("symbol", "action_type", "action_date", "source"), "record_hash")
+    record_hash string, created_at timestamp, key_range string""",
+    ("symbol", "action_type", "action_date", "source"), "record_hash", ("key_range",), ("key_range",),
+    _year("action_date", "^([0-9]{4})"))
 
 RESEARCH_EVENTS = Table(
     "research_events",
     """event_key string, event_type string, symbol string, event_date date, methodology_version string,
-    result_payload string, created_at timestamp""", ("event_key",), None, ("event_type",))
+    result_payload string, created_at timestamp, key_range string""", ("event_key",), None, ("event_type", "key_range"),
+    ("key_range",), _slice("event_key"), ("event_key",))
 
 SIGNALS = Table(
     "signals",
     """signal_key string, symbol string, signal_date string, signal_type string, score double, rationale string,
-    methodology_version string, created_at timestamp""", ("signal_key",))
+    methodology_version string, created_at timestamp, key_range string""", ("signal_key",), None, ("key_range",), ("key_range",),
+    _slice("signal_key"), ("signal_key",))
 
 TRADE_RUNS = Table(
     "trade_runs",
@@ -80,7 +103,8 @@ TRADE_RUNS = Table(
 PROVENANCE = Table(
     "provenance",
     """record_type string, record_id string, source string, source_reference string, retrieved_at timestamp,
-    checksum string, validation_status string""", ("record_type", "record_id", "source"))
+    checksum string, validation_status string, key_range string""", ("record_type", "record_id", "source"), None, ("key_range",),
+    ("key_range",), _slice("record_type", "record_id", "source"))
 
 TABLES = {t.name: t for t in (
     INSIDER_TRANSACTIONS, FILING_DETAILS, INGESTION_STATE, MARKET_PRICES, CORPORATE_ACTIONS, RESEARCH_EVENTS, SIGNALS, TRADE_RUNS,
@@ -108,11 +132,22 @@ def conform(df: DataFrame, table: Table) -> DataFrame:
     ])
 
 
+def ranged(df: DataFrame, table: Table) -> DataFrame:
+    """With the ranges of the rows' keys."""
+    return df.withColumn("key_range", F.expr(table.ranges)) if table.ranges else df
+
+
+def with_key(rows: DataFrame, table: Table, *values: str) -> DataFrame:
+    """The stored rows of one key. Its range is a constant to the planner, which reads that range only."""
+    wanted = [F.col(c) == F.lit(v) for c, v in zip(table.key, values, strict=True)]
+    if table.ranges:
+        wanted.append(F.col("key_range") == F.expr(table.ranges))
+    return rows.where(functools.reduce(operator.and_, wanted))
+
+
 def append(df: DataFrame, table: Table, path: str) -> None:
     """Append conforming rows; the rebalance evens out file sizes, large partitions included."""
-    rows = conform(df, table)
-    if table.partition_by:
-        rows = rows.hint("rebalance", *[F.col(c) for c in table.partition_by])
-        rows.write.mode("append").partitionBy(*table.partition_by).parquet(path)
-    else:
-        rows.hint("rebalance").write.mode("append").parquet(path)
+    rows = conform(ranged(df, table), table)
+    writer = rows.hint("rebalance", *[F.col(c) for c in table.partition_by]).write.mode("append").options(
+        **{f"parquet.bloom.filter.enabled#{c}": "true" for c in table.bloom})
+    (writer.partitionBy(*table.partition_by) if table.partition_by else writer).parquet(path)
