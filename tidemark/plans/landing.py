@@ -24,6 +24,7 @@ from tidemark.plans.registry import query
 from tidemark.session import fresh_dir, stage
 from tidemark.sources import archives, envelopes, filing_index, ownership
 from tidemark.streaming import landing as stream
+from tidemark.streaming import quarters
 
 STAMP = datetime.datetime(2002, 1, 2)
 KEY = ["accession_number", "transaction_key"]
@@ -699,6 +700,37 @@ def streamed_prices(spark, d):
                     F.count(F.lit(1)).alias("received")).withColumn("stored", stored.scalar())
 
 
+@query("streamed_quarters", "STR-1 FLT-9 SNK-1 SNK-6 AGG-13 JN-4",
+       f"""WITH {views.FILINGS}, v AS (SELECT filing_period AS period, transaction_date - filing_date <= 365
+             AND transaction_code <> 'R' AS good, record_hash, o_orderkey % 2 = 0 OR filing_period < '1996-Q1' AS early FROM filings),
+           q AS (SELECT period, count(*) AS n, count(*) FILTER (early) >= count(*) AS closed FROM v GROUP BY ALL),
+           r AS (SELECT v.* FROM v WHERE early
+             UNION ALL SELECT v.* FROM v JOIN q ON q.period = v.period WHERE v.period >= '1995-Q3' AND NOT closed)
+           SELECT r.period, CASE WHEN count(*) >= any_value(q.n) THEN 'COMPLETED' ELSE 'PARTIAL' END AS status, count(*) AS records_parsed,
+             count(DISTINCT record_hash) FILTER (good) AS records_inserted,
+             count(*) FILTER (good) - count(DISTINCT record_hash) FILTER (good) AS duplicates_count,
+             count(*) FILTER (NOT good) AS invalid_count, count(DISTINCT record_hash) FILTER (good) AS stored
+           FROM r JOIN q ON q.period = r.period GROUP BY r.period""")
+def streamed_quarters(spark, d):
+    """Quarters that land in two deliveries. The first completes those before 1996 and half of the others; the second
+    brings all rows since mid 1995 once more, of which the completed quarters are skipped."""
+    root = fresh_dir(spark, "quarters")
+    parsed = stage(filings.stored_layout(sections(spark, d)), "parsed")
+    manifest = parsed.groupBy(F.col("filing_period").alias("period")).agg(F.count(F.lit(1)).alias("rows"))
+    order = F.substring_index("accession_number", "-", -1).cast("bigint")
+    deliveries = [parsed.where((order % 2 == 0) | (F.col("filing_period") < "1996-Q1")), parsed.where(F.col("filing_period") >= "1995-Q3")]
+    for number, rows in enumerate(deliveries):
+        rows.repartition(4, "accession_number").write.mode("append").partitionBy("filing_period").parquet(f"{root}/in")
+        quarters.land(spark, f"{root}/in", parsed.schema, lambda x: filings.judged(x, "2001-Q4", 10), schemas.INSIDER_TRANSACTIONS,
+                      f"{root}/table", f"{root}/outcomes", f"{root}/checkpoint", STAMP,
+                      skip=quarters.done_quarters(spark, f"{root}/state")).awaitTermination()
+        quarters.record_quarters(spark, f"{root}/outcomes", manifest, f"{root}/state", STAMP + datetime.timedelta(days=number), number)
+    stored = schemas.read(spark, schemas.INSIDER_TRANSACTIONS, f"{root}/table").groupBy(F.col("filing_period").alias("period")).agg(
+        F.count(F.lit(1)).alias("stored"))
+    state = changes.current(spark, schemas.INGESTION_STATE, f"{root}/state", "completed_at")
+    return state.drop("failures_count", "completed_at").join(stored, "period", "left")
+
+
 def _action_records(spark, d, kind):
     return views.lines(spark, d).select(
         F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "px").alias("index"),
