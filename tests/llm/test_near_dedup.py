@@ -86,8 +86,8 @@ def test_no_rows(spark):
 
 def test_signature_keeps_both_ends():
     values = np.sort(np.random.default_rng(0).integers(0, 2**63, 500, dtype=np.uint64))
-    one = near_dedup.signatures(values, np.array([0, 500]))
-    assert one.shape == (1, 2 * near_dedup.PERMUTATIONS)
+    one = near_dedup.signatures(values, np.array([0, 500]), 40)
+    assert one.shape == (1, 80)
     assert (one[:, 0::2] <= one[:, 1::2]).all()
 
 
@@ -130,3 +130,54 @@ def test_links_take_no_wide_arrays_of_pairs():
         near = {j for j in range(len(sets)) if j != k and
                 100 * len(np.intersect1d(sets[k], sets[j])) >= 80 * len(np.union1d(sets[k], sets[j]))}
         assert all(root[j] == root[k] for j in near)
+
+
+def test_bands_follow_the_similarity():
+    for percent in (50, 80, 85, 95):
+        bands = near_dedup.bands_for(percent)
+        assert (1 - (percent / 100) ** 4) ** bands <= near_dedup.MISSED or 2 * near_dedup.PERMUTATIONS == bands * 4
+    assert near_dedup.bands_for(85) < near_dedup.bands_for(80) and near_dedup.bands_for(100) == 1
+
+
+def test_filter_lets_all_wanted_through(spark, monkeypatch):
+    texts = spark.range(-500, 3000).selectExpr("id AS doc_id", "'x' AS text")
+    wanted = {r.cid for r in spark.range(-500, 3000, 7).selectExpr("id AS cid").collect()}
+    ids = spark.createDataFrame([(x,) for x in wanted], "cid bigint")
+    kept = {r.doc_id for r in near_dedup.filtered(texts, ids).collect()}
+    assert wanted <= kept and len(kept) - len(wanted) < 0.1 * 3000
+    monkeypatch.setattr(near_dedup, "FILTER_BITS", 256)  # past its bound the filter lets more through
+    kept = {r.doc_id for r in near_dedup.filtered(texts, ids).collect()}
+    assert wanted <= kept
+    assert near_dedup.filtered(texts, ids.limit(0)).count() == 0
+
+
+def test_sets_of_unpaired_texts_are_not_staged(spark, tmp_path):
+    staged = {}
+    real = near_dedup.stage
+
+    def watched(df, label):
+        staged[label] = df.columns
+        return real(df, label)
+
+    near_dedup.stage = watched
+    try:
+        near_dedup.near_duplicates(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")], "doc_id bigint, text string")).count()
+    finally:
+        near_dedup.stage = real
+    assert "bands" in staged and not any("shingles" in columns or "text" in columns for columns in staged.values())
+
+
+def test_reused_ids_lose_no_text(spark):
+    x, y = (" ".join(f"{c}{k}" for k in range(40)) for c in "xy")
+    near = y + " more"
+
+    def kept(*rows):
+        docs = spark.createDataFrame([(*r, "c", "k") for r in rows], DDL)
+        return sorted((r.doc_id, r.text) for r in near_dedup.deduplicated(docs, 5, 80).collect())
+
+    for rows in (((1, x), (1, y), (5, near)), ((5, x), (5, y), (1, near)), ((1, x), (1, y), (5, near), (1, x))):
+        texts = [t for _, t in kept(*rows)]
+        assert len(texts) == 2 and x in texts and (y in texts or near in texts)
+    assert kept((1, x), (1, x), (2, y)) == [(1, x), (2, y)]
+    assert kept((1, x), (1, x + " more"), (2, y)) in ([(1, x), (2, y)], [(1, x + " more"), (2, y)])
+    assert [i for i, _ in kept((3, x), (2, y), (7, near), (9, x))] == [2, 3]

@@ -1,9 +1,10 @@
 """Near-duplicate documents by min-max hashing, confirmed on whole shingle sets.
 
-1. One pass over the texts gives each document's distinct shingles, a 128-bit fingerprint of the set, and a
-   signature that keeps the smallest and the largest value under each of 64 permutations: 128 values for 64
-   hash evaluations per shingle. Bands of four values (both ends of two permutations) give 32 bucket keys; at a
-   similarity of 0.8 a pair shares no bucket with a chance of 5e-8, at 0.85 of 6e-11.
+1. One pass over the texts gives the number of each document's distinct shingles, a 128-bit fingerprint of their set,
+   and a signature that keeps the smallest and the largest value under each permutation: two values for one hash
+   evaluation per shingle. Bands of four values (both ends of two permutations) give the bucket keys. There are as many
+   bands as a pair at the smallest similarity needs to share a bucket but for a chance of ``MISSED``. The sets
+   themselves are not kept.
 2. Documents of the same set are one class, named by its smallest id; only classes go on.
 3. A bucket's classes are paired with its smallest one, the centre. All classes that meet a centre in any bucket
    form its group, so every pair that shares a bucket is in some group, and is in it once, not once a band.
@@ -11,6 +12,8 @@
    similarities by matrix products over whole sets, inside numpy. Out come at most as many links as the block has
    members, a spanning forest of all links found, so no link between different texts is lost and no pair is listed.
    Members now linked to the centre are one already; each block is compared with the blocks of the others only.
+   Sets are made anew for the texts that this needs. A bitmap of their ids, of ``BITS`` bits an id, keeps the others
+   out; past ``FILTER_BITS`` it holds fewer bits an id and lets through more texts, which a join then leaves out.
 5. Connected components by alternating smallest-neighbour steps, each written to the shared folder.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing. Rows that share a
@@ -20,6 +23,7 @@ its component is null and it is kept. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,33 +33,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
+from tidemark.operators import skew
 from tidemark.session import stage
 
-PERMUTATIONS = 64
 BAND = 4
+#: The chance that a pair at the smallest similarity shares no bucket.
+MISSED = 5e-7
+#: The most permutations that signatures may have.
+PERMUTATIONS = 128
 #: Shingles of one block of a group (8 bytes each).
 BLOCK_SHINGLES = 1_000_000
 #: Members of one block of a group; a task holds two blocks and a byte for each pair of their members.
 BLOCK_MEMBERS = 2000
 #: Cells of the arrays that similarities are computed in.
 CELLS = 1 << 21
-#: Slots of the filter that keeps unpaired sets out of the shuffle; a broadcast of at most 8 MB.
-SLOTS = 1 << 20
+#: Bits an id of the filter that keeps texts out whose sets are not needed, and its most bits: a broadcast of at most a
+#: million words of 64 bits.
+BITS, FILTER_BITS = 16, 1 << 26
 
 _U = np.uint64
 _DRAW = np.random.default_rng(7)
 _TIMES = (_DRAW.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1))
 _PLUS = _DRAW.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
 
-SETS = "doc_id bigint, n_shingles bigint, fp_a bigint, fp_b bigint, bands array<bigint>, shingles binary"
+BANDED = "doc_id bigint, n_shingles bigint, fp_a bigint, fp_b bigint, bands array<bigint>"
+WHOLE = "doc_id bigint, n_shingles bigint, fp_a bigint, fp_b bigint, shingles binary"
 
 
-def signatures(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+def bands_for(percent: int) -> int:
+    """Bands that miss a pair of this similarity with a chance of ``MISSED`` at most. Each of a band's values agrees
+    with a chance that is the similarity."""
+    same = (percent / 100) ** BAND
+    return max(1, min(2 * PERMUTATIONS // BAND, math.ceil(math.log(MISSED) / math.log1p(-same)) if same < 1 else 1))
+
+
+def signatures(values: np.ndarray, begin: np.ndarray, permutations: int) -> np.ndarray:
     """Smallest and largest value under each permutation, for each non-empty run of ``values``."""
     folded = (values ^ (values >> _U(32))).astype(np.uint32)
     at = begin[:-1]
-    out = np.empty((len(at), 2 * PERMUTATIONS), dtype=np.uint32)
-    for p in range(PERMUTATIONS):
+    out = np.empty((len(at), 2 * permutations), dtype=np.uint32)
+    for p in range(permutations):
         seen = folded * _TIMES[p] + _PLUS[p]
         seen ^= seen >> np.uint32(15)
         out[:, 2 * p] = np.minimum.reduceat(seen, at)
@@ -74,8 +91,9 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key
 
 
-def _sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ["doc_id", "n_shingles", "fp_a", "fp_b", "bands", "shingles"]
+def _sets(size: int, bands: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of ``BANDED``, or without bands of ``WHOLE``."""
+    names = ["doc_id", "n_shingles", "fp_a", "fp_b", "bands" if bands else "shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,20 +102,22 @@ def _sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 n = np.diff(begin)
                 full = n > 0
                 print_a, print_b = np.zeros(hi - lo, dtype=_U), np.zeros(hi - lo, dtype=_U)
-                keys = np.zeros((0, 2 * PERMUTATIONS // BAND), dtype=_U)
+                keys = np.zeros((0, bands), dtype=_U)
                 if full.any():
                     at = np.append(begin[:-1][full], begin[-1])
                     print_a[full] = np.add.reduceat(words.mix(values + _U(0x632BE59BD9B4E019)), at[:-1])
                     print_b[full] = np.add.reduceat(words.mix(values ^ _U(0xA0761D6478BD642F)), at[:-1])
-                    keys = band_keys(signatures(values, at))
-                ends = np.concatenate([[0], np.cumsum(full) * keys.shape[1]]).astype(np.int32)
-                raw = pa.Array.from_buffers(pa.binary(), hi - lo, [
-                    None, pa.py_buffer((begin * 8).astype(np.int32)), pa.py_buffer(values)])
+                    if bands:
+                        keys = band_keys(signatures(values, at, bands * BAND // 2))
+                if bands:
+                    ends = np.concatenate([[0], np.cumsum(full) * bands]).astype(np.int32)
+                    last = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64)))
+                else:
+                    last = pa.Array.from_buffers(pa.binary(), hi - lo, [
+                        None, pa.py_buffer((begin * 8).astype(np.int32)), pa.py_buffer(values)])
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)),
-                    pa.array(print_a.view(np.int64)), pa.array(print_b.view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64))), raw,
-                ], names)
+                    pa.array(print_a.view(np.int64)), pa.array(print_b.view(np.int64)), last], names)
 
     return run
 
@@ -233,37 +253,53 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
         now = stage(small, label)
 
 
+def filtered(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (doc_id, text) whose id may be among the distinct ``ids`` (cid), none of those missing."""
+    count = ids.count()
+    size = min(FILTER_BITS, max(64, 1 << (BITS * max(1, count) - 1).bit_length()))
+
+    def bit(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(size))
+
+    marks = ids.select(bit("cid").alias("bit")).select(
+        F.floor(F.col("bit") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(bit % 64 AS int))").alias("mark")).groupBy(
+        "word").agg(F.bit_or("mark").alias("marks"))
+    placed = texts.withColumn("bit", bit("doc_id"))
+    kept = placed.join(F.broadcast(marks), F.floor(placed["bit"] / 64).cast("int") == marks["word"])
+    return kept.where("(shiftright(marks, cast(bit % 64 AS int)) & 1) = 1").select("doc_id", "text")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Links sets of ``size``-word shingles with 100 * intersection >= ``percent`` * union.
     """
     made = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = stage(made.mapInArrow(_sets(size), SETS), "shingle-sets")
+    sets = stage(made.mapInArrow(_sets(size, bands_for(percent)), BANDED), "bands")
     rows = sets.select("doc_id", "n_shingles", "fp_a", "fp_b")
-    named = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("cid"))
-    member = stage(rows.join(classes, ["fp_a", "fp_b"], "left").withColumn(
-        "cid", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("cid"))), "classes")
+    prints = ["fp_a", "fp_b"]
+    classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*prints).agg(
+        F.min("doc_id").alias("cid"), F.count("*").alias("_rows"))
+    named = skew.salted_lookup(rows, classes.drop("_rows"), prints, classes.drop("cid"))
+    member = stage(named.select("doc_id", "n_shingles", *prints, F.when(
+        F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("cid")).alias("cid")), "classes")
 
     # Classes and their buckets; a class is represented by one row of its smallest id.
-    first = member.where("doc_id = cid").select("cid", "fp_a", "fp_b").distinct()
-    banded = stage(sets.select(F.col("doc_id").alias("cid"), "fp_a", "fp_b", "n_shingles", "bands").join(
-        first, ["cid", "fp_a", "fp_b"], "left_semi"), "bands")
-    buckets = banded.select("cid", F.explode("bands").alias("bucket"))
+    first = member.where("doc_id = cid").groupBy("cid", *prints).agg(F.first("n_shingles").alias("n"))
+    buckets = sets.select(F.col("doc_id").alias("cid"), *prints, "bands").join(
+        first, ["cid", *prints], "left_semi").select("cid", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("cid").alias("centre"), F.max("cid").alias("other")).where(
         "centre < other").select("bucket", "centre")
     paired = stage(buckets.join(shared, "bucket").select("centre", "cid").distinct(), "groups")
 
     def whole(ids: DataFrame) -> DataFrame:
-        """Whole sets of some classes; the rest is kept out of the shuffle by a filter of bounded size."""
-        slot = F.pmod(F.xxhash64("cid"), F.lit(SLOTS)).cast("int")
-        found = sets.select(F.col("doc_id").alias("cid"), "fp_a", "fp_b", "shingles").join(
-            F.broadcast(ids.select(slot.alias("slot")).distinct()), slot == F.col("slot"), "left_semi")
-        return found.join(first.join(ids, "cid", "left_semi"), ["cid", "fp_a", "fp_b"], "left_semi").groupBy(
-            "cid", "fp_a", "fp_b").agg(F.first("shingles").alias("shingles"))
+        """Whole sets of some classes."""
+        wanted = stage(first.join(ids, "cid", "left_semi").select("cid", *prints), "wanted-sets")
+        texts = filtered(made, wanted.select("cid").distinct())
+        found = texts.mapInArrow(_sets(size, 0), WHOLE).withColumnRenamed("doc_id", "cid")
+        return found.join(wanted, ["cid", *prints], "left_semi").groupBy("cid", *prints).agg(F.first("shingles").alias("shingles"))
 
-    links = group_links(paired, banded.groupBy("cid").agg(F.sum("n_shingles").alias("n")), whole, percent)
+    links = group_links(paired, first.groupBy("cid").agg(F.sum("n").alias("n")), whole, percent)
 
     # An id that names several texts is one node: its classes are linked through it.
     several = member.where("cid IS NOT NULL").groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where(
@@ -280,17 +316,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that name their component, one of each, with all their columns.
 
-    The ids that go are staged, so the planner broadcasts them only while their files are small. Of several rows of
-    one id the text with the smallest hash stays.
+    The ids that go are staged, so the planner broadcasts them only while their files are small. Rows whose id is used
+    again are told apart by their texts: a text stays unless a near copy of it does, and of rows that share id and
+    text one stays.
     """
-    found = stage(near_duplicates(docs, size, percent), "near-duplicates")
-    gone = stage(found.where("NOT kept").select("doc_id").distinct(), "dropped")
-    rest = docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
-    again = stage(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"),
-                  "repeated")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    again = stage(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if again.isEmpty():
-        return rest
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = rest.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(
-        F.min_by(whole, F.xxhash64(F.coalesce("text", F.lit("")))).alias("whole_row")).select("whole_row.*")
-    return rest.join(again, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns]).unionByName(one)
+        found = near_duplicates(docs, size, percent)
+        gone = stage(found.where("NOT kept").select("doc_id").distinct(), "dropped")
+        return docs.join(gone, "doc_id", "left_anti").select(*columns)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*columns).alias("row"), "doc_id", text.alias("text")).join(
+        again.select(F.col("doc_id").alias("again")), F.col("doc_id") == F.col("again"), "left")
+    # Ids of their own, below all others, for the texts of an id that is used again.
+    own = F.when(F.col("again").isNull(), F.col("doc_id").cast("bigint")).otherwise(
+        F.lit(-2**62) - F.abs(F.shiftright(F.xxhash64("doc_id", "text"), 2)))
+    rows = rows.withColumn("node", own)
+    found = near_duplicates(rows.select(F.col("node").alias("doc_id"), "text"), size, percent)
+    gone = stage(found.where("NOT kept").select(F.col("doc_id").alias("node")).distinct(), "dropped")
+    rest = rows.join(gone, "node", "left_anti")
+    one = rest.where("again IS NOT NULL").groupBy("node").agg(F.first("row").alias("row"))
+    return rest.where("again IS NULL").select("row.*").unionByName(one.select("row.*"))
