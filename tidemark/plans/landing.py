@@ -22,7 +22,7 @@ from tidemark.operators import accounting, audit, changes, filings, loads, norma
 from tidemark.plans import views
 from tidemark.plans.registry import query
 from tidemark.session import fresh_dir, stage
-from tidemark.sources import archives, envelopes, filing_index, ownership
+from tidemark.sources import archive_source, archives, envelopes, filing_index, ownership
 from tidemark.streaming import landing as stream
 from tidemark.streaming import quarters
 
@@ -250,6 +250,32 @@ def archive_expansion(spark, d):
         *BULK_COLUMNS, "footnote_count", "signature_count", (F.col("nonderiv_holdings") + F.col("deriv_holdings")).alias("holdings"))
 
 
+EXPANDED = f"""WITH {views.FILINGS}, b AS ({BULK}) SELECT b.*, CASE WHEN s.o_orderstatus = 'P' THEN 1 ELSE 0 END AS footnote_count,
+             CASE WHEN s.o_orderstatus = 'O' THEN 2 ELSE 0 END AS holdings
+           FROM b JOIN submissions s ON s.accession_number = b.accession_number"""
+
+
+@query("archive_source", "SRC-1 SRC-17 OP-1", EXPANDED)
+def archive_source_rows(spark, d):
+    """The archives read in place, by the data source, instead of landed."""
+    folder, _ = _archives(spark, d)
+    return filings.bulk_records(archive_source.read(spark, folder), with_details=True).select(
+        *BULK_COLUMNS, "footnote_count", (F.col("nonderiv_holdings") + F.col("deriv_holdings")).alias("holdings"))
+
+
+@query("archive_columns", "SRC-1 SRC-17",
+       f"""WITH {views.FILINGS} SELECT 'DERIV_TRANS' AS member, transaction_code AS code, count(*) AS rows,
+             count(DISTINCT accession_number) AS filings FROM filings
+           WHERE transaction_type = 'derivative' AND transaction_code IN ('P', 'S') GROUP BY ALL""")
+def archive_columns(spark, d):
+    """Two columns of one member, filtered while it is read; the other members are not opened."""
+    folder, _ = _archives(spark, d)
+    rows = archive_source.read(spark, folder, "ACCESSION_NUMBER string, TRANS_CODE string")
+    chosen = rows.where((F.col("member") == "DERIV_TRANS") & F.col("TRANS_CODE").isin("P", "S"))
+    return chosen.groupBy("member", F.col("TRANS_CODE").alias("code")).agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("ACCESSION_NUMBER").alias("filings"))
+
+
 @query("archive_inventory", "SRC-3 SRC-4",
        """SELECT unnest(['PART', 'WRONG', 'LONE']) AS kind, unnest(['COMPLETE', 'COMPLETE', 'INCOMPLETE']) AS status,
             unnest([true, false, false]) AS all_match, count(*) > 0 AS any_archive FROM orders""")
