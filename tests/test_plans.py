@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from tidemark import schemas
-from tidemark.operators import access, asof, sinks
+from tidemark.operators import access, asof, audit, sinks
 
 
 def plan(df):
@@ -123,3 +123,28 @@ def test_lookup_by_key_reads_one_range(spark, rows, tmp_path):
         files.append(len(found.inputFiles()))
     stored = schemas.read(spark, schemas.SIGNALS, str(tmp_path / "none"))
     assert access.signal_by_key(stored, " k ").count() == 0
+
+
+def test_bucketed_prices_stay_where_they_are(spark, rows):
+    day = datetime.date(2024, 1, 2)
+    made = [(f"S{k}", day + datetime.timedelta(days=i), "s", float(k + i + 1)) for k in range(30) for i in range(5)]
+    prices = rows("symbol string, price_date date, source string, close double", *made)
+    probes = rows("symbol string, probe_date date", *[(f"S{k}", day) for k in range(31)])
+    stored = asof.store_bucketed(prices, "prices", 4)
+    found = asof.observations_after(asof.price_series(stored), probes, [1, 4], buckets=4)
+    text = plan(found)
+    assert text.count("Exchange") == 1 and "REPARTITION_BY_NUM" in text  # the probes' own
+    want = asof.observations_after(asof.price_series(prices), probes, [1, 4])
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+
+
+def test_audit_scans_each_table_once(spark, rows, tmp_path):
+    for table in (schemas.MARKET_PRICES, schemas.PROVENANCE, schemas.SIGNALS, schemas.INSIDER_TRANSACTIONS, schemas.CORPORATE_ACTIONS):
+        schemas.append(spark.createDataFrame([], table.schema).drop("key_range"), table, str(tmp_path / table.name))
+    tables = {t: schemas.read(spark, schemas.TABLES[t], str(tmp_path / t)) for t in (
+        "market_prices", "provenance", "signals", "insider_transactions", "corporate_actions")}
+    tables["trade_runs"] = rows("run_id string, mode string")
+    text = plan(audit.audit_tables(spark, tables))
+    # prices are read for their values, and for nothing but their hashes where provenance is compared with them
+    assert text.count("FileScan parquet") == 6
+    assert sum("ReadSchema: struct<record_hash:string>" in line for line in text.splitlines()) == 3

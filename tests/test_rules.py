@@ -96,9 +96,35 @@ def test_hash_verification(rows):
     assert [r.valid for r in audit.verify_hashes(df, hashing.sha256(F.col("v")), "want").collect()] == [False] * 3
 
 
-def test_audit_refuses_unknown_checks():
+def test_audit_refuses_unknown_checks(spark):
     with pytest.raises(ValueError, match="Unsupported integrity check: nonsense"):
-        audit.integrity_audit({}, ["nonsense"])
+        audit.audit_tables(spark, {}, ["nonsense"])
+
+
+def test_audit_in_one_pass_a_table(spark, rows, monkeypatch):
+    monkeypatch.setattr(audit, "_UNROLL", 3)
+    fields = ", ".join(f"{f} double" for f in audit.PRICE_FIELDS)
+    bar = lambda symbol, close: (symbol, "2024-01-02", "s", f"h{symbol}", None, None, None, close, None, None)
+    tables = {
+        "market_prices": rows(f"symbol string, price_date string, source string, record_hash string, {fields}",
+                              *[bar("A", -1.0)] * 7, bar("A", 1.0), bar("B", 1.0), bar("C", -2.0)),
+        "signals": rows("signal_key string", ("k",), ("k",), ("l",)), "trade_runs": rows("run_id string, mode string", ("r", "other"), ("q", "live")),
+        "insider_transactions": rows("record_hash string", ("t",), (None,)), "corporate_actions": rows("record_hash string", ("c",), ("c",)),
+        "provenance": rows("record_type string, record_id string, validation_status string", ("insider_transaction", "t", "ok"),
+                           ("insider_transaction", "gone", " "), ("market_price", "hA", "ok"), ("market_price", "hX", "ok"),
+                           ("corporate_action", "c", "ok"), ("corporate_action", "d", "ok"), ("corporate_action", None, "ok"),
+                           ("dataset_period", "2020-Q1", None))}
+    got = {}
+    for r in audit.audit_tables(spark, tables).collect():
+        got.setdefault(r.check_name, []).append(r.message)
+    assert len(got["negative_market_values"]) == 8 and len(set(got["negative_market_values"])) == 2
+    assert got["duplicate_market_prices"] == ["Duplicate market-price identity detected: A / 2024-01-02 / s (8 records)."]
+    assert sorted(got["orphaned_provenance"]) == [f"Provenance record references missing {x}'." for x in (
+        "corporate_action record '", "corporate_action record 'd", "insider_transaction record 'gone", "market_price record 'hX")]
+    assert len(got["provenance_status"]) == 2 and len(got["duplicate_signals"]) == len(got["trade_modes"]) == 1
+    assert [m.split("'")[1] for m in got["required_tables"]] == ["research_events"]
+    only = audit.audit_tables(spark, tables, [" trade_modes", "duplicate_market_prices"]).collect()
+    assert sorted(r.check_name for r in only) == ["duplicate_market_prices", "trade_modes"]
 
 
 def test_risk(rows):

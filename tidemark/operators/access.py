@@ -231,12 +231,13 @@ def trade_runs(runs: DataFrame, mode: str | None = None, status: str | None = No
     return runs
 
 
-def decode_results(events: DataFrame, event_type: str, payload_schema: str, symbol: str | None = None) -> DataFrame:
-    """Stored results of one type with their JSON payload as typed columns in ``result``."""
+def decode_results(events: DataFrame, event_type: str, fields: str, symbol: str | None = None) -> DataFrame:
+    """Stored results of one type with some fields of their payload as typed columns in ``result``; a field that the
+    payload lacks or holds in another kind is null."""
     out = events.where(F.col("event_type") == event_type)
     if symbol:
         out = out.where(F.col("symbol") == symbol.strip().upper())
-    return out.withColumn("result", F.from_json("result_payload", payload_schema))
+    return out.withColumn("result", F.try_variant_get("result_payload", "$", f"struct<{fields}>"))
 
 
 def result_by_key(events: DataFrame, key: str) -> DataFrame:

@@ -9,12 +9,15 @@ the calendar however many filings the symbol has.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.session import fresh_dir
+
 
 def price_series(prices: DataFrame, series: str = "close", source_priority: Iterable[str] = ()) -> DataFrame:
     """One row per symbol and date from raw or adjusted closes, never a mix of both.
@@ -35,9 +38,25 @@ def price_series(prices: DataFrame, series: str = "close", source_priority: Iter
     )
 
 
-def observations_after(series: DataFrame, probes: DataFrame, offsets: Iterable[int]) -> DataFrame:
+def store_bucketed(prices: DataFrame, label: str, buckets: int) -> DataFrame:
+    """Prices in a table of buckets by symbol, each sorted by symbol and date, below the shared folder.
+
+    Its rows are dealt once, when they are stored; a lookup that is told the number of buckets shuffles probes only.
+    The table's own name for the symbol differs, as a union keeps the layout of a renamed column only.
+    """
+    name = f"{label}_{uuid.uuid4().hex}"
+    prices.withColumnRenamed("symbol", "of_symbol").repartition(buckets, "of_symbol").write.option(
+        "path", fresh_dir(prices.sparkSession, label)).bucketBy(buckets, "of_symbol").sortBy(
+        "of_symbol", "price_date").saveAsTable(name)
+    return prices.sparkSession.table(name).withColumnRenamed("of_symbol", "symbol")
+
+
+def observations_after(series: DataFrame, probes: DataFrame, offsets: Iterable[int], buckets: int | None = None) -> DataFrame:
     """The ``k``-th observation strictly after each probe date, for every ``k`` in ``offsets``.
 
+    ``buckets`` is the number of buckets by symbol that the series is stored in: probes are then dealt the same way and
+    the series stays where it is.
+
     ``series`` is ``(symbol, price_date, px)``, ``probes`` has ``symbol``, ``probe_date`` and any
     other columns. Adds ``later`` (observations after the date), ``min_px`` (lowest price of the
     whole series, null without one) and ``obs_<k>`` structs ``(date, px)``, null past the end.
@@ -48,6 +67,8 @@ def observations_after(series: DataFrame, probes: DataFrame, offsets: Iterable[i
         F.struct(F.col("price_date").alias("date"), "px").alias("_obs"),
     )
     asked = probes.select("symbol", "probe_date", F.lit(0).alias("_kind"), *extra)
+    if buckets:
+        asked = asked.repartition(buckets, "symbol")
     both = observed.unionByName(asked, allowMissingColumns=True)
     over = "OVER (PARTITION BY symbol ORDER BY probe_date DESC, _kind)"
     found = {f"obs_{k}": F.expr(f"lag(_obs, {int(k)}) IGNORE NULLS {over}") for k in sorted(set(offsets))}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +16,8 @@ from tidemark.operators.accounting import duplicates
 CORE_TABLES = ("insider_transactions", "market_prices", "corporate_actions", "research_events", "signals",
                "trade_runs", "provenance")
 
+_UNROLL = 1000
+
 PRICE_FIELDS = ("open", "high", "low", "close", "adjusted_close", "volume")
 
 
@@ -81,27 +83,71 @@ def orphaned_provenance(provenance: DataFrame, records: dict[str, DataFrame]) ->
         F.lit("'.")))
 
 
-def integrity_audit(checks: dict[str, Callable[[], DataFrame]], selected: Iterable[str] | None = None) -> DataFrame:
-    """Issues of the checks chosen by name; an unknown name is refused."""
-    names = list(checks) if selected is None else [str(s).strip() for s in selected]
-    unknown = [n for n in names if n not in checks]
+def _known(records: dict[str, DataFrame]) -> DataFrame:
+    """Distinct (record_type, record_id) of the stored records."""
+    parts = [rows.select(F.lit(kind).alias("record_type"), F.col("record_hash").alias("record_id")) for kind, rows in records.items()]
+    return reduce(DataFrame.unionByName, parts).where(F.col("record_id").isNotNull()).distinct()
+
+
+def _issue(when: Column, check: str, severity: str, message: Column) -> Column:
+    return F.when(when, F.struct(F.lit(check).alias("check_name"), F.lit(severity).alias("severity"), message.alias("message")))
+
+
+def market_price_issues(prices: DataFrame) -> DataFrame:
+    """Negative values and repeated identities from one pass, by counts per identity."""
+    bad = reduce(lambda a, b: a | b, [F.coalesce(F.col(f) < 0, F.lit(False)) for f in PRICE_FIELDS])
+    identities = prices.groupBy("symbol", "price_date", "source").agg(
+        F.count(F.lit(1)).alias("record_count"), F.count_if(bad).alias("bad"))
+    symbol, day, source = _text("symbol"), _text("price_date"), _text("source")
+    repeated = _issue(F.col("record_count") > 1, "duplicate_market_prices", "error", F.concat(
+        F.lit("Duplicate market-price identity detected: "), symbol, F.lit(" / "), day, F.lit(" / "), source, F.lit(" ("),
+        _text("record_count"), F.lit(" records).")))
+    negative = _issue(F.col("bad") > 0, "negative_market_values", "error", F.concat(
+        F.lit("Market-price record for "), symbol, F.lit(" on "), day, F.lit(" of "), source,
+        F.lit(" contains a negative numeric value.")))
+    # An issue a record: its number is unrolled in two steps, so that no array grows with an identity's records.
+    blocks = identities.withColumn("block", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.floor(F.greatest(F.col("bad") - 1, F.lit(0)) / _UNROLL))))
+    times = F.least(F.lit(_UNROLL), F.col("bad") - F.col("block") * _UNROLL).cast("int")
+    issues = F.concat(F.array(F.when(F.col("block") == 0, repeated)), F.array_repeat(negative, times))
+    return blocks.select(F.explode(F.array_compact(issues)).alias("i")).select("i.*")
+
+
+def provenance_issues(provenance: DataFrame, records: dict[str, DataFrame]) -> DataFrame:
+    """Blank statuses and orphans of every record type in ``records`` from one pass over the provenance."""
+    stored = _known(records).withColumn("_stored", F.lit(True))
+    joined = provenance.select("record_type", "record_id", "validation_status").join(stored, ["record_type", "record_id"], "left")
+    issues = F.array(
+        _issue(F.trim(F.coalesce("validation_status", F.lit(""))) == "", "provenance_status", "error", F.concat(
+            F.lit("Provenance record for "), _text("record_type"), F.lit(":"), _text("record_id"), F.lit(" has no validation status."))),
+        _issue(F.col("record_type").isin(*records) & F.col("_stored").isNull(), "orphaned_provenance", "error", F.concat(
+            F.lit("Provenance record references missing "), F.col("record_type"), F.lit(" record '"), _text("record_id"), F.lit("'."))))
+    return joined.select(F.explode(F.array_compact(issues)).alias("i")).select("i.*")
+
+
+#: Checks that one pass over a table answers together, in the order of the report.
+PASSES = (("required_tables",), ("negative_market_values", "duplicate_market_prices"), ("duplicate_signals",), ("trade_modes",),
+          ("provenance_status", "orphaned_provenance"))
+STANDARD_CHECKS = tuple(name for names in PASSES for name in names)
+
+
+def audit_tables(spark: SparkSession, tables: dict[str, DataFrame], selected: Iterable[str] | None = None) -> DataFrame:
+    """Issues of the standard checks, or of those chosen by name, with one pass a table; an unknown name is refused.
+
+    ``tables`` has the stored tables by name. Every record type that provenance can be of is checked for orphans.
+    """
+    names = list(STANDARD_CHECKS) if selected is None else [str(s).strip() for s in selected]
+    unknown = [n for n in names if n not in STANDARD_CHECKS]
     if unknown:
         raise ValueError(f"Unsupported integrity check: {unknown[0]}")
-    return reduce(DataFrame.unionByName, [checks[n]() for n in names])
-
-
-def standard_checks(spark: SparkSession, tables: dict[str, DataFrame]) -> dict[str, Callable[[], DataFrame]]:
-    return {
-        "required_tables": lambda: required_tables(spark, tables),
-        "negative_market_values": lambda: negative_market_values(tables["market_prices"]),
-        "duplicate_market_prices": lambda: duplicate_market_prices(tables["market_prices"]),
-        "duplicate_signals": lambda: duplicate_signals(tables["signals"]),
-        "trade_modes": lambda: trade_modes(tables["trade_runs"]),
-        "provenance_status": lambda: provenance_status(tables["provenance"]),
-        "orphaned_provenance": lambda: orphaned_provenance(tables["provenance"], {
+    made = dict(zip(PASSES, (
+        lambda: required_tables(spark, tables), lambda: market_price_issues(tables["market_prices"]),
+        lambda: duplicate_signals(tables["signals"]), lambda: trade_modes(tables["trade_runs"]),
+        lambda: provenance_issues(tables["provenance"], {
             "insider_transaction": tables["insider_transactions"], "market_price": tables["market_prices"],
-            "corporate_action": tables["corporate_actions"]}),
-    }
+            "corporate_action": tables["corporate_actions"]})), strict=True))
+    return reduce(DataFrame.unionByName, [
+        make().where(F.col("check_name").isin(*chosen)) for group, make in made.items() if (chosen := [n for n in group if n in names])])
 
 
 def tables_at(spark: SparkSession, root: str) -> dict[str, DataFrame]:

@@ -57,18 +57,18 @@ def _open_probes(prepared: DataFrame, extra: list[str]) -> DataFrame:
 
 
 def prepare_events(filings: DataFrame, series: DataFrame, horizon: int = 1,
-                   horizons: Iterable[int] = ()) -> DataFrame:
+                   horizons: Iterable[int] = (), buckets: int | None = None) -> DataFrame:
     """Every filing row with its entry observation or the first rule it fails.
 
     Rule order: amendment, ticker, filing date, no later price, non-positive price in the series,
     fewer than ``horizon`` observations after the entry. ``reason`` is null for valid events. Entry
     is the first observation strictly after the filing date. ``horizons`` adds their observations
-    (``obs_<h + 1>``) for the studies below.
+    (``obs_<h + 1>``) for the studies below. ``buckets`` as in :func:`asof.observations_after`.
     """
     wanted = sorted({horizon, *horizons})
     prepared = _with_probe_columns(filings)
     probes = _open_probes(prepared, [])
-    found = asof.observations_after(series, probes, [1, *[h + 1 for h in wanted]])
+    found = asof.observations_after(series, probes, [1, *[h + 1 for h in wanted]], buckets)
     found = found.withColumnRenamed("probe_date", "filing_date").drop("_rows")
     counts = probes.withColumnRenamed("probe_date", "filing_date")
     joined = skew.salted_lookup(prepared, found, ["symbol", "filing_date"], counts)
@@ -83,10 +83,10 @@ def prepare_events(filings: DataFrame, series: DataFrame, horizon: int = 1,
     }).drop("row_reason", "later", "min_px")
 
 
-def event_returns(filings: DataFrame, series: DataFrame, horizons: Iterable[int]) -> DataFrame:
+def event_returns(filings: DataFrame, series: DataFrame, horizons: Iterable[int], buckets: int | None = None) -> DataFrame:
     """One row per valid event and horizon. A horizon the series cannot serve gives no row."""
     wanted = sorted(set(horizons))
-    events = prepare_events(filings, series, min(wanted), wanted)
+    events = prepare_events(filings, series, min(wanted), wanted, buckets)
     legs = F.array(*[
         F.struct(F.lit(h).alias("horizon_days"), F.col(f"obs_{h + 1}").alias("future")) for h in wanted
     ])

@@ -185,7 +185,7 @@ def _result(df: DataFrame, key: Column, kind: str, symbol: Column, day: Column,
     return df.select(
         key.alias("event_key"), F.lit(kind).alias("event_type"), symbol.cast("string").alias("symbol"),
         day.cast("date").alias("event_date"), F.lit(methodology.strip()).alias("methodology_version"),
-        F.to_json(payload, {"ignoreNullFields": "false"}).alias("result_payload"))
+        F.to_variant_object(payload).alias("result_payload"))
 
 
 def event_return_results(returns: DataFrame, methodology: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import datetime
 
 from pyspark.sql import functions as F
@@ -109,14 +111,32 @@ def missing_quarters(spark, d):
 
 
 @query("historical_read", "OP-11 SET-2 FLT-3 ORD-2",
-       f"""WITH {TIERS} SELECT f.accession_number, f.transaction_key, f.transaction_date, f.filing_date
+       f"""WITH {TIERS} SELECT f.accession_number, f.transaction_key, f.transaction_date, f.filing_date, t.tier AS read_from
            FROM filings f JOIN tiers t ON t.period = f.filing_period
            WHERE t.tier <> 'MISSING' AND f.transaction_code = 'P' AND f.acquired_disposed = 'A'""")
 def historical_read(spark, d):
-    rows = views.filings(spark, d)
-    out = access.historical_transactions(rows, rows, _tiers(spark, d), strict=False, transaction_codes="P",
+    """Both tiers hold all quarters; every row names the tier it was read from."""
+    hot, archived = (views.filings(spark, d).withColumn("read_from", F.lit(tier)) for tier in (access.HOT, access.ARCHIVE))
+    out = access.historical_transactions(hot, archived, _tiers(spark, d), strict=False, transaction_codes="P",
                                          acquired_disposed="A")
-    return out.select(*ID, "transaction_date", "filing_date")
+    return out.select(*ID, "transaction_date", "filing_date", "read_from")
+
+
+@query("historical_read_refused", "OP-11 SET-5",
+       f"""WITH {TIERS} SELECT 'all quarters' AS asked, 'Requested period(s) missing from every tier: '
+             || string_agg(period, ', ' ORDER BY period) || '.' AS refusal, CAST(NULL AS BIGINT) AS rows
+           FROM tiers WHERE tier = 'MISSING'
+           UNION ALL SELECT 'known quarters', NULL, count(*) FROM filings f JOIN tiers t ON t.period = f.filing_period
+           WHERE t.tier <> 'MISSING'""")
+def historical_read_refused(spark, d):
+    """A strict read fails while a quarter is in no tier, before it gives a row; without that quarter it succeeds."""
+    rows, tiers, found = views.filings(spark, d), _tiers(spark, d), []
+    for asked, wanted in (("all quarters", tiers), ("known quarters", tiers.where(F.col("tier") != access.MISSING))):
+        try:
+            found.append((asked, None, access.historical_transactions(rows, rows, wanted).count()))
+        except Exception as exc:  # both tiers may refuse at the same time, which wraps the error
+            found.append((asked, re.search(r"Requested period\(s\) missing[^.]*\.", str(exc))[0], None))
+    return spark.createDataFrame(found, "asked string, refusal string, rows bigint")
 
 
 @query("historical_read_strict", "OP-11 ORD-2",
@@ -264,15 +284,21 @@ def read_defaults(spark, d):
     return access.read_defaults(stored).select(*ID, "acquired_disposed", "form_type", "is_amendment")
 
 
+def _read_back(spark, events, label):
+    """Results that were stored, as they are read from the store."""
+    path = fresh_dir(spark, label)
+    sinks.store(spark, events.withColumn("index", F.col("event_key")), schemas.RESEARCH_EVENTS, path, "index", STAMP)
+    return schemas.read(spark, schemas.RESEARCH_EVENTS, path)
+
+
 @query("stored_outcomes", "FLT-5 FLT-7 SNK-7",
        f"""WITH {study.OUTCOMES} SELECT 'signal-outcome:' || signal_key || ':' || evaluation_periods AS event_key, symbol,
              signal_date AS event_date, outcome_date, round(return_pct, 6) AS return_pct, evaluation_periods
            FROM outcomes WHERE outcome_date IS NOT NULL""")
 def stored_outcomes(spark, d):
     made = research.evaluate_signals(study._price_signals(spark, d), asof.price_series(views.prices(spark, d)), [1, 3])
-    events = sinks.outcome_results(made.where(F.col("reason").isNull()), "1.0")
-    back = access.decode_results(events, "signal_outcome",
-                                 "outcome_date date, return_pct double, evaluation_periods int")
+    stored = _read_back(spark, sinks.outcome_results(made.where(F.col("reason").isNull()), "1.0"), "outcomes")
+    back = access.decode_results(stored, "signal_outcome", "outcome_date date, return_pct double, evaluation_periods int")
     return rounded(back.select("event_key", "symbol", "event_date", "result.outcome_date", "result.return_pct",
                                "result.evaluation_periods"), "return_pct")
 
@@ -280,14 +306,27 @@ def stored_outcomes(spark, d):
 @query("stored_backtest", "FLT-7 SNK-7",
        f"""WITH {study.TRADES} SELECT 'backtest:run-1' AS event_key, 'backtest' AS event_type, count(*) AS trade_count,
              CAST(NULL AS DOUBLE) AS return_pct FROM trades
-           UNION ALL SELECT 'backtest:run-1:' || signal_key, 'backtest_trade', NULL, round(return_pct, 6) FROM trades""")
+           UNION ALL SELECT DISTINCT 'backtest:run-1:' || signal_key, 'backtest_trade', NULL, round(return_pct, 6) FROM trades""")
 def stored_backtest(spark, d):
     trades = study._trades(spark, d)
-    events = sinks.backtest_results("run-1", trades, research.summarize_trades(trades), "1.0")
-    return rounded(events.select(
-        "event_key", "event_type",
-        F.get_json_object("result_payload", "$.summary.trade_count").cast("bigint").alias("trade_count"),
-        F.get_json_object("result_payload", "$.return_pct").cast("double").alias("return_pct")), "return_pct")
+    stored = _read_back(spark, sinks.backtest_results("run-1", trades, research.summarize_trades(trades), "1.0"), "backtest")
+    runs = access.decode_results(stored, "backtest", "run_id string, summary struct<trade_count bigint>").select(
+        "event_key", "event_type", "result.summary.trade_count", F.lit(None).cast("double").alias("return_pct"))
+    rows = access.decode_results(stored, "backtest_trade", "return_pct double").select(
+        "event_key", "event_type", F.lit(None).cast("bigint").alias("trade_count"), "result.return_pct")
+    return rounded(runs.unionByName(rows), "return_pct")
+
+
+@query("signal_by_key", "FLT-6 SNK-8",
+       f"""WITH {views.SUBMISSIONS}, {views.SIGNALS}, k AS (SELECT min(signal_key) AS signal_key FROM signals)
+           SELECT s.signal_key, any_value(s.symbol) AS symbol, arg_min(s.signal_type, s.input_index) AS signal_type
+           FROM signals s JOIN k ON k.signal_key = s.signal_key GROUP BY s.signal_key""")
+def signal_by_key(spark, d):
+    """One stored signal, read from its range of the store."""
+    path, rows = fresh_dir(spark, "signals"), views.signals(spark, d)
+    sinks.store(spark, rows, schemas.SIGNALS, path, "input_index", STAMP)
+    key = rows.agg(F.min("signal_key")).first()[0]
+    return access.signal_by_key(schemas.read(spark, schemas.SIGNALS, path), key).select("signal_key", "symbol", "signal_type")
 
 
 def _research_events(spark, d):
@@ -352,10 +391,9 @@ def research_event_lookup(spark, d):
 
 
 @query("series_by_source_name", "WN-6 FLT-2",
-       f"""WITH {views.LINES}, {views.PRICES} SELECT symbol, price_date, close AS px, 'alpha' AS source FROM prices""")
+       f"WITH {views.LINES}, {views.PRICES} SELECT symbol, price_date, close AS px FROM prices")
 def series_by_source_name(spark, d):
-    """Two sources a day and no priority: the first by name counts."""
+    """Two sources a day with different prices and no priority: that of the first by name counts."""
     bars = views.prices(spark, d)
-    both = bars.withColumn("source", F.lit("alpha")).unionByName(bars.withColumns({
-        "source": F.lit("beta"), "close": F.col("close") + 1}))
-    return asof.price_series(both).withColumn("source", F.lit("alpha"))
+    both = bars.withColumns({"source": F.lit("beta"), "close": F.col("close") + 1}).unionByName(bars.withColumn("source", F.lit("alpha")))
+    return asof.price_series(both)

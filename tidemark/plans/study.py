@@ -20,11 +20,11 @@ REASONS = """CASE WHEN is_amendment OR contains(form_type, '/A') OR date_of_orig
      WHEN n - entry_rn < {h} THEN 'REJECTED_INSUFFICIENT_OBSERVATIONS' END"""
 
 RETURNS = f"""{views.ENTRIES}, asked AS MATERIALIZED (
-  SELECT *, entry_rn + horizon_days AS target_rn FROM (SELECT *, unnest([1, 5, 10]) AS horizon_days FROM entries
+  SELECT *, ticker || '#' || (entry_rn + horizon_days) AS place FROM (SELECT *, unnest([1, 5, 10]) AS horizon_days FROM entries
     WHERE NOT is_amendment AND ticker IS NOT NULL AND min_px > 0 AND entry_rn IS NOT NULL)),
-returns AS (
+returns AS MATERIALIZED (
   SELECT a.*, x.price_date AS future_date, x.px AS future_px, (x.px / a.entry_px - 1) * 100 AS return_pct
-  FROM asked a JOIN series x ON x.symbol = a.ticker AND x.rn = a.target_rn)"""
+  FROM asked a JOIN placed x ON x.place = a.place)"""
 
 SUMMARY = """count(*) AS event_count, round(avg(return_pct), 6) AS mean_return_pct,
   round(median(return_pct), 6) AS median_return_pct,
@@ -77,6 +77,16 @@ def event_returns(spark, d):
     return rounded(out, "return_pct")
 
 
+@query("bucketed_event_returns", "JN-6 JN-7 WN-2 SRC-17",
+       f"""WITH {RETURNS} SELECT accession_number, record_hash, horizon_days, entry_date AS event_date, future_date,
+             round(return_pct, 6) AS return_pct FROM returns""")
+def bucketed_event_returns(spark, d):
+    """The same lookup over prices that are stored in buckets by symbol: only the filings are shuffled."""
+    stored = asof.store_bucketed(views.prices(spark, d).select("symbol", "price_date", "source", "close"), "prices", 8)
+    out = research.event_returns(views.filings(spark, d), asof.price_series(stored), HORIZONS, buckets=8)
+    return rounded(out.select("accession_number", "record_hash", "horizon_days", "event_date", "future_date", "return_pct"), "return_pct")
+
+
 @query("event_preparation", "JN-6 OP-2 OP-3",
        f"""WITH {views.ENTRIES}, reasoned AS (SELECT *, {REASONS.format(h=5)} AS reason FROM entries)
        SELECT accession_number, record_hash, reason, CASE WHEN reason IS NULL THEN entry_date END AS event_date,
@@ -139,7 +149,7 @@ def series_preferring_second_source(spark, d):
 
 
 HOLDING = 5
-TRADES = f"""{RETURNS}, trades AS (
+TRADES = f"""{RETURNS}, trades AS MATERIALIZED (
   SELECT ticker || '|' || CAST(filing_date AS VARCHAR) || '|' || accession_number || '|' || record_hash AS signal_key,
          ticker AS symbol, entry_date, future_date AS exit_date, entry_px AS entry_price, future_px AS exit_price,
          return_pct, transaction_code, filing_date, filing_period FROM returns WHERE horizon_days = {HOLDING})"""
@@ -200,12 +210,12 @@ def _price_signals(spark, d):
 OUTCOMES = f"""{views.LINES}, {views.SERIES}, price_signals AS MATERIALIZED (
   SELECT symbol || '|' || CAST(price_date AS VARCHAR) AS signal_key, symbol, price_date AS signal_date,
          close AS signal_price FROM prices),
-located AS MATERIALIZED (SELECT *, rn + evaluation_periods AS target_rn FROM (
-  SELECT p.*, s.rn, unnest([1, 3]) AS evaluation_periods
-  FROM price_signals p JOIN series s ON s.symbol = p.symbol AND s.price_date = p.signal_date)),
-outcomes AS (SELECT l.*, x.price_date AS outcome_date, x.px AS outcome_price,
+days AS MATERIALIZED (SELECT symbol || '|' || CAST(price_date AS VARCHAR) AS signal_key, rn FROM series),
+located AS MATERIALIZED (SELECT *, symbol || '#' || (rn + evaluation_periods) AS place FROM (
+  SELECT p.*, s.rn, unnest([1, 3]) AS evaluation_periods FROM price_signals p JOIN days s ON s.signal_key = p.signal_key)),
+outcomes AS MATERIALIZED (SELECT l.*, x.price_date AS outcome_date, x.px AS outcome_price,
          (x.px / l.signal_price - 1) * 100 AS return_pct
-  FROM located l LEFT JOIN series x ON x.symbol = l.symbol AND x.rn = l.target_rn)"""
+  FROM located l LEFT JOIN placed x ON x.place = l.place)"""
 
 
 @query("signal_outcomes", "JN-7 OP-6 SC-14",

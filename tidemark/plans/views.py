@@ -151,7 +151,7 @@ SERIES = f"""{PRICES}, series AS MATERIALIZED (
          row_number() OVER (PARTITION BY symbol ORDER BY price_date) AS rn,
          count(*) OVER (PARTITION BY symbol) AS n,
          min(close) OVER (PARTITION BY symbol) AS min_px
-  FROM prices)"""
+  FROM prices), placed AS MATERIALIZED (SELECT symbol || '#' || rn AS place, price_date, px FROM series)"""
 
 # Filings with the ordinal of their entry observation: the first one strictly after the filing date.
 ENTRIES = f"""{FILINGS}, {SERIES}, entries AS MATERIALIZED (

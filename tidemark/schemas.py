@@ -86,7 +86,7 @@ CORPORATE_ACTIONS = Table(
 RESEARCH_EVENTS = Table(
     "research_events",
     """event_key string, event_type string, symbol string, event_date date, methodology_version string,
-    result_payload string, created_at timestamp, key_range string""", ("event_key",), None, ("event_type", "key_range"),
+    result_payload variant, created_at timestamp, key_range string""", ("event_key",), None, ("event_type", "key_range"),
     ("key_range",), _slice("event_key"), ("event_key",))
 
 SIGNALS = Table(
