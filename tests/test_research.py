@@ -205,3 +205,19 @@ def test_hot_keys_are_spread_by_their_own_count(rows, monkeypatch):
     assert [tuple(r) for r in skew.hot_keys(counts, ["k"]).collect()] == [("hot", 7)]
     got = {(r.n, r.v) for r in skew.salted_lookup(left, right, ["k"], counts).collect()}
     assert got == {(i, 7) for i in range(20)} | {(1, 8), (2, None)}
+
+
+def test_median_of_buckets_too_full_to_sort(rows, monkeypatch):
+    monkeypatch.setattr(stats, "SORTED_ROWS", 5)
+    made = [(g, 1.0 + k / 4096 / (g + 1), 1 + k % 3) for g in range(3) for k in range(1200)] + [(5, 2.0, 4)]
+    df = rows("k int, value double, weight bigint", *made)
+    for out in (stats.weighted_median(df, ["k"]), stats.summarize(df, ["k"])):
+        got = {r.k: r.median for r in out.collect()}
+        for g in (0, 1, 2, 5):
+            assert got[g] == pytest.approx(statistics.median(v for k, v, w in made if k == g for _ in range(w)), abs=1e-15)
+
+
+def test_summary_of_no_rows(rows):
+    out = stats.summarize(rows("value double, weight bigint"), []).first()
+    assert (out.n, out.median, out.positive_count, out.best) == (0, None, 0, None)
+    assert stats.summarize(rows("k int, value double, weight bigint"), ["k"]).count() == 0

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark import schemas
 from tidemark.functions import hashing
-from tidemark.operators import accounting, audit, reconcile, risk
-from tidemark.plans import views
+from tidemark.operators import accounting, audit, filings, reconcile, risk
+from tidemark.plans import landing, views
 from tidemark.plans.registry import query
 from tidemark.plans.study import rounded
+from tidemark.session import fresh_dir, stage
 
 ALL = f"{views.FILINGS}, {views.STATE}, {views.ARCHIVES}, {views.PRICES}, {views.PROVENANCE}"
 
@@ -268,30 +270,28 @@ def amendment_preservation(spark, d):
     return audit.amendment_preservation(rows)
 
 
-def _run_metrics(spark, d, second: bool):
-    """Metrics of two runs; the second finds duplicates only, except where a quarter had failed."""
-    state = views.state(spark, d)
-    failed = F.col("status") == "FAILED"
-    inserted = F.when(failed, F.col("records_inserted")).otherwise(0) if second else F.col("records_inserted")
-    return state.select(
-        "period", "records_parsed", inserted.alias("records_inserted"),
-        (F.col("records_parsed") - inserted).alias("duplicates_count"), "failures_count", "status",
-        F.col("records_parsed").alias("total_rows"),
-        (F.col("records_parsed") + (F.when(failed, 1).otherwise(0) if second else 0)).alias("period_rows"),
-        F.lit(1).alias("provenance_rows"))
-
-
-@query("idempotency", "DQ-14",
-       f"""WITH {views.FILINGS}, {views.STATE} SELECT period, concat_ws('; ',
-             CASE WHEN status = 'FAILED' AND records_parsed = records_inserted THEN 'duplicates_count is 0' END,
-             CASE WHEN status = 'FAILED' THEN 'records_inserted is above 0; period_rows changed from ' || records_parsed
-               || ' to ' || (records_parsed + 1) END,
-             CASE WHEN status <> 'COMPLETED' THEN 'status is not COMPLETED' END,
-             CASE WHEN failures_count <> 0 THEN 'failures_count is above 0' END) AS errors,
-             status = 'COMPLETED' AS passed FROM state""")
+@query("idempotency", "DQ-14 AGG-13 SNK-1",
+       f"""WITH {views.FILINGS}, v AS (SELECT filing_period AS period, record_hash, filing_period >= '1999-Q1'
+             AND transaction_date - filing_date <= 365 AND transaction_code <> 'R' AS good,
+             filing_period <> '2000-Q3' OR o_orderkey % 2 = 0 AS first_run FROM filings),
+           c AS (SELECT period, count(*) FILTER (good) AS good, count(DISTINCT record_hash) FILTER (good AND first_run) AS before,
+             count(DISTINCT record_hash) FILTER (good) AS after FROM v GROUP BY period)
+           SELECT period, concat_ws('; ', CASE WHEN good - (after - before) = 0 THEN 'duplicates_count is 0' END,
+             CASE WHEN after > before THEN 'records_inserted is above 0' END,
+             CASE WHEN after > before THEN 'period_rows changed from ' || before || ' to ' || after END,
+             CASE WHEN after > before THEN 'provenance_rows changed from ' || before || ' to ' || after END) AS errors,
+             after = before AND good > 0 AS passed FROM c""")
 def idempotency(spark, d):
-    out = audit.idempotency(_run_metrics(spark, d, False), _run_metrics(spark, d, True))
-    return out.withColumn("errors", F.array_join("errors", "; "))
+    """Two imports into one table, the second with rows that the first had not seen in one quarter."""
+    path, landed, runs = fresh_dir(spark, "insider_transactions"), landing.sections(spark, d), []
+    order = F.substring_index(F.element_at("cells", "ACCESSION_NUMBER"), "-", -1).cast("bigint")
+    for seen in (landed.where((F.col("filing_period") != "2000-Q3") | (order % 2 == 0)), landed):
+        done = filings.load_quarters(spark, seen, path, landing.STAMP, "2001-Q4", 3)
+        stored = schemas.read(spark, schemas.INSIDER_TRANSACTIONS, path).groupBy(F.col("filing_period").alias("period")).agg(
+            F.count(F.lit(1)).alias("period_rows"), F.countDistinct("record_hash").alias("provenance_rows"))
+        runs.append(stage(accounting.quarter_stats(done).join(stored, "period", "left").withColumns({
+            "status": F.lit("COMPLETED"), "total_rows": F.lit(None).cast("bigint")}), "run-metrics"))
+    return audit.idempotency(*runs).withColumn("errors", F.array_join("errors", "; "))
 
 
 @query("lean_storage", "DQ-15 AGG-19",
