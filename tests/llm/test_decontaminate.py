@@ -1,9 +1,11 @@
 """Decontamination against verbatim search, brute-force subsequences, and made paraphrases."""
 
+import collections
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import decontaminate
@@ -69,8 +71,11 @@ def test_brute_force_agrees_on_changed_copies(spark):
 def test_several_blocks_give_the_same(spark, small, monkeypatch):
     docs, bench = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
     once = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
-    monkeypatch.setattr(decontaminate, "BLOCK", 15)
-    assert len(list(decontaminate.blocks(bench))) > 2
+    stay = {r.doc_id for r in decontaminate.clean(docs, bench).collect()}
+    assert stay == {r.doc_id for r in docs.collect()} - {i for i, _ in once}
+    monkeypatch.setattr(decontaminate, "BLOCK", 8)
+    assert len(list(decontaminate.blocks(bench))) > 4
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == stay
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == once
 
 
@@ -110,3 +115,75 @@ def test_decomposition_spans_the_rows(spark):
     values = np.linalg.svd(dense, compute_uv=False)
     assert np.linalg.norm(dense @ decontaminate.decomposition(frame, 300, 10)) == pytest.approx(
         np.linalg.norm(values[:10]), rel=0.05)
+
+
+def changed(words, way, lexicon, often, draw):
+    """A copy of an item's words: some replaced at random, or the rarest ones, the answer kept."""
+    out, n = list(words), len(words)
+    places = {"none": [], "any 35 %": draw.sample(range(n), int(0.35 * n)),
+              "rarest 20 %": sorted(range(n), key=lambda k: often[words[k]])[:int(0.2 * n)],
+              "rarest 35 %": sorted(range(n - 5), key=lambda k: often[words[k]])[:int(0.35 * n)]}[way]
+    for k in places:
+        out[k] = draw.choice(lexicon)
+    return out
+
+
+def recall(known, items, texts, way, seed):
+    """Of inserted copies that the confirmation itself accepts, the share that is found."""
+    draw, rows, want = random.Random(seed), [], []
+    often = collections.Counter(w for t in texts for w in set(t))
+    lexicon = [w for t in texts for w in t]
+    for j, text in enumerate(texts):
+        number, words = items[j % len(items)]
+        at, n = draw.randrange(len(text)), len(words)
+        new = text[:at] + changed(words, way, lexicon, often, draw) + text[at:]
+        near = new[max(0, at - n):at + 2 * n]
+        share, answer = lcs(words, near) / n, lcs(words[-5:], near) >= 4
+        if share >= 0.8 or (share >= 0.6 and answer):
+            want.append((j, number))
+        rows.append(" ".join(new))
+    got = {(lo + r[0], known.items[r[1]].item_id) for lo, _, found in decontaminate._chunks(pa.array(rows))
+           for r in decontaminate.leaks(known, found)}
+    return len([w for w in want if w in got]) / len(want)
+
+
+def test_paraphrases_that_change_the_rarest_words(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, bench = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
+    texts = [t for t in (plain(r.text) for r in docs.collect()) if len(t) > 150][:300]
+    items = [(r.item_id, plain(r.text)) for r in bench.collect()]
+    known = decontaminate.index(docs, next(decontaminate.blocks(bench)))
+    got = {way: recall(known, items, texts, way, 5) for way in ("none", "any 35 %", "rarest 20 %", "rarest 35 %")}
+    assert got["none"] == 1 and min(got.values()) >= 0.95, got
+
+
+def test_more_items_than_directions(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "RANK", 60)
+    draw = random.Random(6)
+    lexicon = [f"w{int(draw.paretovariate(0.6))}" for _ in range(60000)]
+    texts = [[draw.choice(lexicon) for _ in range(200)] for _ in range(240)]
+    items = [(k, [draw.choice(lexicon) for _ in range(40)]) for k in range(200)]
+    docs = spark.createDataFrame([(k, " ".join(t), "", "") for k, t in enumerate(texts)], DOCS)
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items], ITEMS)
+    known = decontaminate.index(docs, next(decontaminate.blocks(bench)))
+    assert 60 <= known.latent.shape[1] < 200
+    for way in ("none", "rarest 20 %", "rarest 35 %"):
+        assert recall(known, items, texts, way, 7) >= 0.95, way
+
+
+def test_cosine_is_one_of_vectors(spark):
+    item = [f"i{k}" for k in range(20)]
+    docs = spark.createDataFrame([(k, " ".join(draw), "", "") for k, draw in enumerate([item, ["x"] * 30, ["y", "z"] * 20])], DOCS)
+    known = decontaminate.index(docs, [decontaminate.Item(1, tuple(
+        next(decontaminate.blocks(spark.createDataFrame([(1, " ".join(item))], ITEMS)))[0].words))])
+
+    def cosine(words):
+        _, _, found = next(decontaminate._chunks(pa.array([" ".join(words)])))
+        return max(c for c, _ in decontaminate._candidates(known, found).values())
+    assert cosine(item) == pytest.approx(1.0, abs=1e-5)
+    assert cosine(item[:8] + ["unknown"] * 24) == pytest.approx(1.0, abs=1e-5)  # one item spans one direction
+    two = decontaminate.index(docs, [*known.items, decontaminate.Item(2, tuple(
+        next(decontaminate.blocks(spark.createDataFrame([(2, "y z " * 10)], ITEMS)))[0].words))])
+    _, _, found = next(decontaminate._chunks(pa.array([" ".join(item[:10] + ["y"] * 5)])))
+    for (_, k), (c, _) in decontaminate._candidates(two, found).items():
+        assert 0 < c < 0.99, k

@@ -30,32 +30,35 @@ WITH d AS (
     SELECT rid, lang, source, 'symbols' AS rate, 1000 * n_symbols // word_chars AS step FROM b WHERE n_words > 0
     UNION ALL SELECT rid, lang, source, 'lines', 1000 * n_dup_lines // n_lines FROM b WHERE n_words > 0
     UNION ALL SELECT rid, lang, source, 'length', 10 * word_chars // n_words FROM b WHERE n_words > 0
+), coarse AS (
+    SELECT *, greatest(length(bin(step)) - 11, 0) AS more FROM steps
 ), sketch AS (
-    SELECT lang, source, rate, least(step, 2000) AS step, count(*) AS docs FROM steps GROUP BY ALL
+    SELECT lang, source, rate, (step >> more) << more AS step, any_value(more) AS more, count(*) AS docs FROM coarse GROUP BY ALL
 ), levels AS (
-    SELECT 1 AS level, lang, source, rate, step, docs FROM sketch
-    UNION ALL SELECT 2, lang, NULL, rate, step, sum(docs) FROM sketch GROUP BY lang, rate, step
-    UNION ALL SELECT 3, NULL, NULL, rate, step, sum(docs) FROM sketch GROUP BY rate, step
+    SELECT 1 AS level, lang, source, rate, step, docs, more FROM sketch
+    UNION ALL SELECT 2, lang, NULL, rate, step, sum(docs), any_value(more) FROM sketch GROUP BY lang, rate, step
+    UNION ALL SELECT 3, NULL, NULL, rate, step, sum(docs), any_value(more) FROM sketch GROUP BY rate, step
 ), ranked AS (
     SELECT *, sum(docs) OVER (PARTITION BY level, lang, source, rate ORDER BY step) AS upto,
            sum(docs) OVER (PARTITION BY level, lang, source, rate) AS n FROM levels
 ), middle AS (
-    SELECT level, lang, source, rate, max(n) AS n, min(step) FILTER (4 * upto >= n) AS q1,
-           min(step) FILTER (4 * upto >= 3 * n) AS q3
+    SELECT level, lang, source, rate, CAST(max(n) AS BIGINT) AS n, min(step) FILTER (4 * upto >= n) AS q1,
+           min(step + (CAST(1 AS BIGINT) << more) - 1) FILTER (4 * upto >= 3 * n) AS q3
     FROM ranked GROUP BY level, lang, source, rate
+), langs AS (
+    SELECT l.lang, l.rate, (l.n * l.q1 + 50 * a.q1) // (l.n + 50) AS q1, (l.n * l.q3 + 50 * a.q3) // (l.n + 50) AS q3
+    FROM middle l JOIN middle a ON l.rate = a.rate AND l.level = 2 AND a.level = 3
+), drawn AS (
+    SELECT s.lang, s.source, s.rate, (s.n * s.q1 + 50 * d.q1) // (s.n + 50) AS q1, (s.n * s.q3 + 50 * d.q3) // (s.n + 50) AS q3
+    FROM middle s JOIN langs d ON s.level = 1 AND s.lang IS NOT DISTINCT FROM d.lang AND s.rate = d.rate
 ), fence AS (
-    SELECT level, lang, source, max(n) AS n,
-           max(q3 + 3 * greatest(q3 - q1, 10)) FILTER (rate = 'symbols') AS symbols_hi,
+    SELECT lang, source, max(q3 + 3 * greatest(q3 - q1, 10)) FILTER (rate = 'symbols') AS symbols_hi,
            max(q3 + 3 * greatest(q3 - q1, 150)) FILTER (rate = 'lines') AS lines_hi,
            max(q1 - 12 * greatest(q3 - q1, 5)) FILTER (rate = 'length') AS length_lo,
            max(q3 + 12 * greatest(q3 - q1, 5)) FILTER (rate = 'length') AS length_hi
-    FROM middle GROUP BY level, lang, source
+    FROM drawn GROUP BY lang, source
 ), picked AS (
-    SELECT b.*, CASE WHEN f1.n >= 200 THEN f1 WHEN f2.n >= 200 THEN f2 ELSE f3 END AS f
-    FROM b
-    LEFT JOIN fence f1 ON f1.level = 1 AND f1.lang IS NOT DISTINCT FROM b.lang AND f1.source IS NOT DISTINCT FROM b.source
-    LEFT JOIN fence f2 ON f2.level = 2 AND f2.lang IS NOT DISTINCT FROM b.lang
-    LEFT JOIN fence f3 ON f3.level = 3
+    SELECT b.*, f FROM b LEFT JOIN fence f ON f.lang IS NOT DISTINCT FROM b.lang AND f.source IS NOT DISTINCT FROM b.source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(1000 * n_symbols // word_chars <= f.symbols_hi

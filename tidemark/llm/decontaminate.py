@@ -6,9 +6,12 @@
 2. One pass over the documents counts, for the block's words, the half passages they occur in. Words in more than
    ``COMMON`` of them weigh nothing, unless an item has few others.
 3. A randomised singular value decomposition of the block's TF-IDF passages, its products computed and added up in
-   Spark, gives the latent space. Its rank is that of the block, so inner products with items are kept.
+   Spark, gives the latent space: the ``RANK`` leading directions, and one more for each item passage that these hold
+   less than ``HELD`` of. Weights are square roots of inverse document frequencies, so that a paraphrase that changes
+   an item's rarest words still holds much of it.
 4. A second pass projects every passage of every document and compares it with all items at once. Passages of a
-   cosine of ``COSINE`` or more that hold ``SHARE`` of an item's weight are candidates.
+   cosine of ``COSINE`` or more with an item, in the latent space, that hold ``SHARE`` of its length there are
+   candidates. Words that no item has are not in the space.
 5. A candidate is confirmed on words, beyond the passage by the item's length on both sides: the longest common
    subsequence covers ``COVER`` of the item, or ``PARAPHRASE`` of it and the item's answer, its last ``ANSWER``
    words, is there too. Items of fewer than ``SHORT`` words must be there word by word.
@@ -22,6 +25,7 @@ one; a repeated item counts once. A missing ``doc_id`` or ``item_id`` is reporte
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -33,14 +37,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
+from tidemark.session import stage
 
 PASSAGE = 64
 HALF = PASSAGE // 2
 BLOCK = 512
 COMMON = 0.05
 LEAST_WORDS = 4
-COSINE = 0.3
-SHARE = 0.45
+RANK = 256
+HELD = 0.5
+COSINE = 0.15
+SHARE = 0.25
+#: Blocks that one pass of ``clean`` takes together.
+TOGETHER = 2
 COVER = 0.8
 PARAPHRASE = 0.6
 ANSWER = 5
@@ -58,7 +67,7 @@ class Item:
 
 @dataclass(frozen=True)
 class Index:
-    """A block's words (ascending), their weights and latent rows, and its passages' latent vectors."""
+    """A block's words (ascending), their weights and latent rows, and its passages' latent directions and lengths."""
 
     items: list[Item]
     vocabulary: np.ndarray
@@ -131,7 +140,7 @@ def _occurrences(vocabulary: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]],
 
 
 def _weights(docs: DataFrame, items: list[Item], vocabulary: np.ndarray) -> np.ndarray:
-    """Inverse document frequencies over all half passages of all documents."""
+    """Square roots of inverse document frequencies over all half passages of all documents."""
     counted = docs.select(F.col("text").cast("string")).mapInArrow(
         _occurrences(vocabulary), "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()
     seen, halves = np.zeros(len(vocabulary)), 0
@@ -140,7 +149,7 @@ def _weights(docs: DataFrame, items: list[Item], vocabulary: np.ndarray) -> np.n
             halves = r.n
         else:
             seen[r.place] = r.n
-    weights = np.log((2.0 + halves) / (1.0 + seen))
+    weights = np.sqrt(np.log((2.0 + halves) / (1.0 + seen)))
     rare = seen <= COMMON * halves
     for item in items:
         own = np.searchsorted(vocabulary, np.array(item.words, dtype=np.uint64))
@@ -188,12 +197,27 @@ def decomposition(passages: DataFrame, columns: int, rank: int) -> np.ndarray:
     return basis @ vectors[:, leading[values[leading] > 1e-9 * max(values.max(), 1e-300)]]
 
 
+def _holding(latent: np.ndarray, rows: list[tuple[list[int], list[float]]]) -> np.ndarray:
+    """``latent`` with directions of their own for the rows (columns, values) that it holds little of."""
+    left = []
+    for columns, values in rows:
+        whole = np.zeros(len(latent))
+        whole[columns] = values
+        held = latent @ (latent.T @ whole)
+        if np.linalg.norm(held) < HELD * np.linalg.norm(whole):
+            left.append(whole - held)
+    if not left:
+        return latent
+    more = np.linalg.qr(np.array(left).T)[0]
+    return np.linalg.qr(np.concatenate([latent, more], axis=1))[0]
+
+
 def index(docs: DataFrame, items: list[Item]) -> Index:
     """Weights, latent space and vectors of a block of items."""
     spark = docs.sparkSession
     vocabulary = np.unique(np.array([w for item in items for w in item.words], dtype=np.uint64))
     weights = _weights(docs, items, vocabulary)
-    rows, sizes, item_of = [], [], []
+    rows, item_of = [], []
     for k, item in enumerate(items):
         own = np.searchsorted(vocabulary, np.array(item.words, dtype=np.uint64))
         for a, b in _passages(len(own)):
@@ -201,17 +225,17 @@ def index(docs: DataFrame, items: list[Item]) -> Index:
             value = weights[column] * times
             size = np.linalg.norm(value)
             if size:
-                rows.append((column[value > 0].tolist(), (value[value > 0] / size).tolist()))
-                sizes.append(size)
+                rows.append((column[value > 0].tolist(), value[value > 0].tolist()))
                 item_of.append(k)
     if not rows:
         empty = np.zeros((len(vocabulary), 0))
         return Index(items, vocabulary, weights, empty, np.zeros((0, 0)), np.zeros(0), np.zeros(0, dtype=np.int64))
     passages = spark.createDataFrame(rows, "columns array<int>, vals array<double>")
-    latent = decomposition(passages, len(vocabulary), min(len(rows), len(vocabulary)))
+    latent = _holding(decomposition(passages, len(vocabulary), min(RANK, len(rows), len(vocabulary))), rows)
     vectors = np.array([np.array(v) @ latent[c] for c, v in rows])
-    return Index(items, vocabulary, weights, (latent * weights[:, None]).astype(np.float32), vectors.astype(np.float32),
-                 np.array(sizes, dtype=np.float32), np.array(item_of))
+    sizes = np.linalg.norm(vectors, axis=1)
+    return Index(items, vocabulary, weights, (latent * weights[:, None]).astype(np.float32),
+                 (vectors / sizes[:, None]).astype(np.float32), sizes.astype(np.float32), np.array(item_of))
 
 
 def common_subsequence(item: tuple[int, ...], masks: dict[int, int], text: list[int]) -> int:
@@ -244,7 +268,6 @@ def _candidates(known: Index, found: words.Words) -> dict[tuple[int, int], list]
         return out
     used, begin = np.unique(half[hit], return_index=True)
     vectors = np.add.reduceat(known.latent[column], begin, axis=0)
-    squares = np.add.reduceat(known.weights[column] ** 2, begin)
     text = np.searchsorted(first, used, side="right") - 1
     # a passage is a half and the next one of its text; the half before an unused one stands alone
     follows = np.zeros(len(used), dtype=bool)
@@ -253,11 +276,11 @@ def _candidates(known: Index, found: words.Words) -> dict[tuple[int, int], list]
     vectors = np.concatenate([vectors, np.zeros_like(vectors[:1])])
     pair = np.full(len(used), len(used))
     pair[after - 1] = after
-    squares = np.append(squares, 0.0)
     for lo in range(0, len(used), 8192):
         part = slice(lo, min(lo + 8192, len(used)))
-        near = (vectors[part] + vectors[pair[part]]) @ known.passages.T
-        size = np.sqrt(squares[part] + squares[pair[part]])
+        whole = vectors[part] + vectors[pair[part]]
+        near = whole @ known.passages.T
+        size = np.maximum(np.linalg.norm(whole, axis=1), 1e-30)
         rows, cols = np.nonzero((near >= COSINE * size[:, None]) & (near >= SHARE * known.sizes[None, :]))
         for row, col in zip(rows.tolist(), cols.tolist(), strict=True):
             k = lo + row
@@ -329,17 +352,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns; a pass per block of items."""
-    place = docs.columns.index("text")
-    for items in blocks(benchmark):
-        known = index(docs, items)
+    """The rows of ``docs`` that hold no benchmark item, with all their columns.
 
-        def run(batches: Iterator[pa.RecordBatch], known: Index = known) -> Iterator[pa.RecordBatch]:
+    Words are counted over all rows given, so neither the order of blocks nor what they remove changes a verdict. A
+    pass takes ``TOGETHER`` blocks; with more of them it is written before the next one reads it.
+    """
+    place, given, passes = docs.columns.index("text"), docs, 0
+    todo = blocks(benchmark)
+    while group := list(itertools.islice(todo, TOGETHER)):
+        known = [index(given, items) for items in group]
+
+        def run(batches: Iterator[pa.RecordBatch], known: list[Index] = known) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo, hi, found in _chunks(batch.column(place)):
                     keep = np.ones(hi - lo, dtype=bool)
-                    keep[[r[0] for r in leaks(known, found)]] = False
+                    for each in known:
+                        keep[[r[0] for r in leaks(each, found)]] = False
                     yield batch.slice(lo, hi - lo).filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = (stage(docs, "decontaminated") if passes else docs).mapInArrow(run, docs.schema)
+        passes += 1
     return docs

@@ -8,9 +8,10 @@ source with a third of all rows costs no more than any other. Steps of ``EXACT``
 leading binary digits, to one part in a thousand, so a sketch of any range has few rows and no quartile is clipped.
 
 A fence lies ``REACH`` times the middle half's width (or the rate's least width, if that is more) beyond the middle
-half. A language and source with fewer than ``LEAST_DOCS`` documents takes the merged sketch of its language, and a
-language with fewer the one of all documents. Fences are joined back on language and source, null being a value of
-its own; the fence table is staged, so the planner broadcasts it only while its files are small.
+half. The quartiles of a language and source are drawn towards those of its language, as if ``PRIOR`` documents of the
+language's own quartiles were among its own, and those of a language towards those of all documents: a group's own
+documents count the more the more there are, at every size. Fences are joined back on language and source, null being
+a value of its own; the fence table is staged, so the planner broadcasts it only while its files are small.
 
 Only DataFrame functions are used. Defined results: null, empty and blank texts have no words and fail the base
 rules; repeated rows are judged one by one; no rows give no rows; columns of other names pass through ``accepted``.
@@ -34,7 +35,7 @@ LEAST_WORDS = 10
 REPEAT_PERCENT = 20
 
 EXACT = 2048
-LEAST_DOCS = 200
+PRIOR = 50
 #: rate: (steps a unit, least width of the middle half in steps, reach below, reach above); 0: no fence on that side.
 RATES = {
     "symbols": (1000, 10, 0, 3),
@@ -147,23 +148,19 @@ def merged(sketch: DataFrame, *keys: str) -> DataFrame:
     return sketch.groupBy(*keys, "rate", "step").agg(F.sum("docs").alias("docs"))
 
 
-def fences(sketch: DataFrame, *keys: str) -> DataFrame:
-    """Per key: the documents behind its sketches, and the lowest and highest step of each rate that pass."""
+def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
+    """Per key and rate: documents, lower and upper quartile in steps."""
     run = Window.partitionBy(*keys, "rate").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys, "rate")
     ranked = sketch.withColumn("upto", F.sum("docs").over(run)).withColumn("n", F.sum("docs").over(whole))
-    middle = ranked.groupBy(*keys, "rate").agg(
+    return ranked.groupBy(*keys, "rate").agg(
         F.max("n").alias("n"), F.min(F.when(F.expr("4 * upto >= n"), F.col("step"))).alias("q1"),
         _last(F.min(F.when(F.expr("4 * upto >= 3 * n"), F.col("step")))).alias("q3"))
-    out = [F.max("n").alias("n")]
-    for name, (_, least, below, above) in RATES.items():
-        width = F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
-        own = F.col("rate") == name
-        if below:
-            out.append(F.max(F.when(own, F.col("q1") - below * width)).alias(f"{name}_lo"))
-        if above:
-            out.append(F.max(F.when(own, F.col("q3") + above * width)).alias(f"{name}_hi"))
-    return middle.groupBy(*keys).agg(*out)
+
+
+def _drawn(own: str, towards: str, quartile: str) -> Column:
+    """A quartile of ``own`` with ``PRIOR`` documents of the one it is drawn towards, in whole steps."""
+    return F.expr(f"({own}.n * {own}.{quartile} + {PRIOR} * {towards}.{quartile}) div ({own}.n + {PRIOR})")
 
 
 LIMITS = tuple(f"{name}_{side}" for name, (_, _, lo, hi) in RATES.items() for side, on in (("lo", lo), ("hi", hi)) if on)
@@ -171,16 +168,22 @@ LIMITS = tuple(f"{name}_{side}" for name, (_, _, lo, hi) in RATES.items() for si
 
 def fence_table(frame: DataFrame) -> DataFrame:
     """Fences of every language and source of ``frame`` (with its rates), staged."""
-    fine = stage(sketches(frame).withColumn("one", F.lit(1)), "quality-sketches")
-    source = fences(fine, "lang", "source", "one").alias("s")
-    lang = fences(merged(fine, "lang"), "lang").alias("l")
-    every = fences(merged(fine, "one"), "one").alias("a")
-    enough = F.lit(LEAST_DOCS)
-    joined = source.join(lang, F.col("s.lang").eqNullSafe(F.col("l.lang"))).join(
-        every, F.col("s.one") == F.col("a.one"))
-    chosen = [F.when(F.col("s.n") >= enough, F.col(f"s.{x}")).when(F.col("l.n") >= enough, F.col(f"l.{x}")).otherwise(
-        F.col(f"a.{x}")).alias(x) for x in LIMITS]
-    return stage(joined.select(F.col("s.lang").alias("f_lang"), F.col("s.source").alias("f_source"), *chosen), "fences")
+    fine = stage(sketches(frame), "quality-sketches")
+    every, lang, source = quartiles(merged(fine)).alias("a"), quartiles(merged(fine, "lang"), "lang").alias("l"), quartiles(
+        fine, "lang", "source").alias("s")
+    langs = lang.join(every, F.col("l.rate") == F.col("a.rate")).select(
+        "l.lang", "l.rate", *[_drawn("l", "a", q).alias(q) for q in ("q1", "q3")]).alias("d")
+    drawn = source.join(langs, F.col("s.lang").eqNullSafe(F.col("d.lang")) & (F.col("s.rate") == F.col("d.rate"))).select(
+        F.col("s.lang").alias("f_lang"), F.col("s.source").alias("f_source"), "s.rate", *[_drawn("s", "d", q).alias(q) for q in ("q1", "q3")])
+    out = []
+    for name, (_, least, below, above) in RATES.items():
+        width = F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
+        own = F.col("rate") == name
+        if below:
+            out.append(F.max(F.when(own, F.col("q1") - below * width)).alias(f"{name}_lo"))
+        if above:
+            out.append(F.max(F.when(own, F.col("q3") + above * width)).alias(f"{name}_hi"))
+    return stage(drawn.groupBy("f_lang", "f_source").agg(*out), "fences")
 
 
 def _with_statistics(docs: DataFrame, *more: Column) -> DataFrame:
