@@ -106,7 +106,7 @@ def market_price_issues(prices: DataFrame) -> DataFrame:
         F.lit("Market-price record for "), symbol, F.lit(" on "), day, F.lit(" of "), source,
         F.lit(" contains a negative numeric value.")))
     # An issue a record: its number is unrolled in two steps, so that no array grows with an identity's records.
-    blocks = identities.withColumn("block", F.explode(F.sequence(
+    blocks = identities.where((F.col("record_count") > 1) | (F.col("bad") > 0)).withColumn("block", F.explode(F.sequence(
         F.lit(0).cast("bigint"), F.floor(F.greatest(F.col("bad") - 1, F.lit(0)) / _UNROLL))))
     times = F.least(F.lit(_UNROLL), F.col("bad") - F.col("block") * _UNROLL).cast("int")
     issues = F.concat(F.array(F.when(F.col("block") == 0, repeated)), F.array_repeat(negative, times))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions import text
-from tidemark.operators import accounting, audit, changes, filings, loads, normalize, sinks
+from tidemark.operators import access, accounting, audit, changes, filings, loads, normalize, profiles, sinks
 from tidemark.plans import views
 from tidemark.plans.registry import query
 from tidemark.session import fresh_dir, stage
@@ -807,6 +807,40 @@ def quarter_load(spark, d):
     return stats[0].unionByName(stats[1]).drop("failures_count")
 
 
+PROFILED = f"""{views.FILINGS}, p AS (SELECT filing_period AS period, count(DISTINCT record_hash) AS rows,
+             min(transaction_date) AS earliest_transaction, max(transaction_date) AS latest_transaction,
+             count(DISTINCT accession_number) AS distinct_accessions, count(DISTINCT record_hash) AS distinct_hashes FROM filings
+           WHERE filing_period >= '1999-Q1' AND transaction_date - filing_date <= 365 AND transaction_code <> 'R' GROUP BY ALL)"""
+
+
+def _profiled(spark, d):
+    """Two loads: all but some filings of 2000, then everything. Profiles are renewed for the quarters each one changed."""
+    path, log = fresh_dir(spark, "insider_transactions"), fresh_dir(spark, "quarter_profiles")
+    landed = sections(spark, d)
+    order = F.substring_index(F.element_at("cells", "ACCESSION_NUMBER"), "-", -1).cast("bigint")
+    late = F.col("filing_period").startswith("2000") & (order % 3 == 0)
+    for number, rows in enumerate((landed.where(~late), landed)):
+        done = filings.load_quarters(spark, rows, path, STAMP, "2001-Q4", 3)
+        profiles.refresh(spark, done, path, log, STAMP + datetime.timedelta(days=number), number)
+    return log
+
+
+@query("quarter_profiles", "AGG-14 AGG-13", f"WITH {PROFILED} SELECT * FROM p")
+def quarter_profiles(spark, d):
+    return profiles.current(spark, _profiled(spark, d)).drop("profiled_at")
+
+
+@query("profile_totals", "AGG-15 AGG-22",
+       f"""WITH {PROFILED}, a AS (SELECT CAST(y AS VARCHAR) || '-Q' || CAST(q AS VARCHAR) AS period
+             FROM range(1998, 2001) t(y), range(1, 5) u(q))
+           SELECT count(*) AS periods_requested, count(rows) AS periods_with_rows, CAST(coalesce(sum(rows), 0) AS BIGINT) AS rows,
+             min(earliest_transaction) AS earliest_transaction, max(latest_transaction) AS latest_transaction
+           FROM a LEFT JOIN p ON p.period = a.period""")
+def profile_totals(spark, d):
+    """Totals of three years of quarters, from a row a quarter."""
+    return profiles.totals(profiles.current(spark, _profiled(spark, d)), access.quarters(spark, "1998-Q1", "2000-Q4"))
+
+
 @query("single_inserts", "SNK-2 OP-14",
        f"""WITH {views.LINES}, k AS (SELECT DISTINCT l_orderkey, l_linenumber, l_quantity FROM lines)
            SELECT 1 AS run, 'INSERTED' AS outcome, (SELECT count(*) FROM k) AS rows

@@ -70,6 +70,11 @@ INGESTION_STATE = Table(
     """period string, status string, records_parsed bigint, records_inserted bigint, duplicates_count bigint,
     invalid_count bigint, failures_count bigint, completed_at timestamp""", ("period",))
 
+QUARTER_PROFILES = Table(
+    "quarter_profiles",
+    """period string, rows bigint, earliest_transaction date, latest_transaction date, distinct_accessions bigint,
+    distinct_hashes bigint, profiled_at timestamp""", ("period",))
+
 MARKET_PRICES = Table(
     "market_prices",
     """symbol string, price_date date, open double, high double, low double, close double, adjusted_close double,
@@ -107,7 +112,7 @@ PROVENANCE = Table(
     ("key_range",), _slice("record_type", "record_id", "source"))
 
 TABLES = {t.name: t for t in (
-    INSIDER_TRANSACTIONS, FILING_DETAILS, INGESTION_STATE, MARKET_PRICES, CORPORATE_ACTIONS, RESEARCH_EVENTS, SIGNALS, TRADE_RUNS,
+    INSIDER_TRANSACTIONS, FILING_DETAILS, INGESTION_STATE, QUARTER_PROFILES, MARKET_PRICES, CORPORATE_ACTIONS, RESEARCH_EVENTS, SIGNALS, TRADE_RUNS,
     PROVENANCE)}
 
 
