@@ -23,7 +23,9 @@ SELECTION = (
     "archive_expansion", "quarter_load", "event_returns", "backtest_trades", "stored_outcomes", "filing_detail_counts",
     "stored_details", "unreadable_documents", "provenance_cleanup", "orphaned_actions", "signals_of_symbol",
     "research_event_store", "research_event_lookup", "series_by_source_name", "performance_summary", "companies_of_filings",
-    "order_risk",
+    "order_risk", "streamed_quarters", "archive_source", "archive_columns", "provenance_upsert", "state_upsert",
+    "historical_read_refused", "signal_by_key", "bucketed_event_returns", "integrity_audit", "chosen_checks", "idempotency",
+    "quarter_profiles", "profile_totals", "stored_backtest", "event_study_overall",
 )
 NAMES = list(entry.queries()) if os.environ.get("ALL_QUERIES") else list(SELECTION)
 
