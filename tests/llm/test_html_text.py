@@ -2,6 +2,8 @@
 
 import html
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -110,3 +112,24 @@ def test_links_in_a_page_without_containers():
     links = "".join(f"<li><a href=/{k}>Some link text {k}</a></li>" for k in range(30))
     page = f"<body><div><ul>{links}</ul></div><p>{TEXT}</p><p>{TEXT}</p><p><a href=x>Linked</a></p></body>"
     assert html_text.extract(page) == f"{TEXT}\n{TEXT}\nLinked"
+
+
+@pytest.mark.parametrize("unit", ["<div>x ", "<div class=ad>x ", "<article>x ", "<section><b>x ", "<div></ul>x ", "<p><i>x "])
+def test_a_page_of_elements_that_never_close(unit):
+    html = unit * (400_000 // len(unit))
+    tracemalloc.start()
+    start = time.time()
+    text = html_text.extract(html)
+    taken, peak = time.time() - start, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20 and taken < 60
+    # an advert that holds most of the page's text is a layout's name, the ones inside it are adverts
+    assert len(text.split()) > html.count("x") / 2 or "class=ad" in unit
+
+
+def test_inner_marks_and_regions_by_parents():
+    page = ("<body><div class=menu>top<div>inside</div></div><div class=page>" + "<p>one two three four five six seven eight</p>" * 4
+            + "<div><div class=share>share this</div><p>" + "nine ten eleven twelve " * 5 + "</p></div></div></body>")
+    text = html_text.extract(page)
+    assert "top" not in text and "inside" not in text and "share this" not in text
+    assert text.count("seven eight") == 4 and "eleven twelve" in text

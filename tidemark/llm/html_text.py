@@ -62,37 +62,46 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Line:
-    __slots__ = ("text", "tags", "linked", "marks", "region")
+    """A line with the numbers of the innermost container and the innermost marked element around it (0: none)."""
 
-    def __init__(self, text: str, tags: int, linked: int, marks: tuple[int, ...], region: tuple[int, ...]):
+    __slots__ = ("text", "tags", "linked", "mark", "region")
+
+    def __init__(self, text: str, tags: int, linked: int, mark: int, region: int):
         self.text, self.tags, self.linked = text, tags, linked
-        self.marks, self.region = marks, region
+        self.mark, self.region = mark, region
 
 
 class LineParser(HTMLParser):
-    """Lines of a page as its events come; only the open elements and the current line are held besides them."""
+    """Lines of a page as its events come; only the open elements and the current line are held besides them.
+
+    Containers and marked elements are numbered as they open. Each keeps the number of the next container and the
+    next marked element around it, so nesting of any depth costs a number an element.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        # element, numbers of it and those around it that are marked, unseen, container number
-        self.open: list[tuple[str, tuple[int, ...], bool, int]] = []
+        # element, innermost marked element, unseen, innermost container
+        self.open: list[tuple[str, int, bool, int]] = []
+        self.count: dict[str, int] = {}  # of open elements
         self.kinds: list[str] = ["html"]
+        self.around: list[int] = [-1]  # the next container outside
+        self.marked_around: list[int] = [0]  # the next marked element outside
+        self.main: list[int] = [0]  # the outermost article or main element of each, itself included
         self.firm: set[int] = set()  # marked elements that are boilerplate wherever they are
         self.parts: list[str] = []
         self.tags = self.linked = 0
         self.links = 0
 
-    def _state(self) -> tuple[tuple[int, ...], bool]:
-        return (self.open[-1][1], self.open[-1][2]) if self.open else ((), False)
-
-    def _regions(self) -> tuple[int, ...]:
-        return (0, *(x[3] for x in self.open if x[3]))
+    def _state(self) -> tuple[int, bool, int]:
+        """Innermost marked element, whether text is unseen, innermost container."""
+        return self.open[-1][1:] if self.open else (0, False, 0)
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text or self.tags:
-            self.lines.append(Line(text, self.tags, self.linked, self._state()[0], self._regions()))
+            mark, _, region = self._state()
+            self.lines.append(Line(text, self.tags, self.linked, mark, region))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def _marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool, bool]:
@@ -101,7 +110,7 @@ class LineParser(HTMLParser):
         if tag in ("html", "body", "main"):
             return unseen, False, False
         # a heading's own header belongs to its article
-        if tag in ASIDE and not (tag == "header" and any(x[0] in MAIN for x in self.open)):
+        if tag in ASIDE and not (tag == "header" and any(self.count.get(x) for x in MAIN)):
             marked, firm = True, tag != "form"
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -119,11 +128,14 @@ class LineParser(HTMLParser):
     def _close(self, depth: int) -> None:
         for tag, *_ in self.open[depth:]:
             self.links -= tag == "a"
+            self.count[tag] -= 1
         del self.open[depth:]
 
     def _end_before(self, tag: str) -> None:
         """A new block ends an open paragraph, and an open item of its own kind."""
         ended = ENDED_BY.get(tag, ())
+        if not any(self.count.get(x) for x in ("p", *ended)):
+            return
         for depth in range(len(self.open) - 1, -1, -1):
             kind = self.open[depth][0]
             if kind == "p" or kind in ended:
@@ -140,18 +152,23 @@ class LineParser(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        marks, unseen = self._state()
+        mark, unseen, region = self._state()
         own_unseen, marked, firm = self._marked(tag, attrs)
-        number = 0
         if tag in CONTAINERS or marked:
             number = len(self.kinds)
             self.kinds.append(tag)
-        if marked:
-            marks = (*marks, number)
-        if firm:
-            self.firm.add(number)
+            self.around.append(region)
+            self.marked_around.append(mark)
+            self.main.append(self.main[region] or (number if tag in MAIN else 0))
+            if tag in CONTAINERS:
+                region = number
+            if marked:
+                mark = number
+            if firm:
+                self.firm.add(number)
         self.links += tag == "a"
-        self.open.append((tag, marks, unseen or own_unseen, number if tag in CONTAINERS else 0))
+        self.count[tag] = self.count.get(tag, 0) + 1
+        self.open.append((tag, mark, unseen or own_unseen, region))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -160,6 +177,8 @@ class LineParser(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        if not self.count.get(tag):
+            return
         for depth in range(len(self.open) - 1, -1, -1):
             if self.open[depth][0] == tag:
                 if tag in BLOCKS or any(x[0] in BLOCKS for x in self.open[depth:]):
@@ -217,37 +236,63 @@ def _boilerplate(parser: LineParser) -> list[bool]:
     main element lies outside, and on elements around article and main elements that hold more text than all
     unmarked lines.
     """
-    lines, kinds, firm = parser.lines, parser.kinds, parser.firm
-    main = [next((k for k in x.region if kinds[k] in MAIN), 0) for x in lines]
-    held: dict[int, int] = {}
+    lines, firm, outside = parser.lines, parser.firm, parser.marked_around
+    main = [parser.main[x.region] for x in lines]
+    held = [0] * len(outside)
     for x in lines:
-        for m in x.marks:
-            held[m] = held.get(m, 0) + len(x.text)
+        held[x.mark] += len(x.text)
+    for m in range(len(held) - 1, 0, -1):  # what is inside has the higher number
+        if held[m]:
+            held[outside[m]] += held[m]
     least = MOST * sum(len(x.text) for x in lines)
-    named = any(x.text and k and not x.marks for x, k in zip(lines, main, strict=True))
-    wrong = {m for m, n in held.items() if n > least and m not in firm} if not named else set()
-    marks = [[m for m in x.marks if m not in wrong] for x in lines]
-    inner = [[m for m in own if m in firm or m >= k] if k else own for own, k in zip(marks, main, strict=True)]
+    named = any(x.text and k and not x.mark for x, k in zip(lines, main, strict=True))
+    counts = [m > 0 and (named or m in firm or held[m] <= least) for m in range(len(outside))]
+    # of each element: the innermost mark that counts, and whether one of those around it is firm
+    innermost, hard = [0] * len(outside), [False] * len(outside)
+    for m in range(1, len(outside)):
+        innermost[m] = m if counts[m] else innermost[outside[m]]
+        hard[m] = counts[m] and m in firm or hard[outside[m]]
+    marked = [innermost[x.mark] > 0 for x in lines]
+    inner = [(hard[x.mark] or innermost[x.mark] >= k) if k else own for x, k, own in zip(lines, main, marked, strict=True)]
     freed = sum(len(x.text) for x, k, own in zip(lines, main, inner, strict=True) if k and not own)
-    if freed > sum(len(x.text) for x, k, own in zip(lines, main, marks, strict=True) if not k and not own):
-        marks = inner
-    return [bool(own) for own in marks]
+    if freed > sum(len(x.text) for x, k, own in zip(lines, main, marked, strict=True) if not k and not own):
+        return inner
+    return marked
 
 
-def _chosen(text: list[Line], seeds: list[Line], main: set[int]) -> tuple[set[int], set[int]]:
+def _holding(parser: LineParser, lines: list[Line]) -> set[int]:
+    """The containers around some lines."""
+    found = set()
+    for x in lines:
+        k = x.region
+        while k >= 0 and k not in found:
+            found.add(k)
+            k = parser.around[k]
+    return found
+
+
+def _within(parser: LineParser, containers: set[int]) -> list[bool]:
+    """Of every container, whether it is one of these or inside one."""
+    found = [0 in containers]
+    for k in range(1, len(parser.around)):
+        found.append(k in containers or found[parser.around[k]])
+    return found
+
+
+def _chosen(parser: LineParser, text: list[Line], seeds: list[Line]) -> tuple[set[int], set[int]]:
     """The containers that are regions, and the article and main elements without seeds that are left out of them."""
-    named = main & {k for x in text for k in x.region}
-    held = main & {k for x in seeds for k in x.region}
-    outer = {next(k for k in x.region if k in main) for x in text if not main.isdisjoint(x.region)}
-    others = [x for x in seeds if main.isdisjoint(x.region)]
+    main = {k for k, kind in enumerate(parser.kinds) if kind in MAIN}
+    named, held = main & _holding(parser, text), main & _holding(parser, seeds)
+    outer = {parser.main[x.region] for x in text} - {0}
+    others = [x for x in seeds if not parser.main[x.region]]
     if held:
         regions = outer & held
-        if sum(len(x.text) for x in others) > PRIOR * sum(len(x.text) for x in seeds if not held.isdisjoint(x.region)):
-            regions |= {x.region[-1] for x in others}
+        if sum(len(x.text) for x in others) > PRIOR * sum(len(x.text) for x in seeds if parser.main[x.region]):
+            regions |= {x.region for x in others}
         return regions, named - held
     if len(outer) == 1:
-        return outer | ({x.region[-1] for x in others} if len(others) > PRIOR else set()), set()
-    return {x.region[-1] for x in others}, named
+        return outer | ({x.region for x in others} if len(others) > PRIOR else set()), set()
+    return {x.region for x in others}, named
 
 
 def extract(html: str | None) -> str:
@@ -267,14 +312,14 @@ def extract(html: str | None) -> str:
     seeds = usable & (smooth >= threshold(smooth))
     if not seeds.any():  # the page's best line is an unusable one between two usable ones
         seeds[np.argmax(np.where(usable, smooth, -1.0))] = True
-    main = {k for k, kind in enumerate(parser.kinds) if kind in MAIN}
     text = [x for x, ok in zip(lines, usable.tolist(), strict=True) if ok]
-    regions, empty = _chosen(text, [x for x, ok in zip(lines, seeds.tolist(), strict=True) if ok], main)
+    regions, empty = _chosen(parser, text, [x for x, ok in zip(lines, seeds.tolist(), strict=True) if ok])
     # where the whole page is the region, containers of nothing but links are not of the text
-    root = {k for k in regions if parser.kinds[k] in ("html", "body")}
-    running = {k for x in text if not _linked(x) for k in x.region}
-    inside = [x for x in text if not regions.isdisjoint(x.region) and empty.isdisjoint(x.region)
-              and not (_linked(x) and x.region[-1] not in running and regions.intersection(x.region) <= root)]
+    running = _holding(parser, [x for x in text if not _linked(x)])
+    within, without = _within(parser, regions), _within(parser, empty)
+    narrow = _within(parser, {k for k in regions if parser.kinds[k] not in ("html", "body")})
+    inside = [x for x in text if within[x.region] and not without[x.region]
+              and not (_linked(x) and x.region not in running and not narrow[x.region])]
     return "\n".join(x.text for x in inside)
 
 
