@@ -148,3 +148,38 @@ def test_audit_scans_each_table_once(spark, rows, tmp_path):
     # prices are read for their values, and for nothing but their hashes where provenance is compared with them
     assert text.count("FileScan parquet") == 6
     assert sum("ReadSchema: struct<record_hash:string>" in line for line in text.splitlines()) == 3
+
+
+def test_a_batch_is_dealt_once(spark, rows, tmp_path, monkeypatch):
+    """All rows of a key are staged in one file; its new rows are chosen, and stored, without another shuffle by key."""
+    table, path, work = schemas.MARKET_PRICES, str(tmp_path / "t"), str(tmp_path / "w")
+    ddl = "index int, symbol string, price_date date, close double, source string, record_hash string, price_year int, outcome string"
+    made = [(k, f"S{k % 7}", datetime.date(2020, 1, 2), 1.0, "s", f"{k % 2:064x}", 2020, "REJECTED" if k % 11 == 0 else None) for k in range(200)]
+    (tmp_path / "w" / "batch").mkdir(parents=True)
+    (tmp_path / "w" / "batch" / "part-of-a-lost-attempt.parquet").write_text("")
+    seen = []
+    append = schemas.append
+    monkeypatch.setattr(schemas, "append", lambda df, *a: (seen.append(plan(df)), append(df, *a)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for _ in range(2):
+            sinks.store(spark, rows(ddl, *made).repartition(5), table, path, "index", datetime.datetime(2024, 1, 1), work)
+            work = str(tmp_path / "again")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert all("Exchange" not in text for text in seen)
+    files = spark.read.parquet(str(tmp_path / "w" / "batch")).where("outcome IS NULL").groupBy("symbol").agg(
+        F.countDistinct("_metadata.file_name").alias("files"))
+    assert {r.files for r in files.collect()} == {1}
+    counts = {r.outcome: r["count"] for r in spark.read.parquet(str(tmp_path / "w" / "outcomes")).groupBy("outcome").count().collect()}
+    assert counts["INSERTED"] == 7 and counts["REJECTED"] == 19 and sum(counts.values()) == 200
+    assert schemas.read(spark, table, path).count() == 7
+
+
+def test_a_key_with_a_missing_part_is_not_stored(spark, rows, tmp_path):
+    table, path = schemas.INSIDER_TRANSACTIONS, str(tmp_path / "t")
+    batch = rows("source string, accession_number string, record_hash string, filing_period string, index int",
+                 ("SEC", None, "h", "2020-Q1", 1), ("SEC", None, "h", "2020-Q1", 2), ("SEC", "a-20-1", "h", "2020-Q1", 3))
+    got = sinks.store(spark, batch, table, path, "index", datetime.datetime(2024, 1, 1)).collect()
+    assert {r["index"]: r.outcome for r in got} == {1: "CONFLICT", 2: "CONFLICT", 3: "INSERTED"}
