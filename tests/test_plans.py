@@ -5,7 +5,9 @@ import datetime
 from pyspark.sql import functions as F
 
 from tidemark import schemas
+from tidemark.functions import settle
 from tidemark.operators import access, asof, audit, sinks
+from tidemark.sources import ownership
 
 
 def plan(df):
@@ -183,3 +185,20 @@ def test_a_key_with_a_missing_part_is_not_stored(spark, rows, tmp_path):
                  ("SEC", None, "h", "2020-Q1", 1), ("SEC", None, "h", "2020-Q1", 2), ("SEC", "a-20-1", "h", "2020-Q1", 3))
     got = sinks.store(spark, batch, table, path, "index", datetime.datetime(2024, 1, 1)).collect()
     assert {r["index"]: r.outcome for r in got} == {1: "CONFLICT", 2: "CONFLICT", 3: "INSERTED"}
+
+
+def test_parsed_text_is_parsed_once(spark, rows):
+    """Rules and filters read a document's parsed columns; none of them repeats the parser, and no generator works it out."""
+    docs = rows("accession_number string, doc string", ("a", "<ownershipDocument><nonDerivativeTable/></ownershipDocument>"))
+    found = ownership.xml_transactions(ownership.parse_xml(docs, "doc"), ["accession_number"])
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("from_xml(") == 1
+    assert [line for line in text.splitlines() if "Generate inline" in line and "from_xml(" in line] == []
+
+
+def test_settled_columns_are_worked_out_below_the_generator(rows):
+    df = rows("k int, t string", (1, " a "), (2, None)).selectExpr("k", "upper(trim(t)) AS t")
+    got = settle.settled(df, ["k"])
+    text = got.where("t = 'A'")._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("upper(") == 1 and all("upper(" not in line for line in text.splitlines() if "Generate" in line)
+    assert sorted(map(tuple, got.collect())) == [(1, "A"), (2, None)]

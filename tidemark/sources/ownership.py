@@ -30,10 +30,11 @@ def read_xml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_xml(df: DataFrame, column: str) -> DataFrame:
-    """Documents held as text: the same columns next to the others."""
+    """Documents held as text: the same columns next to the others. A document is parsed once, whatever is asked of it."""
     options = {"rowTag": "ownershipDocument", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    parsed = df.withColumn("_doc", F.from_xml(column, XML_SCHEMA, options))
-    return parsed.select(*[c for c in df.columns if c != column], "_doc.*")
+    others = [c for c in df.columns if c != column]
+    parsed = settled(df.select(*others, F.from_xml(column, XML_SCHEMA, options).alias("_doc")), others)
+    return parsed.select(*others, "_doc.*")
 
 
 def _either(path: str) -> Column:
