@@ -79,3 +79,15 @@ def test_one_frame_used_twice(spark, folder):
 
 def test_empty_folder(spark, tmp_path):
     assert archive_source.read(spark, str(tmp_path)).count() == 0
+
+
+def test_a_short_list_of_archives_is_spread_over_tasks(spark, tmp_path):
+    """Adaptive execution must not put all archives into one task because their list is small."""
+    for k in range(12):
+        with zipfile.ZipFile(tmp_path / f"P{k}.zip", "w") as z:
+            z.writestr("FOOTNOTES.tsv", "ACCESSION_NUMBER\tFOOTNOTE_TXT\n" + f"a{k}\tx\n" * 20)
+    listed = spark.createDataFrame([(f"P{k}", str(tmp_path / f"P{k}.zip")) for k in range(12)], "period string, zip_path string")
+    rows = archives.expand(listed).withColumn("task", F.spark_partition_id())
+    assert rows.count() == 240 and rows.select("task").distinct().count() > 1
+    archives.land(listed, str(tmp_path / "landed"))
+    assert len(list((tmp_path / "landed" / "member=FOOTNOTES").glob("*.parquet"))) > 1
