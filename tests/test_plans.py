@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.functions import settle
 from tidemark.operators import access, asof, audit, sinks
-from tidemark.sources import ownership
+from tidemark.sources import filing_index, ownership
 
 
 def plan(df):
@@ -202,3 +202,12 @@ def test_settled_columns_are_worked_out_below_the_generator(rows):
     text = got.where("t = 'A'")._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("upper(") == 1 and all("upper(" not in line for line in text.splitlines() if "Generate" in line)
     assert sorted(map(tuple, got.collect())) == [(1, "A"), (2, None)]
+
+
+def test_a_filing_index_is_parsed_once(rows):
+    """Neither the filter on its columns nor the one that Spark derives from the generator repeats the parser."""
+    doc = '{"accessionNumber": ["a"], "filingDate": ["2024-01-02"], "form": ["4"], "primaryDocument": ["d"]}'
+    found = filing_index.rows(rows("k int, doc string", (1, doc), (2, "[1]")), "doc")
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("from_json(StructField(filings") == 1
+    assert sorted((r.k, r.accession_number, r.error) for r in found.collect()) == [(1, "a", None), (2, None, filing_index.UNREADABLE)]

@@ -416,8 +416,9 @@ def continuation_files(spark, d):
            WHERE NOT cut""")
 def first_insider_filings(spark, d):
     rows = filing_index.rows(_index_docs(spark, d), "doc")
-    later = rows.withColumn("filing_period", F.lit("9999-Q4"))
-    return filing_index.insider_filings(rows.unionByName(later), ["filing_period", "position"]).select(
+    # Every row once more under a later quarter.
+    twice = rows.withColumn("filing_period", F.explode(F.array("filing_period", F.lit("9999-Q4"))))
+    return filing_index.insider_filings(twice, ["filing_period", "position"]).select(
         "accession_number", "document_name", "filing_period", "form_type")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.functions.settle import settled
 from tidemark.sources.envelopes import as_object
 
 # Column names of an index, best first.
@@ -39,8 +40,9 @@ def rows(df: DataFrame, column: str, keep: list[str] | None = None) -> DataFrame
     keep = keep or [c for c in df.columns if c != column]
     parsed = df.withColumn("_doc", F.from_json(column, SCHEMA))
     broken = as_object(F.col(column)).isNull()
-    staged = parsed.select(*keep, broken.alias("_broken"), _zip("_doc.filings.recent").alias("_recent"), _zip("_doc").alias("_top"), *[
-        F.col(f"_doc.{n}").isNotNull().alias(f"_has_{n}") for n in REQUIRED])
+    # Settled, or the filter below and the one that Spark derives from the generator parse the document again.
+    staged = settled(parsed.select(*keep, broken.alias("_broken"), _zip("_doc.filings.recent").alias("_recent"), _zip("_doc").alias("_top"), *[
+        F.col(f"_doc.{n}").isNotNull().alias(f"_has_{n}") for n in REQUIRED]), keep)
     usable = F.col(f"_has_{REQUIRED[0]}")
     for n in REQUIRED[1:]:
         usable = usable | F.col(f"_has_{n}")
