@@ -211,3 +211,14 @@ def test_a_filing_index_is_parsed_once(rows):
     text = found._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("from_json(StructField(filings") == 1
     assert sorted((r.k, r.accession_number, r.error) for r in found.collect()) == [(1, "a", None), (2, None, filing_index.UNREADABLE)]
+
+
+def test_the_metadata_of_a_json_document_is_parsed_once(rows):
+    docs = [('{"form": 4, "accessionNumber": " a ", "x": {"form": "no"}}', "4", "a", "d"), (' {"formType": "5", "form": " "}', "5", "i", "d"),
+            ('{"filedDate": null, "filingDate": "2024-01-02"}', "f", "i", "2024-01-02"), ('[{"form": "4"}]', "f", "i", "d"),
+            ("no document", "f", "i", "d"), (None, "f", "i", "d")]
+    made = rows("doc string, form string, accession string, filed string", *[(d[0], "f", "i", "d") for d in docs])
+    found = ownership.json_metadata(made, "doc", "form", "accession", "filed")
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("from_json(") == 1 and "get_json_object(" not in text
+    assert found.columns == made.columns and [tuple(r) for r in found.collect()] == [tuple(d) for d in docs]

@@ -130,15 +130,17 @@ def json_transactions(docs: DataFrame, column: str, keep: list[str]) -> DataFram
         held = F.from_json(F.when(body.startswith("{"), body), f"struct<{', '.join(f'{i}: string' for i in inner)}>")
         lists += [_objects(held[i]) for i in inner]
     lists += [_objects(F.col(f"_doc.{n}")) for n in SINGLES]
-    objects = F.filter(F.concat(*lists), lambda x: x.startswith("{"))
     owner_text = F.coalesce(F.col("_doc.reportingOwner"), F.col("_doc.ownershipDocument.reportingOwner"))
     heads = parsed.withColumn("_owner", F.from_json(F.get(_objects(owner_text), 0), _OWNER_JSON))
-    rows = heads.select(
+    # A filter is interpreted, and so is what it is given unless that is settled.
+    found = settled(heads.select(
         *keep, text.first_nonblank(F.col("_doc.issuer.issuerName"), F.col("_doc.issuer.name"), F.col("_doc.issuerName"),
                                    F.col("_doc.ownershipDocument.issuer.issuerName")).alias("issuer_name"),
         text.first_nonblank(F.col("_owner.rptOwnerName"), F.col("_owner.reportingOwnerName")).alias("insider_name"),
         text.first_nonblank(F.col("_owner.rptOwnerCik"), F.col("_owner.reportingOwnerCik")).alias("insider_cik"),
-        F.posexplode(objects).alias("position", "_raw"))
+        F.concat(*lists).alias("_found")), keep)
+    objects = F.filter("_found", lambda x: x.startswith("{"))
+    rows = found.select(*keep, "issuer_name", "insider_name", "insider_cik", F.posexplode(objects).alias("position", "_raw"))
     typed_rows = rows.withColumn("_t", F.from_json("_raw", _fields_schema()))
     return settled(typed_rows.select(*keep, "position", "issuer_name", "insider_name", "insider_cik", *[
         text.first_nonblank(*[_unwrapped(F.col(f"_t.{n}")) for n in names]).alias(field)
@@ -146,15 +148,18 @@ def json_transactions(docs: DataFrame, column: str, keep: list[str]) -> DataFram
 
 
 def json_metadata(docs: DataFrame, column: str, form: str, accession: str, filed: str) -> DataFrame:
-    """Form, accession and filing date: the document's own win over the index row's."""
-    def own(*names: str) -> Column:
-        return text.first_nonblank(*[F.get_json_object(column, f"$.{n}") for n in names])
-
-    return docs.withColumns({
-        form: F.coalesce(own("form", "formType", "form_type"), F.col(form)),
-        accession: F.coalesce(own("accessionNumber", "accession_number", "accession"), F.col(accession)),
-        filed: F.coalesce(own("filingDate", "filing_date", "filedDate"), F.col(filed)),
-    })
+    """Form, accession and filing date: the document's own win over the index row's.
+
+    A document is parsed once for all of them; one that is no JSON object has none.
+    """
+    names = {form: ("form", "formType", "form_type"), accession: ("accessionNumber", "accession_number", "accession"),
+             filed: ("filingDate", "filing_date", "filedDate")}
+    schema = ", ".join(f"{n}: string" for given in names.values() for n in given)
+    whole = F.when(F.col(column).rlike(r"^\s*\{"), F.col(column))
+    given = docs.withColumn("_own", F.from_json(whole, f"struct<{schema}>"))
+    return given.withColumns({
+        field: F.coalesce(text.first_nonblank(*[F.col(f"_own.{n}") for n in own]), F.col(field))
+        for field, own in names.items()}).drop("_own")
 
 
 def typed(rows: DataFrame, source: str = "SEC") -> DataFrame:
