@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions import settle
-from tidemark.operators import access, asof, audit, sinks
+from tidemark.operators import access, asof, audit, research, sinks
 from tidemark.sources import filing_index, ownership
 
 
@@ -222,3 +222,20 @@ def test_the_metadata_of_a_json_document_is_parsed_once(rows):
     text = found._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("from_json(") == 1 and "get_json_object(" not in text
     assert found.columns == made.columns and [tuple(r) for r in found.collect()] == [tuple(d) for d in docs]
+
+
+def test_events_are_looked_up_without_reading_the_filings_for_salts(rows):
+    """Filings are read for the probes and for the join; a fingerprint travels as its bytes and comes back as it was."""
+    day = datetime.date(2024, 1, 2)
+    filings = rows("accession_number string, record_hash string, ticker string, filing_date date, form_type string, is_amendment boolean, "
+                   "date_of_orig_submission date", *[(f"a{k}", h, "A", day, "4", False, None) for k, h in enumerate(("ab" * 32, "AB" * 32, "h", None))])
+    series = rows("symbol string, price_date date, px double", *[("A", day + datetime.timedelta(days=k), 1.0 + k) for k in range(4)])
+    out = research.prepare_events(filings, series, 1)
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" not in text and "unhex(record_hash" in text
+    assert sorted((r.accession_number, r.record_hash, r.reason) for r in out.collect()) == [
+        ("a0", "ab" * 32, None), ("a1", "AB" * 32, None), ("a2", "h", None), ("a3", None, None)]
+    signals = rows("signal_key string, symbol string, signal_date date, signal_price double", ("s", "A", day, 1.0))
+    judged = research.evaluate_signals(signals, series, [1, 3])
+    assert "_salt" not in judged._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.evaluation_periods, r.outcome_price) for r in judged.collect()) == [(1, 2.0), (3, 4.0)]
