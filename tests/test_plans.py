@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.functions import settle
 from tidemark.operators import access, asof, audit, research, sinks
+from tidemark.plans import reading
 from tidemark.sources import filing_index, ownership
 
 
@@ -239,3 +240,14 @@ def test_events_are_looked_up_without_reading_the_filings_for_salts(rows):
     judged = research.evaluate_signals(signals, series, [1, 3])
     assert "_salt" not in judged._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.evaluation_periods, r.outcome_price) for r in judged.collect()) == [(1, 2.0), (3, 4.0)]
+
+
+def test_results_that_are_stored_once_are_not_staged_first(spark, rows, monkeypatch):
+    staged = []
+    monkeypatch.setattr(reading, "_research_events", lambda *a: rows("event_key string", ("k",)))
+    monkeypatch.setattr(reading, "stage", lambda df, label: staged.append(label) or df)
+    monkeypatch.setattr(sinks, "store", lambda spark, events, *a: events)
+    reading._stored_events(spark, "", (1,))
+    assert staged == []
+    reading._stored_events(spark, "", (1, 2))
+    assert staged == ["results"]
