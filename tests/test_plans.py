@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.functions import settle
 from tidemark.operators import access, asof, audit, research, sinks
-from tidemark.plans import reading
+from tidemark.plans import reading, study
 from tidemark.sources import filing_index, ownership
 
 
@@ -251,3 +251,16 @@ def test_results_that_are_stored_once_are_not_staged_first(spark, rows, monkeypa
     assert staged == []
     reading._stored_events(spark, "", (1, 2))
     assert staged == ["results"]
+
+
+def test_prices_have_as_many_buckets_as_the_session_deals_to(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(study.asof, "store_bucketed", lambda prices, label, buckets: seen.append(buckets) or prices)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for wanted in (5, 23):
+            spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+            study.bucketed_event_returns(spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen == [5, 23]
