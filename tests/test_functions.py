@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, hashing, numbers, text
+from tidemark.functions.settle import settled
 
 
 def one(rows, ddl_value, column):
@@ -114,3 +115,36 @@ def test_source_url(rows):
     got = [r.u for r in df.select(text.filing_url(F.col("g"), F.col("c"), F.col("a")).alias("u")).collect()]
     base = "https://www.sec.gov/Archives/edgar/data"
     assert got == [f"{base}/1234/123/1-2-3.txt", "given", f"{base}/0/123/1-2-3.txt"]
+
+
+def test_clean_text_is_trimmed_like_the_whole_list(spark, rows):
+    """Whatever stands at an end: white space of any kind, an ASCII sign, another letter, half of it or nothing."""
+    ends = ["", " ", "\t", "\x1f", "\x7f", "\x85", "\xa0", " ", "!", "~", "a", "é", "ꀠ", "\U0001f600", "\x00"]
+    made = [f"{a}{m}{b}" for a in ends for b in ends for m in ("", "x", " x ", "é")] + [None]
+    df = rows("c string", *[(m,) for m in made])
+    slow = F.nullif(F.btrim("c", F.lit(text.WHITE_SPACE)), F.lit(""))
+    assert df.where(~text.clean(F.col("c")).eqNullSafe(slow)).count() == 0
+
+
+def test_plain_text_is_not_looked_up_in_the_list(spark, rows):
+    plan = rows("c string", ("x",)).select(text.clean(F.col("c")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan  # only the other branch trims
+
+
+def test_messages_are_collected_by_compiled_code(spark, rows):
+    df = rows("a string, b string", ("x", None), (None, None), ("x", "y"))
+    done = df.select(text.errors(F.col("a"), F.col("b")).alias("e"))
+    assert "lambda" not in done._jdf.queryExecution().executedPlan().toString()
+    assert [r.e for r in done.collect()] == [["x"], [], ["x", "y"]]
+    assert done.schema["e"].dataType.simpleString() == "array<string>"
+
+
+def test_settled_rules_are_split_into_methods_the_jvm_compiles(spark, rows):
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "65535")  # what a session has that sets nothing
+    try:
+        settled(rows("a string, b string", ("x", "y")), ["a"])
+        assert int(spark.conf.get(name)) == 8000
+    finally:
+        spark.conf.set(name, before)
