@@ -5,6 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.plans import landing
 from tidemark.sources import archive_source, archives
 
 FILES = {"submission.TSV": " ACCESSION_NUMBER\tFORM \nA1\t 4 \nA2\n\t3\n",
@@ -91,3 +92,24 @@ def test_a_short_list_of_archives_is_spread_over_tasks(spark, tmp_path):
     assert rows.count() == 240 and rows.select("task").distinct().count() > 1
     archives.land(listed, str(tmp_path / "landed"))
     assert len(list((tmp_path / "landed" / "member=FOOTNOTES").glob("*.parquet"))) > 1
+
+
+def test_lines_are_read_as_columns(tmp_path):
+    """Short, long and blank lines, a name that comes twice, white space and signs that need quotes."""
+    text = (' ACCESSION_NUMBER \tA\tB\tA\n1\tx\n\n2\ta\t b \t"c\td"\tmore\n\tno\tno\tno\n3\t"say ""so"""\t\xa0\t"two\nlines"\n')
+    with zipfile.ZipFile(tmp_path / "2000-Q1.zip", "w") as z:
+        z.writestr("deriv_trans.TSV", text)
+    found, = archives.member_lines(str(tmp_path / "2000-Q1.zip"), "DERIV_TRANS")
+    assert found.numbers == [0, 2, 3, 4] and found.column("C") is None
+    assert [dict(c) for c in found.having("ACCESSION_NUMBER").cells().to_pylist()] == [
+        {"ACCESSION_NUMBER": "1", "A": "", "B": ""}, {"ACCESSION_NUMBER": "2", "A": "c\td", "B": "b"},
+        {"ACCESSION_NUMBER": "3", "A": "two\nlines", "B": ""}]
+
+
+def test_written_lines_are_read_as_they_were(spark, rows, tmp_path):
+    cells = {"ACCESSION_NUMBER": "1", "FOOTNOTE_TXT": 'a "quoted"\tand\nbroken\\ "text'}
+    line = rows("member string, cells map<string,string>", ("FOOTNOTES", cells)).select(landing._line()).first()[0]
+    with zipfile.ZipFile(tmp_path / "2000-Q1.zip", "w") as z:
+        z.writestr("FOOTNOTES.tsv", f"ACCESSION_NUMBER\tFOOTNOTE_TXT\n{line}\n")
+    found, = archives.member_lines(str(tmp_path / "2000-Q1.zip"), "FOOTNOTES")
+    assert [dict(c) for c in found.cells().to_pylist()] == [cells]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, hashing, numbers, text
 from tidemark.functions.settle import settled
+from tidemark.operators import filings
 
 
 def one(rows, ddl_value, column):
@@ -139,12 +140,16 @@ def test_messages_are_collected_by_compiled_code(spark, rows):
     assert done.schema["e"].dataType.simpleString() == "array<string>"
 
 
-def test_settled_rules_are_split_into_methods_the_jvm_compiles(spark, rows):
+@pytest.mark.parametrize("made", [
+    lambda rows: settled(rows("a string, b string", ("x", "y")), ["a"]),
+    lambda rows: filings.bulk_records(rows("filing_period string, member string, line_no bigint, cells map<string,string>",
+                                           ("2000-Q1", "DERIV_TRANS", 0, {"ACCESSION_NUMBER": "1"})))])
+def test_wide_rules_are_split_into_methods_the_jvm_compiles(spark, rows, made):
     name = "spark.sql.codegen.hugeMethodLimit"
     before = spark.conf.get(name)
     spark.conf.set(name, "65535")  # what a session has that sets nothing
     try:
-        settled(rows("a string, b string", ("x", "y")), ["a"])
+        made(rows)
         assert int(spark.conf.get(name)) == 8000
     finally:
         spark.conf.set(name, before)

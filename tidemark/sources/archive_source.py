@@ -16,7 +16,6 @@ file name in upper case, as in the inventory.
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +33,6 @@ from tidemark.sources import archives
 NAME = "quarter_archives"
 ACCESSION = "ACCESSION_NUMBER"
 PERIOD, MEMBER, LINE, CELLS = "filing_period", "member", "line_no", "cells"
-_ROWS_PER_BATCH = 5000
 
 
 def listed(folder: str) -> list[tuple[str, str]]:
@@ -73,26 +71,25 @@ class ArchiveReader(DataSourceReader):
         return [Member(period, path, member) for period, path in listed(self.folder)
                 if not self.periods or period in self.periods for member in self.members]
 
-    def _rows(self, part: Member) -> Iterator[tuple]:
-        own = {PERIOD: part.period, MEMBER: part.member}
-        names = [f.name for f in self.schema]
-        wanted = [n for n in names if n not in (PERIOD, MEMBER, LINE, CELLS)]
-        for number, header, values in archives.member_lines(part.path, part.member):
-            cells = dict(itertools.zip_longest(header, values, fillvalue=""))
-            if cells.get(ACCESSION):
-                yield tuple(own[n] if n in own else number if n == LINE else list(cells.items()) if n == CELLS else cells.get(n)
-                            for n in names)
-
     def read(self, partition: Member | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # what Spark makes of no partitions
             return
-        kinds = {LINE: pa.int64(), CELLS: pa.map_(pa.string(), pa.string())}
-        fields = [(f.name, kinds.get(f.name, pa.string())) for f in self.schema]
-        rows = self._rows(partition)
-        while chunk := list(itertools.islice(rows, _ROWS_PER_BATCH)):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(column, kind) for column, (_, kind) in zip(zip(*chunk, strict=True), fields, strict=True)],
-                schema=pa.schema(fields))
+        own, names = {PERIOD: partition.period, MEMBER: partition.member}, [f.name for f in self.schema]
+        for read in archives.member_lines(partition.path, partition.member):
+            lines = read.having(ACCESSION)
+            size = len(lines.rows)
+            if not size:
+                continue
+
+            def column(name: str) -> pa.Array:
+                if name == LINE:
+                    return pa.array(lines.numbers, pa.int64())
+                if name == CELLS:
+                    return lines.cells()
+                given = [own[name]] * size if name in own else lines.column(name)
+                return pa.nulls(size, pa.string()) if given is None else pa.array(given, pa.string())
+
+            yield pa.RecordBatch.from_arrays([column(n) for n in names], names=names)
 
 
 class QuarterArchives(DataSource):
