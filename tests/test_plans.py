@@ -264,3 +264,8 @@ def test_prices_have_as_many_buckets_as_the_session_deals_to(spark, monkeypatch)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert seen == [5, 23]
+
+
+def test_results_are_not_staged_with_their_key_twice(rows):
+    made = reading._indexed(rows("event_key string", ("backtest:run-1:A|2020-01-02|1|h",)))
+    assert made.schema["index"].dataType.simpleString() == "bigint"
