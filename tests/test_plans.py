@@ -269,3 +269,16 @@ def test_prices_have_as_many_buckets_as_the_session_deals_to(spark, monkeypatch)
 def test_results_are_not_staged_with_their_key_twice(rows):
     made = reading._indexed(rows("event_key string", ("backtest:run-1:A|2020-01-02|1|h",)))
     assert made.schema["index"].dataType.simpleString() == "bigint"
+
+
+def test_provenance_is_appended_as_bytes(spark, rows, tmp_path, monkeypatch):
+    """Both of its fingerprints; texts that are none come through."""
+    made = rows("record_type string, record_id string, source string, checksum string",
+                ("t", "ab" * 32, "s", "ab" * 32), ("t", "AB" * 32, "s", "x"), ("t", None, "s", None), ("u", "cd" * 32, "s", "y"))
+    packed, real = [], schemas.hashing.packed
+    monkeypatch.setattr(schemas.hashing, "packed", lambda df, *columns: packed.extend(columns) or real(df, *columns))
+    path = str(tmp_path / "p")
+    schemas.append(made, schemas.PROVENANCE, path)
+    assert [c for c in packed if c] == ["record_id", "checksum"]
+    got = schemas.read(spark, schemas.PROVENANCE, path).select(*made.columns).collect()
+    assert sorted(map(str, got)) == sorted(map(str, made.collect()))
