@@ -143,3 +143,32 @@ def test_outcomes_equal_those_of_one_batch(spark, place, tmp_path):
     whole = sinks.store(spark, batch, schemas.INSIDER_TRANSACTIONS, str(tmp_path / "whole"), "index", NOW)
     assert place.counts() == {r.outcome: r["rows"] for r in sinks.outcome_counts(whole).collect()}
     assert place.stored() == sorted(r.record_hash for r in schemas.read(spark, schemas.INSIDER_TRANSACTIONS, str(tmp_path / "whole")).collect())
+
+
+def test_keys_do_not_pass_through_python(place, monkeypatch):
+    made, real = [], quarters.rulings
+    monkeypatch.setattr(quarters, "rulings", lambda *args: made.append(real(*args)) or made[-1])
+    place.deliver(row(1), row(2))
+    place.run()
+    plan = made[0]._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "Python" not in plan and "PySpark" not in plan
+
+
+def test_a_batch_adds_one_file_to_a_range(place, tmp_path):
+    for k in range(0, 160, 40):
+        place.deliver(*[row(n) for n in range(k, k + 40)])
+    place.run(files_per_batch=4)
+    assert place.counts() == {"INSERTED": 160}
+    folders = [p.parent for p in (tmp_path / "table").rglob("*.parquet")]
+    assert len(folders) == len(set(folders)) > 1
+
+
+def test_replay_after_the_rulings(place, monkeypatch):
+    """The state knows the batch's keys already when its outcomes are made."""
+    place.deliver(row(1), row(1), row(2, good=False))
+    with monkeypatch.context() as m:
+        m.setattr(quarters, "_outcomes", lambda *args: 1 / 0)
+        with pytest.raises(StreamingQueryException):
+            place.run()
+    place.run()
+    assert place.counts() == {"INSERTED": 1, "DUPLICATE": 1, "SKIPPED": 1} and place.stored() == ["h1"]
