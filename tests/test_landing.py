@@ -319,3 +319,38 @@ def test_stage_copies_hold_no_payload(spark, rows, tmp_path):
     sinks.store(spark, batch, schemas.MARKET_PRICES, str(tmp_path / "t"), "index", NOW, work)
     kept = spark.read.parquet(f"{work}/outcomes").columns
     assert "close" not in kept and {"symbol", "price_date", "source", "record_hash", "outcome", "reason"} <= set(kept)
+
+
+def test_decided_rows_are_staged_without_what_only_the_table_wants(spark, rows, tmp_path):
+    batch = rows("symbol string, price_date date, close double, source string, record_hash string, price_year int, index long, outcome string",
+                 ("A", NOW.date(), 1.5, "e", "h1", 2024, 1, None), ("A", NOW.date(), 2.5, "e", "h2", 2024, 2, "REJECTED"))
+    work = str(tmp_path / "w")
+    done = sinks.store(spark, batch, schemas.MARKET_PRICES, str(tmp_path / "t"), "index", NOW, work)
+    assert {(r["index"], r.close, r.record_hash) for r in spark.read.parquet(f"{work}/batch").collect()} == {(1, 1.5, "h1"), (2, None, "h2")}
+    assert {(r["index"], r.record_hash, r.price_year, r.outcome) for r in done.collect()} == {
+        (1, "h1", 2024, "INSERTED"), (2, "h2", 2024, "REJECTED")}
+    assert [r.close for r in schemas.read(spark, schemas.MARKET_PRICES, str(tmp_path / "t")).collect()] == [1.5]
+
+
+def test_a_load_leaves_neither_its_batch_nor_its_shuffles(spark, rows, tmp_path, monkeypatch):
+    made, freed, real = [], [], schemas.append
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    monkeypatch.setattr(sinks, "fresh_dir", lambda spark, label: made.append(str(tmp_path / label)) or made[-1])
+    monkeypatch.setattr(schemas, "append", lambda *args: freed.append(spark.conf.get(name)) or real(*args))
+    batch = rows("symbol string, price_date date, close double, source string, record_hash string, price_year int, index long",
+                 ("A", NOW.date(), 1.5, "e", "h1", 2024, 1), ("A", NOW.date(), 1.5, "e", "h1", 2024, 2))
+    done = sinks.store(spark, batch, schemas.MARKET_PRICES, str(tmp_path / "t"), "index", NOW)
+    assert sorted(r.outcome for r in done.collect()) == ["DUPLICATE", "INSERTED"]
+    assert [p.name for p in (tmp_path / "work-market_prices").iterdir()] == ["outcomes"]
+    assert freed == ["true"] and spark.conf.get(name, None) == before
+
+
+def test_stored_fingerprints_are_dealt_as_bytes(spark, rows, tmp_path):
+    """A repeated load of hexadecimal and other fingerprints finds them again."""
+    prints = [hashlib.sha256(b"1").hexdigest(), "plain"]
+    batch = rows("source string, accession_number string, record_hash string, ticker string, filing_period string, index long",
+                 *[("SEC", f"0000000001-20-{i}", h, "T", "2020-Q1", i) for i, h in enumerate(prints)])
+    for outcome in ("INSERTED", "DUPLICATE"):
+        done = sinks.store(spark, batch, schemas.INSIDER_TRANSACTIONS, str(tmp_path / "t"), "index", NOW)
+        assert {(r.record_hash, r.outcome) for r in done.collect()} == {(h, outcome) for h in prints}
