@@ -354,3 +354,24 @@ def test_stored_fingerprints_are_dealt_as_bytes(spark, rows, tmp_path):
     for outcome in ("INSERTED", "DUPLICATE"):
         done = sinks.store(spark, batch, schemas.INSIDER_TRANSACTIONS, str(tmp_path / "t"), "index", NOW)
         assert {(r.record_hash, r.outcome) for r in done.collect()} == {(h, outcome) for h in prints}
+
+
+def test_cells_are_read_before_rows_meet(spark, tmp_path, monkeypatch):
+    """Neither a line nor a filing takes a map of cells along, unless the payload is wanted."""
+    met, real = [], filings.skew.salted_lookup
+    monkeypatch.setattr(filings.skew, "salted_lookup", lambda *sides: met.append(sides[:2]) or real(*sides))
+    sections, _ = parsed(spark, tmp_path)
+    row = filings.bulk_records(sections).first()
+    assert (row.filing_date, row.issuer_cik, row.ticker, row.reporting_owner_cik) == ("2023-03-31", "0000016732", "CPB", "0000000007")
+    assert [any("map<" in f.dataType.simpleString() for side in sides for f in side.schema) for sides in met] == [True, False]
+
+
+def test_a_transaction_without_side_lines_has_blank_cells(rows):
+    given = rows("filing_period string, member string, line_no bigint, cells map<string,string>",
+                 ("2000-Q1", "DERIV_TRANS", 0, {"ACCESSION_NUMBER": "1", "TRANS_DATE": "1-JAN-00"}))
+    row = filings.bulk_records(given, with_details=True).first().asDict()
+    assert {k: row[k] for k in ("filing_date", "transaction_date", "issuer_cik", "issuer_name", "ticker", "form_type", "is_amendment",
+                                "owner_count", "reporting_owner_cik", "reporting_owner_name", "footnote_count")} == {
+        "filing_date": None, "transaction_date": "2000-01-01", "issuer_cik": "", "issuer_name": "", "ticker": "", "form_type": "4",
+        "is_amendment": False, "owner_count": 0, "reporting_owner_cik": None, "reporting_owner_name": "", "footnote_count": 0}
+    assert json.loads(row["raw_payload"])["submission"] is None
