@@ -375,3 +375,40 @@ def test_a_transaction_without_side_lines_has_blank_cells(rows):
         "filing_date": None, "transaction_date": "2000-01-01", "issuer_cik": "", "issuer_name": "", "ticker": "", "form_type": "4",
         "is_amendment": False, "owner_count": 0, "reporting_owner_cik": None, "reporting_owner_name": "", "footnote_count": 0}
     assert json.loads(row["raw_payload"])["submission"] is None
+
+
+def test_decided_rows_are_not_ruled_on(spark, rows, tmp_path, monkeypatch):
+    seen, real = [], sinks.classify
+    monkeypatch.setattr(sinks, "classify", lambda batch, *rest: seen.append(batch.count()) or real(batch, *rest))
+    batch = rows("symbol string, price_date date, close double, source string, record_hash string, price_year int, index long, outcome string",
+                 ("A", NOW.date(), 1.5, "e", "h1", 2024, 1, None), ("A", NOW.date(), 2.5, "e", "h2", 2024, 2, "REJECTED"),
+                 ("A", NOW.date(), 1.5, "e", "h1", 2024, 3, None))
+    for want in ([(1, "INSERTED"), (2, "REJECTED"), (3, "DUPLICATE")], [(1, "DUPLICATE"), (2, "REJECTED"), (3, "DUPLICATE")]):
+        done = sinks.store(spark, batch, schemas.MARKET_PRICES, str(tmp_path / "t"), "index", NOW)
+        assert sorted((r["index"], r.outcome) for r in done.collect()) == want
+    assert seen == [2, 2]
+
+
+def test_many_rows_of_a_sliced_table_are_written_as_they_are_dealt(spark, rows, tmp_path, monkeypatch):
+    """Buckets hold few ranges each, and their rows go to the table without another shuffle."""
+    plans, real = [], schemas.append
+    monkeypatch.setattr(sinks, "FEW", 10)
+    monkeypatch.setattr(schemas, "append", lambda *args: plans.append(args[3:]) or real(*args))
+    batch = spark.range(3000).selectExpr("concat('k', id % 2000) AS event_key", "'t' AS event_type", "id AS index")
+    path = str(tmp_path / "t")
+    for want in ({"INSERTED": 2000, "DUPLICATE": 1000}, {"DUPLICATE": 3000}):
+        done = sinks.store(spark, batch, schemas.RESEARCH_EVENTS, path, "index", NOW)
+        assert {r.outcome: r["rows"] for r in sinks.outcome_counts(done).collect()} == want
+    assert plans == [(False,), (False,)]
+    stored = schemas.read(spark, schemas.RESEARCH_EVENTS, path)
+    assert stored.select("event_key").distinct().count() == stored.count() == 2000
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    per = batch.select(sinks._deal(schemas.RESEARCH_EVENTS, buckets).alias("_d"), F.expr(schemas.RESEARCH_EVENTS.ranges).alias("r"))
+    assert per.groupBy("_d").agg(F.countDistinct("r").alias("n")).agg(F.max("n")).first()[0] == 1
+
+
+def test_an_absent_table_starts_no_python(spark, tmp_path):
+    none = schemas.read(spark, schemas.RESEARCH_EVENTS, str(tmp_path / "none"))
+    assert none.count() == 0 and [f.name for f in none.schema] == schemas.RESEARCH_EVENTS.columns
+    assert [f.dataType for f in none.schema] == [f.dataType for f in schemas.RESEARCH_EVENTS.schema]
+    assert "ExistingRDD" not in none._jdf.queryExecution().executedPlan().toString()
