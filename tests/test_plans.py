@@ -282,3 +282,15 @@ def test_provenance_is_appended_as_bytes(spark, rows, tmp_path, monkeypatch):
     assert [c for c in packed if c] == ["record_id", "checksum"]
     got = schemas.read(spark, schemas.PROVENANCE, path).select(*made.columns).collect()
     assert sorted(map(str, got)) == sorted(map(str, made.collect()))
+
+
+def test_bars_and_returns_are_made_once_for_all_results(spark, monkeypatch):
+    """Every kind of result looks the same bars up, which lie in buckets by symbol; trades are made of the returns."""
+    made, studied = [], []
+    prices, returns = reading.views.prices, reading.research.event_returns
+    monkeypatch.setattr(reading.views, "prices", lambda *a: made.append(1) or prices(*a))
+    monkeypatch.setattr(reading.research, "event_returns", lambda *a: studied.append(1) or returns(*a))
+    kinds = {r.event_type: r["count"] for r in reading._research_events(spark, "/root/testdata/sf0.001").groupBy("event_type").count().collect()}
+    assert (len(made), len(studied)) == (1, 1)
+    assert set(kinds) == {"event_return", "event_study_summary", "signal_outcome", "backtest", "backtest_trade"}
+    assert kinds["event_return"] == kinds["backtest_trade"] > 0 and kinds["backtest"] == 1
