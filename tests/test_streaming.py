@@ -172,3 +172,20 @@ def test_replay_after_the_rulings(place, monkeypatch):
             place.run()
     place.run()
     assert place.counts() == {"INSERTED": 1, "DUPLICATE": 1, "SKIPPED": 1} and place.stored() == ["h1"]
+
+
+def test_new_rows_are_chosen_without_decided_ones_and_with_fingerprints_as_bytes(spark, tmp_path, monkeypatch):
+    """What a batch appends is looked for among its open rows only; hexadecimal and other fingerprints come through."""
+    seen, real = [], quarters.hashing.packed
+    monkeypatch.setattr(quarters.hashing, "packed", lambda df, *columns: seen.append((df.count(), columns)) or real(df, *columns))
+    ddl = "source string, accession_number string, record_hash string, filing_period string, outcome string"
+    made = [("SEC", "0000000001-20-1", "ab" * 32, "2020-Q1", None), ("SEC", "0000000001-20-2", "plain", "2020-Q1", None),
+            ("SEC", "0000000001-20-3", "cd" * 32, "2020-Q1", "SKIPPED")]
+    given = spark.createDataFrame(made, ddl)
+    given.write.partitionBy("filing_period").parquet(str(tmp_path / "in"))
+    folders = [str(tmp_path / n) for n in ("table", "outcomes", "checkpoint")]
+    quarters.land(spark, str(tmp_path / "in"), given.schema, lambda rows: rows, schemas.INSIDER_TRANSACTIONS, *folders,
+                  datetime.datetime(2024, 1, 1)).awaitTermination()
+    stored = schemas.read(spark, schemas.INSIDER_TRANSACTIONS, folders[0])
+    assert {r.record_hash for r in stored.collect()} == {"ab" * 32, "plain"}
+    assert (2, ("record_hash",)) in seen

@@ -17,7 +17,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import functions as F
 
 from tidemark import schemas
-from tidemark.functions import text
+from tidemark.functions import hashing, text
 from tidemark.operators import access, accounting, audit, changes, filings, loads, normalize, profiles, sinks
 from tidemark.plans import views
 from tidemark.plans.registry import query
@@ -758,7 +758,8 @@ def streamed_quarters(spark, d):
     order = F.substring_index("accession_number", "-", -1).cast("bigint")
     deliveries = [parsed.where((order % 2 == 0) | (F.col("filing_period") < "1996-Q1")), parsed.where(F.col("filing_period") >= "1995-Q3")]
     for number, rows in enumerate(deliveries):
-        rows.repartition(4, "accession_number").write.mode("append").partitionBy("filing_period").parquet(f"{root}/in")
+        dealt = hashing.unpacked(hashing.packed(rows, "record_hash").repartition(4, "accession_number"), "record_hash")
+        dealt.select(*parsed.columns).write.mode("append").option("compression", "zstd").partitionBy("filing_period").parquet(f"{root}/in")
         quarters.land(spark, f"{root}/in", parsed.schema, lambda x: filings.judged(x, "2001-Q4", 10), schemas.INSIDER_TRANSACTIONS,
                       f"{root}/table", f"{root}/outcomes", f"{root}/checkpoint", STAMP,
                       skip=quarters.done_quarters(spark, f"{root}/state")).awaitTermination()
